@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import StringIndexer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions.exprs import (
@@ -113,20 +114,21 @@ def churn_labels(
 def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each column by the rank of its value in sorted order, from 0.
 
-    A null counts as the text ``nan``. Meant for attributes of few values: the
-    ranks are computed over the distinct values, one task per column.
+    A null counts as the text ``nan``. Meant for attributes of few values, as
+    the indexer keeps the list of values of every column on the driver.
     """
     texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns}
-    encoded = df.withColumns(texts)
-    values = encoded.unpivot([], list(columns), "_column", "_value").distinct()
-    ranks = Window.partitionBy("_column").orderBy("_value")
-    codes = values.withColumn("_code", F.row_number().over(ranks) - 1)
-    for column in columns:
-        own = codes.where(F.col("_column") == column).select(
-            F.col("_value").alias(column), F.col("_code").alias(f"_{column}_code")
-        )
-        encoded = encoded.join(own, column).withColumn(column, F.col(f"_{column}_code"))
-    return encoded.drop(*[f"_{c}_code" for c in columns])
+    codes = {c: f"_{c}_code" for c in columns}
+    prepared = df.withColumns(texts)
+    indexer = StringIndexer(
+        inputCols=list(codes),
+        outputCols=list(codes.values()),
+        stringOrderType="alphabetAsc",
+    )
+    indexed = indexer.fit(prepared.select(*columns)).transform(prepared)
+    return indexed.withColumns(
+        {c: F.col(code).cast("int") for c, code in codes.items()}
+    ).drop(*codes.values())
 
 
 def encoded_categories(t: RetailTables) -> DataFrame:

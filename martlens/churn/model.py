@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from martlens.churn.evaluate import roc_auc
 from martlens.churn.features import FEATURES
 from martlens.churn.split import balanced_weights, stratified_folds, stratified_split
+from martlens.session import written
 
 
 @contextmanager
@@ -67,10 +68,13 @@ def score(model: PipelineModel, matrix: DataFrame, label: str = "churned") -> Da
 def train_and_score(
     matrix: DataFrame, features: Sequence[str] = FEATURES, **forest
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the training side of the split; scored rows of the test side."""
+    """Fit on the training side of the split; scored rows of the test side.
+
+    The scores are written, as every evaluation of them is a pass of its own.
+    """
     with _held(stratified_split(matrix)) as split:
         model = fit_forest(split.where(~F.col("is_test")), features, **forest)
-    return model, score(model, stratified_split(matrix).where("is_test"))
+        return model, written(score(model, split.where("is_test")))
 
 
 def cv_auc(

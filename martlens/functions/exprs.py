@@ -56,6 +56,15 @@ def days_before(as_of: date | str, day: Column) -> Column:
     return F.datediff(date_lit(as_of), day)
 
 
+def month_start(day: Column) -> Column:
+    """Grouping key of a month: integer work per row, formatted per group."""
+    return F.trunc(day, "month")
+
+
+def year_start(day: Column) -> Column:
+    return F.trunc(day, "year")
+
+
 def year_month(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 

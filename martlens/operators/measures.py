@@ -1,8 +1,9 @@
 """Business measures with optional grouping columns and slicers.
 
-Each measure family is one aggregate over its own grain: orders, items, or
-customers. The families are stacked by name and collapsed per group, so no join
-of aggregates is needed, grouped or not.
+Order measures are one aggregate over orders, to which the profit of sliced or
+grouped items is joined per order. Churn and the overall profit have grains of
+their own; those parts are stacked by name and collapsed per group, so that no
+join of aggregates is needed, grouped or not.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from martlens.functions.exprs import (
     days_before,
     mean_money,
     money,
+    month_start,
     percent,
     sum_if,
     year_month,
+    year_start,
     year_text,
 )
 from martlens.sources.tables import DELIVERED, RETURNED, RetailTables
@@ -35,9 +38,10 @@ _CUSTOMER_COLUMNS = ("age", "gender", "region", "registration_date", "loyalty_ti
 _ORDER_COLUMNS = {
     "status": lambda: F.col("status"),
     "payment_method": lambda: F.col("payment_method"),
-    "month": lambda: year_month(F.col("order_date")),
-    "year": lambda: year_text(F.col("order_date")),
+    "month": lambda: month_start(F.col("order_date")),
+    "year": lambda: year_start(F.col("order_date")),
 }
+_LABELS = {"month": year_month, "year": year_text}
 _CHURN_ONLY = {"churned_customers", "churn_rate_pct"}
 _PROFIT_ONLY = {"gross_profit", "profit_margin_pct"}
 
@@ -69,14 +73,22 @@ def measures(
     if unknown:
         raise ValueError(f"cannot group by {unknown}")
 
-    items = _sliced_items(t, category)
-    orders = _sliced_orders(t, by, year, region, items)
+    sliced = bool(by) or year is not None or region is not None or category is not None
+    profit = bool(wanted & _PROFIT_ONLY)
     parts = []
-    if wanted - _CHURN_ONLY - {"gross_profit"} or "churn_rate_pct" in wanted:
+    if wanted - {"churned_customers", "gross_profit"} or (sliced and profit):
+        items = None
+        if sliced and profit:
+            items = _profit_per_order(t, category)
+        elif category is not None:
+            items = _items(t, category).select("order_id").distinct()
+        orders = _sliced_orders(t, by, year, region)
+        if items is not None:
+            how = "left_semi" if not profit else "left" if category is None else "inner"
+            orders = orders.join(items, "order_id", how)
         parts.append(_order_part(t, orders, by))
-    if wanted & _PROFIT_ONLY:
-        whole = not by and year is None and region is None
-        parts.append(_profit_part(t, None if whole else orders, items, by))
+    if profit and not sliced:
+        parts.append(_whole_profit(t))
     if wanted & _CHURN_ONLY:
         if as_of is None:
             raise ValueError("churn measures need as_of")
@@ -85,7 +97,8 @@ def measures(
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     columns = [c for c in stacked.columns if c not in by]
     collapsed = stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in columns])
-    return collapsed.select(*by, *[_formula(name).alias(name) for name in names])
+    keys = [_LABELS[c](F.col(c)).alias(c) if c in _LABELS else F.col(c) for c in by]
+    return collapsed.select(*keys, *[_formula(name).alias(name) for name in names])
 
 
 def _formula(name: str):
@@ -107,19 +120,32 @@ def _formula(name: str):
     }[name]()
 
 
-def _sliced_items(t: RetailTables, category: str | None) -> DataFrame | None:
-    if category is None:
-        return None
-    products = t.products.where(F.col("category") == category).select("product_id")
-    return t.order_items.join(products, "product_id")
+def _items(t: RetailTables, category: str | None) -> DataFrame:
+    """Items with the cost of their product, of one category if given."""
+    products = t.products
+    if category is not None:
+        products = products.where(F.col("category") == category)
+    return t.order_items.join(products.select("product_id", "cost_price"), "product_id")
+
+
+def _profit_per_order(t: RetailTables, category: str | None) -> DataFrame:
+    """One row per order, so the profit can ride along with the order measures."""
+    profit = F.col("line_total") - F.col("quantity") * F.col("cost_price")
+    return _items(t, category).groupBy("order_id").agg(F.sum(profit).alias("_profit"))
+
+
+def _whole_profit(t: RetailTables) -> DataFrame:
+    """Profit of all items, summed per product before the product join."""
+    per_product = t.order_items.groupBy("product_id").agg(
+        F.sum("line_total").alias("_lines"), F.sum("quantity").alias("_units")
+    )
+    costs = t.products.select("product_id", "cost_price")
+    profit = F.col("_lines") - F.col("_units") * F.col("cost_price")
+    return per_product.join(costs, "product_id").agg(F.sum(profit).alias("_profit"))
 
 
 def _sliced_orders(
-    t: RetailTables,
-    by: Sequence[str],
-    year: int | None,
-    region: str | None,
-    items: DataFrame | None,
+    t: RetailTables, by: Sequence[str], year: int | None, region: str | None
 ) -> DataFrame:
     orders = t.orders
     if year is not None:
@@ -134,41 +160,21 @@ def _sliced_orders(
         if region is not None:
             customers = customers.where(F.col("region") == region)
         orders = orders.join(customers.select("customer_id", *attributes), "customer_id")
-    if items is not None:
-        # Distinct first: an order with very many items sends one id per task.
-        orders = orders.join(items.select("order_id").distinct(), "order_id", "left_semi")
     return orders
 
 
 def _order_part(t: RetailTables, orders: DataFrame, by: Sequence[str]) -> DataFrame:
     delivered = F.col("status") == DELIVERED
-    return orders.groupBy(*by).agg(
+    sums = [
         sum_if(delivered, F.col("total_amount")).alias("_revenue"),
         t.order_count(F.when(delivered, F.col("order_id"))).alias("_orders"),
         F.countDistinct("customer_id").alias("_customers"),
         count_where(F.col("status") == RETURNED).alias("_returned"),
         F.count(F.lit(1)).alias("_rows"),
-    )
-
-
-def _profit_part(
-    t: RetailTables, orders: DataFrame | None, items: DataFrame | None, by: Sequence[str]
-) -> DataFrame:
-    """Line totals less cost; summed per product before the product join."""
-    lines = t.order_items if items is None else items
-    lines = lines.select("order_id", "product_id", "quantity", "line_total")
-    if orders is not None:
-        lines = lines.join(orders.select("order_id", *by), "order_id")
-    per_product = lines.groupBy(*by, "product_id").agg(
-        F.sum("line_total").alias("_lines"), F.sum("quantity").alias("_units")
-    )
-    costs = t.products.select("product_id", "cost_price")
-    profit = F.col("_lines") - F.col("_units") * F.col("cost_price")
-    return (
-        per_product.join(costs, "product_id")
-        .groupBy(*by)
-        .agg(F.sum(profit).alias("_profit"))
-    )
+    ]
+    if "_profit" in orders.columns:
+        sums.append(F.sum("_profit").alias("_profit"))
+    return orders.groupBy(*by).agg(*sums)
 
 
 def _churn_part(

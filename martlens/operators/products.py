@@ -12,7 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlens.functions.exprs import half_up, money, percent, ratio, year_month
+from martlens.functions.exprs import (
+    half_up,
+    money,
+    month_start,
+    percent,
+    ratio,
+    year_month,
+)
 from martlens.sources.tables import DELIVERED, RetailTables
 
 
@@ -117,17 +124,18 @@ def category_month_revenue(
     items = t.order_items.select("order_id", "product_id", "line_total").join(
         categories, "product_id"
     )
-    month = year_month(F.col("order_date")).alias("month")
+    month = month_start(F.col("order_date")).alias("_month")
+    label = year_month(F.col("_month")).alias("month")
     cells = (
         items_of_orders(t, items, status, month)
-        .groupBy("category", "month")
+        .groupBy("category", "_month")
         .agg(F.sum("line_total").alias("_revenue"))
-        .select("category", "month", money(F.col("_revenue")).alias("revenue"))
+        .select("category", label, money(F.col("_revenue")).alias("revenue"))
     )
     if not wide:
         return cells.orderBy("category", "month")
     if months is None:
-        found = t.orders_with(status).select(month).distinct().orderBy("month")
+        found = t.orders_with(status).select(month).distinct().select(label).orderBy("month")
         months = [row.month for row in found.where("month is not null").collect()]
     return (
         cells.groupBy("category")

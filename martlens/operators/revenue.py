@@ -11,9 +11,11 @@ from martlens.functions.exprs import (
     half_up,
     mean_money,
     money,
+    month_start,
     percent,
     ratio,
     year_month,
+    year_start,
     year_text,
 )
 from martlens.sources.tables import DELIVERED, RetailTables
@@ -22,9 +24,9 @@ from martlens.sources.tables import DELIVERED, RetailTables
 def monthly_revenue_trend(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
     return (
         t.orders_with(status)
-        .groupBy(year_month(F.col("order_date")).alias("month"))
+        .groupBy(month_start(F.col("order_date")).alias("_month"))
         .agg(t.order_count().alias("total_orders"), *_amount_sums())
-        .select("month", "total_orders", *_amounts("gross_revenue", "avg_order_value"))
+        .select(_month_label(), "total_orders", *_amounts("gross_revenue", "avg_order_value"))
         .orderBy("month")
     )
 
@@ -32,12 +34,18 @@ def monthly_revenue_trend(t: RetailTables, status: str | None = DELIVERED) -> Da
 def yearly_revenue(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
     return (
         t.orders_with(status)
-        .groupBy(year_text(F.col("order_date")).alias("year"))
+        .groupBy(year_start(F.col("order_date")).alias("_year"))
         .agg(
             money(F.sum("total_amount")).alias("total_revenue"),
             t.order_count().alias("orders_count"),
             F.countDistinct("customer_id").alias("unique_customers"),
         )
+        .select(
+            year_text(F.col("_year")).alias("year"),
+            "total_revenue",
+            "orders_count",
+            "unique_customers",
+        )
         .orderBy("year")
     )
 
@@ -172,11 +180,12 @@ def shipping_trend(t: RetailTables, status: str | None = DELIVERED) -> DataFrame
     days = F.col("shipping_days")
     return (
         t.orders_with(status)
-        .groupBy(year_month(F.col("order_date")).alias("month"))
+        .groupBy(month_start(F.col("order_date")).alias("_month"))
         .agg(
             F.count(F.lit(1)).alias("orders"),
             half_up(ratio(F.sum(days), F.count(days)), 1).alias("avg_shipping_days"),
         )
+        .select(_month_label(), "orders", "avg_shipping_days")
         .orderBy("month")
     )
 
@@ -190,25 +199,28 @@ def revenue_mom_growth(
     month without sales leaves the growth of the next one null. One row per
     calendar month reaches the window.
     """
-    first_day = F.trunc("order_date", "month")
-    number = F.year("first_day") * 12 + F.month("first_day")
+    number = F.year("_month") * 12 + F.month("_month")
     earlier = Window.orderBy("_number").rangeBetween(-months_back, -months_back)
     monthly = (
         t.orders_with(status)
-        .groupBy(first_day.alias("first_day"))
+        .groupBy(month_start(F.col("order_date")).alias("_month"))
         .agg(F.sum("total_amount").alias("_amount"))
         .withColumn("_number", number)
         .withColumn("_previous", F.max("_amount").over(earlier))
     )
     growth = percent(F.col("_amount") - F.col("_previous"), F.col("_previous"))
     return monthly.select(
-        year_month(F.col("first_day")).alias("month"),
+        _month_label(),
         money(F.col("_amount")).alias("revenue"),
         money(F.col("_previous")).alias("previous_revenue"),
         growth.alias("growth_pct"),
     ).orderBy("month")
 
 
+def _month_label() -> Column:
+    return year_month(F.col("_month")).alias("month")
+
+
 def _amount_sums() -> list[Column]:
     return [
         F.sum("total_amount").alias("_amount"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,9 +138,15 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
 }
 
 
+@lru_cache(maxsize=8)
+def open_tables(spark: SparkSession, folder: str) -> RetailTables:
+    """The tables of a folder, opened once per session."""
+    return retail_views(tune(spark), folder)
+
+
 def _bind(query: Callable[[RetailTables], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return query(retail_views(tune(spark), folder))
+        return query(open_tables(spark, folder))
 
     return run
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,26 +13,66 @@ DELIVERED = "Delivered"
 RETURNED = "Returned"
 CANCELLED = "Cancelled"
 
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class RetailTables:
     """Four base tables and, optionally, the exported churn predictions.
 
+    A table may be given as a function that opens it, so that a query only
+    touches the files it needs.
+
     ``customers`` and ``products`` are dimension tables: their ids are taken as
     unique, as declared. ``orders.order_id`` is declared unique too, but is only
     relied on when ``unique_order_ids`` says that somebody checked (publishing
     does); counting orders then needs no exchange of order ids.
     """
 
-    customers: DataFrame
-    products: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    churn_predictions: DataFrame | None = None
-    unique_order_ids: bool = False
-    primary_keys: Mapping[str, tuple[str, ...]] = field(
-        default_factory=lambda: dict(PRIMARY_KEYS)
-    )
+    def __init__(
+        self,
+        customers: Source,
+        products: Source,
+        orders: Source,
+        order_items: Source,
+        churn_predictions: Source | None = None,
+        unique_order_ids: bool = False,
+        primary_keys: Mapping[str, tuple[str, ...]] = PRIMARY_KEYS,
+    ) -> None:
+        self._sources = {
+            "customers": customers,
+            "products": products,
+            "orders": orders,
+            "order_items": order_items,
+            "churn_predictions": churn_predictions,
+        }
+        self.unique_order_ids = unique_order_ids
+        self.primary_keys = dict(primary_keys)
+
+    def _table(self, name: str) -> DataFrame | None:
+        source = self._sources[name]
+        if callable(source):
+            source = self._sources[name] = source()
+        return source
+
+    @property
+    def customers(self) -> DataFrame:
+        return self._table("customers")
+
+    @property
+    def products(self) -> DataFrame:
+        return self._table("products")
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._table("orders")
+
+    @property
+    def order_items(self) -> DataFrame:
+        return self._table("order_items")
+
+    @property
+    def churn_predictions(self) -> DataFrame | None:
+        return self._table("churn_predictions")
 
     def base(self) -> dict[str, DataFrame]:
         return {

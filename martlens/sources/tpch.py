@@ -6,42 +6,63 @@ engine reading the same files gets the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.functions.exprs import line_total
 from martlens.sources.tables import RetailTables
 
 
 def retail_views(spark: SparkSession, folder: str) -> RetailTables:
-    def read(name: str):
+    @cache
+    def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    source_orders = read("orders")
-    # Nested IF folds under a status filter into a comparison on the source
-    # column, which then reaches the Parquet scan.
-    orders = source_orders.select(
+    return RetailTables(
+        customers=lambda: _customers(
+            read("customer"), read("nation"), read("region"), read("orders")
+        ),
+        products=lambda: _products(read("part")),
+        orders=lambda: _orders(read("orders")),
+        order_items=lambda: _order_items(read("lineitem")),
+        primary_keys={
+            "customers": ("customer_id",),
+            "products": ("product_id",),
+            "orders": ("order_id",),
+            "order_items": ("order_id", "line_no"),
+        },
+    )
+
+
+def _orders(orders: DataFrame) -> DataFrame:
+    # Null-safe nested IFs fold under a status filter into a comparison on the
+    # source column, which then reaches the Parquet scan.
+    return orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("order_date"),
         F.expr(
-            "if(o_orderstatus = 'F', 'Delivered', if(o_orderstatus = 'O', 'Returned', "
+            "if(o_orderstatus <=> 'F', 'Delivered', if(o_orderstatus <=> 'O', 'Returned', "
             "if(o_orderkey % 2 = 0, 'Cancelled', 'Pending')))"
         ).alias("status"),
         F.col("o_orderpriority").alias("payment_method"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("total_amount"),
-        F.expr("if(o_orderstatus = 'F', cast(1 + o_orderkey % 10 as int), null)").alias(
+        F.expr("if(o_orderstatus <=> 'F', cast(1 + o_orderkey % 10 as int), null)").alias(
             "shipping_days"
         ),
     )
 
-    first_orders = source_orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+
+def _customers(
+    customer: DataFrame, nation: DataFrame, region: DataFrame, orders: DataFrame
+) -> DataFrame:
+    first_orders = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.min("o_orderdate").cast("date").alias("registration_date")
     )
-    customers = (
-        read("customer")
-        .join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return (
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
         .join(first_orders, "c_custkey", "left")
         .select(
             F.col("c_custkey").alias("customer_id"),
@@ -55,8 +76,10 @@ def retail_views(spark: SparkSession, folder: str) -> RetailTables:
         )
     )
 
+
+def _products(part: DataFrame) -> DataFrame:
     price = F.col("p_retailprice").cast("decimal(18,2)")
-    products = read("part").select(
+    return part.select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
@@ -70,9 +93,11 @@ def retail_views(spark: SparkSession, folder: str) -> RetailTables:
         ),
     )
 
+
+def _order_items(lineitem: DataFrame) -> DataFrame:
     gross = F.col("l_extendedprice").cast("decimal(18,2)")
     discount = F.col("l_discount").cast("decimal(4,2)")
-    order_items = read("lineitem").select(
+    return lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("product_id"),
@@ -81,17 +106,5 @@ def retail_views(spark: SparkSession, folder: str) -> RetailTables:
         .cast("decimal(18,2)")
         .alias("unit_price"),
         discount.alias("discount_pct"),
-        line_total(gross, F.lit(1), discount).alias("line_total"),
-    )
-    return RetailTables(
-        customers=customers,
-        products=products,
-        orders=orders,
-        order_items=order_items,
-        primary_keys={
-            "customers": ("customer_id",),
-            "products": ("product_id",),
-            "orders": ("order_id",),
-            "order_items": ("order_id", "line_no"),
-        },
+        F.round(gross * (F.lit(1) - discount), 2).cast("decimal(18,2)").alias("line_total"),
     )
