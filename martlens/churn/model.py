@@ -22,8 +22,13 @@ from martlens.session import written
 
 @contextmanager
 def _held(df: DataFrame):
-    """Keep a frame in memory, or on disk beyond it, while it is reused."""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Keep a frame in memory, or on disk beyond it, while it is reused.
+
+    A forest passes over its input once per level, so the rows are spread over
+    all cores first; a matrix read from few files would train in few tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    df = df.repartition(cores, "customer_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
     finally:
@@ -81,7 +86,7 @@ def cv_auc(
     matrix: DataFrame,
     folds: int = 5,
     features: Sequence[str] = FEATURES,
-    parallelism: int = 2,
+    parallelism: int = 5,
     **forest,
 ) -> DataFrame:
     """Mean and population deviation of the AUC over stratified folds.

@@ -83,19 +83,17 @@ def star_view(t: RetailTables) -> DataFrame:
     """All tables joined at item grain; order columns repeat per item.
 
     Sum ``line_total`` here, never ``total_amount``: use :func:`order_view` for
-    order-grain figures.
+    order-grain figures. Customers join the orders, not the far more numerous
+    items, and the item join comes last, so that a count of distinct orders can
+    use its partitioning.
     """
     items = t.order_items.join(t.products, "product_id")
-    view = items.join(t.orders, "order_id").join(t.customers, "customer_id")
-    return _with_predictions(t, view)
+    return items.join(order_view(t), "order_id")
 
 
 def order_view(t: RetailTables) -> DataFrame:
     """Orders with their customer and, where known, the churn prediction."""
-    return _with_predictions(t, t.orders.join(t.customers, "customer_id"))
-
-
-def _with_predictions(t: RetailTables, view: DataFrame) -> DataFrame:
+    view = t.orders.join(t.customers, "customer_id")
     if t.churn_predictions is None:
         return view
     return view.join(t.churn_predictions, "customer_id", "left")

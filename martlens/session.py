@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Forcing the skew join lets the adaptive planner split a hot join partition even
 # when that costs one more exchange above the join; without skew the plan stays
-# as it is. The broadcast limit is compared with the estimated size of a join
-# side, which keeps narrow dimension projections from shuffling the fact table.
+# as it is. The broadcast limit stays at Spark's default: it is compared with the
+# size of compressed files, so a larger one would broadcast millions of rows.
 PLANNER_SETTINGS = {
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
