@@ -77,15 +77,15 @@ def measures(
     profit = bool(wanted & _PROFIT_ONLY)
     parts = []
     if wanted - {"churned_customers", "gross_profit"} or (sliced and profit):
-        items = None
+        orders = _orders_of_year(t, by, year)
         if sliced and profit:
-            items = _profit_per_order(t, category)
+            how = "left" if category is None else "inner"
+            orders = orders.join(_profit_per_order(t, category), "order_id", how)
         elif category is not None:
-            items = _items(t, category).select("order_id").distinct()
-        orders = _sliced_orders(t, by, year, region)
-        if items is not None:
-            how = "left_semi" if not profit else "left" if category is None else "inner"
-            orders = orders.join(items, "order_id", how)
+            # Distinct first: an order with very many items sends one id per task.
+            wanted_ids = _items(t, category).select("order_id").distinct()
+            orders = orders.join(wanted_ids, "order_id", "left_semi")
+        orders = _with_customers(t, orders, by, region)
         parts.append(_order_part(t, orders, by))
     if profit and not sliced:
         parts.append(_whole_profit(t))
@@ -144,23 +144,26 @@ def _whole_profit(t: RetailTables) -> DataFrame:
     return per_product.join(costs, "product_id").agg(F.sum(profit).alias("_profit"))
 
 
-def _sliced_orders(
-    t: RetailTables, by: Sequence[str], year: int | None, region: str | None
-) -> DataFrame:
+def _orders_of_year(t: RetailTables, by: Sequence[str], year: int | None) -> DataFrame:
     orders = t.orders
     if year is not None:
         # A date range reaches the scan; a function of the date would not.
         day = F.col("order_date")
         orders = orders.where(day.between(date(year, 1, 1), date(year, 12, 31)))
     order_columns = [c for c in by if c in _ORDER_COLUMNS]
-    orders = orders.withColumns({c: _ORDER_COLUMNS[c]() for c in order_columns})
+    return orders.withColumns({c: _ORDER_COLUMNS[c]() for c in order_columns})
+
+
+def _with_customers(
+    t: RetailTables, orders: DataFrame, by: Sequence[str], region: str | None
+) -> DataFrame:
     attributes = [c for c in by if c in _CUSTOMER_COLUMNS]
-    if attributes or region is not None:
-        customers = t.customers
-        if region is not None:
-            customers = customers.where(F.col("region") == region)
-        orders = orders.join(customers.select("customer_id", *attributes), "customer_id")
-    return orders
+    if not attributes and region is None:
+        return orders
+    customers = t.customers
+    if region is not None:
+        customers = customers.where(F.col("region") == region)
+    return orders.join(customers.select("customer_id", *attributes), "customer_id")
 
 
 def _order_part(t: RetailTables, orders: DataFrame, by: Sequence[str]) -> DataFrame:

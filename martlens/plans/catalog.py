@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.churn import evaluate, features, model, split
-from martlens.operators import customers, measures, products, quality, revenue
+from martlens.operators import customers, dashboard, measures, products, quality, revenue
 from martlens.session import tune
 from martlens.sources.tables import RetailTables
 from martlens.sources.tpch import retail_views
@@ -60,6 +60,9 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     # Revenue, customers, products, operations
     "monthly_revenue_trend": revenue.monthly_revenue_trend,
     "yearly_revenue": revenue.yearly_revenue,
+    "revenue_by_month": dashboard.revenue_by_month,
+    "revenue_by_category": dashboard.revenue_by_category,
+    "payment_volume": dashboard.payment_volume,
     "kpi_summary": revenue.kpi_summary,
     "clv_top20": customers.clv,
     "rfm_base": lambda t: customers.rfm_base(t, AS_OF),

@@ -286,6 +286,15 @@ _TEXTS = {
 SELECT strftime(order_date, '%Y-%m') AS month, COUNT(DISTINCT order_id) AS total_orders,
   {_money('SUM(total_amount)')} AS gross_revenue, {_mean('total_amount')} AS avg_order_value
 FROM delivered GROUP BY month""",
+    "revenue_by_month": f"""
+SELECT strftime(order_date, '%Y-%m') AS month, {_money('SUM(total_amount)')} AS revenue,
+  COUNT(DISTINCT order_id) AS orders
+FROM delivered GROUP BY month""",
+    "revenue_by_category": f"""
+SELECT p.category, {_money('SUM(i.line_total)')} AS revenue FROM {_STAR} GROUP BY p.category""",
+    "payment_volume": f"""
+SELECT payment_method, COUNT(*) AS transactions, {_mean('total_amount')} AS aov
+FROM delivered GROUP BY payment_method""",
     "yearly_revenue": f"""
 SELECT strftime(order_date, '%Y') AS year, {_money('SUM(total_amount)')} AS total_revenue,
   COUNT(DISTINCT order_id) AS orders_count, COUNT(DISTINCT customer_id) AS unique_customers

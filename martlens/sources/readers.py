@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -25,6 +26,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Exported churn predictions."""
+    return read_csv(spark, path, CHURN_PREDICTIONS)
+
+
 def read_csv_tables(
     spark: SparkSession, folder: str, predictions: str | None = None
 ) -> RetailTables:
@@ -33,21 +39,26 @@ def read_csv_tables(
         name: read_csv(spark, f"{folder}/{name}.csv", schema)
         for name, schema in BASE_SCHEMAS.items()
     }
-    scores = read_csv(spark, predictions, CHURN_PREDICTIONS) if predictions else None
+    scores = read_predictions(spark, predictions) if predictions else None
     return RetailTables(**frames, churn_predictions=scores)
 
 
-def read_published(spark: SparkSession, folder: str) -> RetailTables:
-    """Tables written by :func:`martlens.sources.sinks.publish`."""
+def read_published(
+    spark: SparkSession, folder: str, predictions: str | None = None
+) -> RetailTables:
+    """Tables written by :func:`martlens.sources.sinks.publish`.
+
+    Order ids count as unique if publishing found neither repeats nor nulls.
+    """
+    try:
+        checks = spark.read.parquet(f"{folder}/{CONSTRAINTS}")
+    except AnalysisException as missing:
+        raise FileNotFoundError(f"no published tables in {folder}") from missing
     frames = {name: spark.read.parquet(f"{folder}/{name}") for name in BASE_SCHEMAS}
-    checked = (
-        spark.read.parquet(f"{folder}/{CONSTRAINTS}")
-        .where("table_name = 'orders'")
-        .select("duplicate_keys", "null_keys")
-        .first()
-    )
-    clean = checked is not None and checked.duplicate_keys == 0 and checked.null_keys == 0
-    return RetailTables(**frames, unique_order_ids=clean)
+    orders = checks.where("table_name = 'orders'").first()
+    clean = orders is not None and orders.duplicate_keys == 0 and orders.null_keys == 0
+    scores = read_predictions(spark, predictions) if predictions else None
+    return RetailTables(**frames, churn_predictions=scores, unique_order_ids=clean)
 
 
 def read_catalog_tables(
