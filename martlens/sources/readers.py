@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from martlens.sources.schemas import BASE_SCHEMAS, CHURN_PREDICTIONS
-from martlens.sources.tables import RetailTables
+from martlens.sources.tables import RetailTables, check_order_ids
 
 CONSTRAINTS = "_checked_keys"
 
@@ -40,7 +40,9 @@ def read_csv_tables(
         for name, schema in BASE_SCHEMAS.items()
     }
     scores = read_predictions(spark, predictions) if predictions else None
-    return RetailTables(**frames, churn_predictions=scores)
+    return RetailTables(
+        **frames, churn_predictions=scores, unique_order_ids=check_order_ids
+    )
 
 
 def read_published(
@@ -62,8 +64,11 @@ def read_published(
 
 
 def read_catalog_tables(
-    spark: SparkSession, database: str, unique_order_ids: bool = False
+    spark: SparkSession, database: str, predictions: str | None = None
 ) -> RetailTables:
     """Tables saved by :func:`martlens.sources.sinks.publish_bucketed`."""
     frames = {name: spark.table(f"{database}.{name}") for name in BASE_SCHEMAS}
-    return RetailTables(**frames, unique_order_ids=unique_order_ids)
+    scores = read_predictions(spark, predictions) if predictions else None
+    return RetailTables(
+        **frames, churn_predictions=scores, unique_order_ids=check_order_ids
+    )

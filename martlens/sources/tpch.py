@@ -11,7 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.sources.tables import RetailTables
+from martlens.sources.tables import RetailTables, check_order_ids
 
 
 def retail_views(spark: SparkSession, folder: str) -> RetailTables:
@@ -26,6 +26,7 @@ def retail_views(spark: SparkSession, folder: str) -> RetailTables:
         products=lambda: _products(read("part")),
         orders=lambda: _orders(read("orders")),
         order_items=lambda: _order_items(read("lineitem")),
+        unique_order_ids=check_order_ids,
         primary_keys={
             "customers": ("customer_id",),
             "products": ("product_id",),

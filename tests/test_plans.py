@@ -6,6 +6,12 @@ import re
 
 import pytest
 
+from martlens.operators.revenue import (
+    kpi_summary,
+    monthly_revenue_trend,
+    revenue_by_region,
+    yearly_revenue,
+)
 from martlens.plans import catalog
 from martlens.sources.tpch import retail_views
 
@@ -64,11 +70,11 @@ def test_top_k_is_not_a_full_sort(spark, sample_dir):
 
 def test_checked_ids_need_no_exchange_of_ids(spark, sample_dir):
     t = retail_views(spark, sample_dir)
-    t.unique_order_ids = True
-    from martlens.operators.revenue import monthly_revenue_trend
-
+    assert t.unique_order_ids
     plan = plan_of(monthly_revenue_trend(t))
     assert plan.count("Exchange hashpartitioning") == 1 and "distinct" not in plan
+    for report in (yearly_revenue, kpi_summary, revenue_by_region):
+        assert "Expand" not in plan_of(report(t))
 
 
 def test_churn_features_exchange_orders_and_items_once(without_broadcast, sample_dir):

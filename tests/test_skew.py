@@ -1,4 +1,4 @@
-"""One customer, one order, one product and one amount hold a third of the rows."""
+"""One customer, order, product or amount, or copies of one order, hold a third of the rows."""
 
 from __future__ import annotations
 
@@ -16,11 +16,7 @@ QUERIES = catalog.queries()
 STATEMENTS = sql_checks.statements()
 
 
-@pytest.fixture(scope="module")
-def skewed_dir(tmp_path_factory):
-    if not os.path.isdir(SMALL):
-        pytest.skip("sample tables are not available")
-    folder = tmp_path_factory.mktemp("skewed")
+def write_skewed(folder, copies: int) -> str:
     con = duckdb.connect()
     changed = {
         "orders": """* REPLACE (
@@ -41,9 +37,28 @@ def skewed_dir(tmp_path_factory):
                 f"WHERE file_row_number % {FILES} = {part}) "
                 f"TO '{folder}/{name}.parquet/{part}.parquet'"
             )
+    if copies:
+        con.sql(
+            f"COPY (SELECT o.* FROM '{folder}/orders.parquet/*.parquet' o, range({copies}) "
+            f"WHERE o_orderkey = 4) TO '{folder}/orders.parquet/copies.parquet'"
+        )
     return str(folder)
 
 
+@pytest.fixture(scope="module")
+def skewed_dir(tmp_path_factory):
+    if not os.path.isdir(SMALL):
+        pytest.skip("sample tables are not available")
+    return write_skewed(tmp_path_factory.mktemp("skewed"), copies=0)
+
+
+@pytest.fixture(scope="module")
+def copied_dir(tmp_path_factory):
+    if not os.path.isdir(SMALL):
+        pytest.skip("sample tables are not available")
+    return write_skewed(tmp_path_factory.mktemp("copied"), copies=750)
+
+
 @pytest.fixture(scope="module")
 def eager_splitting(spark):
     """Thresholds low enough for the adaptive skew join to act on small files."""
@@ -70,9 +85,17 @@ def test_skewed_tables_match_sql(eager_splitting, skewed_dir, name):
     assert found == sql_rows(connect(skewed_dir), STATEMENTS[name])
 
 
+@pytest.mark.parametrize("name", sorted(STATEMENTS))
+def test_repeated_order_ids_match_sql(eager_splitting, copied_dir, name):
+    """A third of the orders are copies of one: nothing may rely on unique ids."""
+    assert not catalog.open_tables(eager_splitting, copied_dir).unique_order_ids
+    found = spark_rows(QUERIES[name](eager_splitting, copied_dir))
+    assert found == sql_rows(connect(copied_dir), STATEMENTS[name])
+
+
 @pytest.mark.parametrize("name", ["category_mix", "top_products", "revenue_by_region"])
-def test_hot_join_partitions_are_split(eager_splitting, skewed_dir, name):
-    df = QUERIES[name](eager_splitting, skewed_dir)
+def test_hot_join_partitions_are_split(eager_splitting, copied_dir, name):
+    df = QUERIES[name](eager_splitting, copied_dir)
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "isSkew=true" in final or "skew=true" in final
