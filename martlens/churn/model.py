@@ -37,7 +37,7 @@ def _held(df: DataFrame):
 
 def fit_forest(
     train: DataFrame,
-    features: Sequence[str] = FEATURES,
+    features: Sequence[str] | None = None,
     label: str = "churned",
     trees: int = 200,
     depth: int = 8,
@@ -45,10 +45,14 @@ def fit_forest(
     seed: int = 42,
     max_bins: int = 128,
 ) -> PipelineModel:
-    """Forest with balanced class weights; growth is distributed by MLlib."""
+    """Forest with balanced class weights; growth is distributed by MLlib.
+
+    ``features`` defaults to all known features the frame has.
+    """
+    inputs = features or [f for f in FEATURES if f in train.columns]
     weights = balanced_weights(train, label).select(label, "weight")
     weighted = train.join(F.broadcast(weights), label)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features")
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol=label,
@@ -71,7 +75,7 @@ def score(model: PipelineModel, matrix: DataFrame, label: str = "churned") -> Da
 
 
 def train_and_score(
-    matrix: DataFrame, features: Sequence[str] = FEATURES, **forest
+    matrix: DataFrame, features: Sequence[str] | None = None, **forest
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training side of the split; scored rows of the test side.
 
@@ -85,7 +89,7 @@ def train_and_score(
 def cv_auc(
     matrix: DataFrame,
     folds: int = 5,
-    features: Sequence[str] = FEATURES,
+    features: Sequence[str] | None = None,
     parallelism: int = 5,
     **forest,
 ) -> DataFrame:
@@ -113,11 +117,12 @@ def cv_auc(
 
 
 def importances(
-    model: PipelineModel, matrix: DataFrame, features: Sequence[str] = FEATURES, top: int = 3
+    model: PipelineModel, matrix: DataFrame, top: int = 3
 ) -> DataFrame:
     """Importance per feature, lowest first, with the strongest flagged."""
+    names = model.stages[0].getInputCols()
     values = model.stages[-1].featureImportances.toArray().tolist()
-    ranked = sorted(zip(features, values), key=lambda pair: (pair[1], pair[0]))
+    ranked = sorted(zip(names, values), key=lambda pair: (pair[1], pair[0]))
     first_top = len(ranked) - top
     rows = [(name, value, i >= first_top) for i, (name, value) in enumerate(ranked)]
     return matrix.sparkSession.createDataFrame(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PREFIX = 3  # hexadecimal digits, so 4096 slices of the digest range
+_PREFIX = 4  # hexadecimal digits, so 65,536 slices of the digest range
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -21,9 +21,9 @@ def digest_cutoffs(df: DataFrame, label: str, wanted: DataFrame, on: str) -> Dat
     """Digest of the row at a given place in the digest order of its label.
 
     ``df`` has ``label`` and ``_digest``; ``wanted`` has ``label``, a cutoff
-    number ``on`` and the 1-based ``place``. Slice counts (at most 4096 per
+    number ``on`` and the 1-based ``place``. Slice counts (at most 65,536 per
     label) locate the slice that holds the place. Only rows of such a slice are
-    ranked: about one in 4096 per cutoff, as digests are uniform.
+    ranked: about one in 65,536 per cutoff, as digests are uniform.
     """
     prefix = F.substring("_digest", 1, _PREFIX)
     rows = df.select(label, "_digest").withColumn("_slice", prefix)

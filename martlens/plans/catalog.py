@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,12 +142,24 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
 }
 
 
-@lru_cache(maxsize=8)
 def open_tables(spark: SparkSession, folder: str) -> RetailTables:
-    """The tables of a folder, opened once per session."""
+    """The tables of a folder, opened once per session and state of the files.
+
+    Changes are noticed in local folders; for remote ones take a new session.
+    """
+    return _opened(spark, folder, _file_stamps(folder))
+
+
+@lru_cache(maxsize=8)
+def _opened(spark: SparkSession, folder: str, stamps: tuple) -> RetailTables:
     return retail_views(tune(spark), folder)
 
 
+def _file_stamps(folder: str) -> tuple:
+    files = sorted(path for path in Path(folder).rglob("*.parquet") if path.is_file())
+    return tuple((str(p), p.stat().st_mtime_ns, p.stat().st_size) for p in files)
+
+
 def _bind(query: Callable[[RetailTables], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return query(open_tables(spark, folder))

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from martlens.sources.schemas import BASE_SCHEMAS, CHURN_PREDICTIONS
+from martlens.sources.schemas import BASE_SCHEMAS, CHURN_PREDICTIONS, MONTH_PARTITION
 from martlens.sources.tables import RetailTables, check_order_ids
 
 CONSTRAINTS = "_checked_keys"
@@ -57,6 +57,10 @@ def read_published(
     except AnalysisException as missing:
         raise FileNotFoundError(f"no published tables in {folder}") from missing
     frames = {name: spark.read.parquet(f"{folder}/{name}") for name in BASE_SCHEMAS}
+    # Without this, months such as 2024-01 would be read back as dates.
+    month = T.StructField(MONTH_PARTITION, T.StringType())
+    schema = T.StructType([*BASE_SCHEMAS["orders"].fields, month])
+    frames["orders"] = spark.read.schema(schema).parquet(f"{folder}/orders")
     orders = checks.where("table_name = 'orders'").first()
     clean = orders is not None and orders.duplicate_keys == 0 and orders.null_keys == 0
     scores = read_predictions(spark, predictions) if predictions else None

@@ -69,6 +69,9 @@ BASE_SCHEMAS = {
     "order_items": ORDER_ITEMS,
 }
 
+# Partition column of published orders: the month of the order date as text.
+MONTH_PARTITION = "order_month"
+
 # Declared primary keys, and foreign keys as (child, column, parent).
 PRIMARY_KEYS = {
     "customers": ("customer_id",),

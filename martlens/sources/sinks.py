@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from martlens.functions.exprs import year_month
 from martlens.operators.quality import duplicate_keys
 from martlens.sources.readers import CONSTRAINTS
+from martlens.sources.schemas import MONTH_PARTITION
 from martlens.sources.tables import RetailTables
 
 
@@ -20,10 +21,10 @@ def publish(tables: RetailTables, folder: str) -> None:
     frames = tables.base()
     orders = frames.pop("orders")
     (
-        orders.withColumn("order_month", year_month(F.col("order_date")))
-        .hint("rebalance", "order_month")
+        orders.withColumn(MONTH_PARTITION, year_month(F.col("order_date")))
+        .hint("rebalance", MONTH_PARTITION)
         .write.mode("overwrite")
-        .partitionBy("order_month")
+        .partitionBy(MONTH_PARTITION)
         .parquet(f"{folder}/orders")
     )
     for name, frame in frames.items():

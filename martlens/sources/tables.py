@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.sources.schemas import PRIMARY_KEYS
+from martlens.sources.schemas import MONTH_PARTITION, PRIMARY_KEYS
 
 DELIVERED = "Delivered"
 RETURNED = "Returned"
@@ -109,6 +110,21 @@ class RetailTables:
             return self.orders
         return self.orders.where(F.col("status") == F.lit(status))
 
+    def orders_of_year(self, year: int | None) -> DataFrame:
+        """Orders of one year, or all of them for ``None``.
+
+        The date range is pushed to the scan. Published orders are partitioned
+        by month, so there the same range also skips whole partitions.
+        """
+        if year is None:
+            return self.orders
+        day = F.col("order_date")
+        orders = self.orders.where(day.between(date(year, 1, 1), date(year, 12, 31)))
+        if MONTH_PARTITION in orders.columns:
+            months = F.col(MONTH_PARTITION).between(f"{year:04}-01", f"{year:04}-12")
+            orders = orders.where(months)
+        return orders
+
     def order_count(self, order_id: Column | None = None) -> Column:
         """Aggregate counting the distinct orders of an order-grain frame."""
         key = F.col("order_id") if order_id is None else order_id

@@ -26,6 +26,23 @@ def test_every_statement_has_a_query():
     }
 
 
+SQL_TYPES = {
+    "string": "VARCHAR",
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+}
+
+
+@pytest.mark.parametrize("name", sorted(STATEMENTS))
+def test_types_match_sql(spark, sample_dir, con, name):
+    ours = {c: SQL_TYPES[t] for c, t in QUERIES[name](spark, sample_dir).dtypes}
+    described = con.execute(f"DESCRIBE {STATEMENTS[name]}").fetchall()
+    assert ours == {row[0]: row[1] for row in described}
+
+
 @pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_matches_sql(spark, sample_dir, con, name):
     columns, rows = spark_rows(QUERIES[name](spark, sample_dir))

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import re
+from datetime import date
+
 import pytest
 
 from martlens.churn.evaluate import risk_bands
+from martlens.churn.features import churn_features
+from martlens.operators.measures import measures
 from martlens.operators.revenue import monthly_revenue_trend, revenue_by_region
 from martlens.sources import readers, sinks
 from martlens.sources.schemas import BASE_SCHEMAS
@@ -57,6 +62,18 @@ def test_publish_checks_keys_and_replaces(spark, shop, tmp_path):
     assert back.unique_order_ids and back.orders.count() == 3
     assert same(monthly_revenue_trend(back), monthly_revenue_trend(shop))
     assert same(revenue_by_region(back), revenue_by_region(shop))
+    assert dict(back.orders.dtypes)["order_month"] == "string"
+
+
+def test_year_slicer_skips_month_partitions(spark, tmp_path):
+    orders = [order("1", "a", date(2023, 5, 1)), order("2", "a", date(2024, 5, 1))]
+    sinks.publish(tables(spark, [customer("a")], orders=orders), str(tmp_path / "p"))
+    back = readers.read_published(spark, str(tmp_path / "p"))
+    sliced = measures(back, ["total_orders", "total_revenue"], year=2024)
+    assert sliced.first() == (1, 10.0)
+    plan = sliced._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", plan).group(1)
+    assert "order_month" in filters
 
 
 def test_published_repeats_are_not_trusted(spark, tmp_path):
@@ -79,7 +96,12 @@ def test_bucketed_tables_join_without_exchange(spark, shop):
     try:
         joined = back.order_items.join(back.orders, "order_id")
         plan = joined._jdf.queryExecution().executedPlan().toString()
+        features = churn_features(back, "2024-12-31")
+        features_plan = features._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(threshold, before)
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     assert joined.count() == 2
+    # Only the partial sums per customer move.
+    assert features_plan.count("Exchange hashpartitioning") == 1
+    assert same(features, churn_features(shop, "2024-12-31"))
