@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.functions.exprs import count_where, half_even, half_up, ratio
+from martlens.fixed_values import (
+    CLASS_NAMES,
+    HIGH_RISK,
+    MEDIUM_RISK,
+    PROBABILITY_DIGITS,
+    RISK_BANDS,
+)
+from martlens.functions.exprs import count_where, first_match, half_even, half_up, ratio
 from martlens.operators.ordering import running_totals
 
-CLASS_NAMES = ("Active", "Churned")
-
-
 def _per_score(scored: DataFrame, label: str, score: str) -> DataFrame:
     return scored.groupBy(F.col(score).alias("score")).agg(
         count_where(F.col(label) == 1).alias("pos"),
@@ -166,17 +170,14 @@ def classification_report(
 def risk_bands(
     scored: DataFrame,
     score: str = "score",
-    high: float = 0.7,
-    medium: float = 0.4,
-    digits: int = 4,
+    high: float = HIGH_RISK,
+    medium: float = MEDIUM_RISK,
+    digits: int = PROBABILITY_DIGITS,
 ) -> DataFrame:
     """Rounded churn probability and its band; the rounded value decides."""
     probability = half_even(F.col(score), digits)
-    band = (
-        F.when(F.col("churn_probability") > high, "High Risk")
-        .when(F.col("churn_probability") > medium, "Medium Risk")
-        .otherwise("Low Risk")
-    )
+    rounded = F.col("churn_probability")
+    band = first_match([rounded > high, rounded > medium], RISK_BANDS)
     return scored.select("customer_id", probability.alias("churn_probability")).withColumn(
         "predicted_segment", band
     )

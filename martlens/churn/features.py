@@ -9,6 +9,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martlens.fixed_values import CANCELLED, CATEGORIES, CHURN_DAYS, FEATURES, RETURNED
 from martlens.functions.exprs import (
     days_before,
     half_up,
@@ -19,25 +20,7 @@ from martlens.functions.exprs import (
     sum_if,
 )
 from martlens.session import written
-from martlens.sources.tables import CANCELLED, RETURNED, RetailTables
-
-# Order of the model inputs.
-FEATURES = (
-    "recency",
-    "frequency",
-    "monetary",
-    "avg_order_value",
-    "avg_shipping",
-    "returns",
-    "cancellations",
-    "avg_discount",
-    "age",
-    "gender",
-    "region",
-    "loyalty_tier",
-    "tenure_days",
-)
-CATEGORIES = ("gender", "region", "loyalty_tier")
+from martlens.sources.tables import RetailTables
 
 
 def churn_features(t: RetailTables, as_of: date | str, grain: str = "item") -> DataFrame:
@@ -99,12 +82,12 @@ def _one_if(status: str, weight):
     return F.when(F.col("status") == status, weight).otherwise(F.lit(0).cast("long"))
 
 
-def with_label(features: DataFrame, days: int = 180) -> DataFrame:
+def with_label(features: DataFrame, days: int = CHURN_DAYS) -> DataFrame:
     return features.withColumn("churned", (F.col("recency") > days).cast("int"))
 
 
 def churn_labels(
-    t: RetailTables, as_of: date | str, days: int = 180, grain: str = "item"
+    t: RetailTables, as_of: date | str, days: int = CHURN_DAYS, grain: str = "item"
 ) -> DataFrame:
     labelled = with_label(churn_features(t, as_of, grain), days)
     return labelled.select("customer_id", "recency", "churned")
@@ -137,7 +120,7 @@ def encoded_categories(t: RetailTables) -> DataFrame:
 def feature_matrix(
     t: RetailTables,
     as_of: date | str,
-    days: int = 180,
+    days: int = CHURN_DAYS,
     grain: str = "item",
     exclude_features: Sequence[str] = (),
 ) -> DataFrame:

@@ -15,8 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlens.churn.evaluate import roc_auc
-from martlens.churn.features import FEATURES
 from martlens.churn.split import balanced_weights, stratified_folds, stratified_split
+from martlens.fixed_values import (
+    DEPTH,
+    FEATURES,
+    FOLDS,
+    MIN_LEAF,
+    SEED,
+    TOP_FEATURES,
+    TREES,
+)
 from martlens.session import written
 
 
@@ -39,10 +47,10 @@ def fit_forest(
     train: DataFrame,
     features: Sequence[str] | None = None,
     label: str = "churned",
-    trees: int = 200,
-    depth: int = 8,
-    min_leaf: int = 5,
-    seed: int = 42,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    min_leaf: int = MIN_LEAF,
+    seed: int = SEED,
     max_bins: int = 128,
 ) -> PipelineModel:
     """Forest with balanced class weights; growth is distributed by MLlib.
@@ -88,7 +96,7 @@ def train_and_score(
 
 def cv_auc(
     matrix: DataFrame,
-    folds: int = 5,
+    folds: int = FOLDS,
     features: Sequence[str] | None = None,
     parallelism: int = 5,
     **forest,
@@ -117,7 +125,7 @@ def cv_auc(
 
 
 def importances(
-    model: PipelineModel, matrix: DataFrame, top: int = 3
+    model: PipelineModel, matrix: DataFrame, top: int = TOP_FEATURES
 ) -> DataFrame:
     """Importance per feature, lowest first, with the strongest flagged."""
     names = model.stages[0].getInputCols()

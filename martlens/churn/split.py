@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.fixed_values import FOLDS, SEED, TEST_PARTS
+
 _PREFIX = 4  # hexadecimal digits, so 65,536 slices of the digest range
 
 
@@ -55,8 +57,8 @@ def stratified_split(
     df: DataFrame,
     label: str = "churned",
     key: str = "customer_id",
-    parts: int = 5,
-    seed: int = 42,
+    parts: int = TEST_PARTS,
+    seed: int = SEED,
 ) -> DataFrame:
     """Adds ``is_test``: one row in ``parts`` of every label, rounded down."""
     marked = df.withColumn("_digest", _digest(key, seed))
@@ -74,10 +76,10 @@ def stratified_split(
 
 def stratified_folds(
     df: DataFrame,
-    folds: int = 5,
+    folds: int = FOLDS,
     label: str = "churned",
     key: str = "customer_id",
-    seed: int = 42,
+    seed: int = SEED,
 ) -> DataFrame:
     """Adds ``fold`` (0-based); fold sizes per label differ by at most one.
 

@@ -75,20 +75,25 @@ def year_text(day: Column) -> Column:
 
 def score_low_is_good(value: Column, cuts: Sequence[float]) -> Column:
     """Highest score for ``value <= cuts[0]``, one less per further cut, else 1."""
-    return _ladder([value <= F.lit(cut) for cut in cuts])
+    return first_match([value <= F.lit(cut) for cut in cuts], _descending(cuts))
 
 
 def score_high_is_good(value: Column, cuts: Sequence[float]) -> Column:
     """Highest score for ``value >= cuts[0]``, one less per further cut, else 1."""
-    return _ladder([value >= F.lit(cut) for cut in cuts])
+    return first_match([value >= F.lit(cut) for cut in cuts], _descending(cuts))
 
 
-def _ladder(steps: Sequence[Column]) -> Column:
-    top = len(steps) + 1
-    scored = F.when(steps[0], F.lit(top))
-    for lower, step in enumerate(steps[1:], start=1):
-        scored = scored.when(step, F.lit(top - lower))
-    return scored.otherwise(F.lit(1))
+def _descending(cuts: Sequence[float]) -> range:
+    return range(len(cuts) + 1, 0, -1)
+
+
+def first_match(conditions: Sequence[Column], results: Sequence) -> Column:
+    """The result of the first condition that holds, else the last result."""
+    *matched, last = results
+    whens = F
+    for condition, result in zip(conditions, matched, strict=True):
+        whens = whens.when(condition, F.lit(result))
+    return whens.otherwise(F.lit(last))
 
 
 def line_total(price: Column, quantity: Column, discount: Column) -> Column:

@@ -8,9 +8,23 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.fixed_values import (
+    AT_RISK_SCORE,
+    CHURN_DAYS,
+    DELIVERED,
+    FREQUENCY_LIMITS,
+    HISTOGRAM_BINS,
+    MONETARY_TILES,
+    RECENCY_LIMITS,
+    RECENT_SCORE,
+    SEGMENT_TOTALS,
+    SEGMENTS,
+    TOP_CUSTOMERS,
+)
 from martlens.functions.exprs import (
     count_where,
     days_before,
+    first_match,
     half_even,
     half_up,
     mean_money,
@@ -21,12 +35,14 @@ from martlens.functions.exprs import (
     score_low_is_good,
 )
 from martlens.operators.ordering import distributed_ntile, exact_medians
-from martlens.sources.tables import DELIVERED, RetailTables
+from martlens.sources.tables import RetailTables
 
 RFM_METRICS = ("recency", "frequency", "monetary")
 
 
-def clv(t: RetailTables, k: int | None = 20, status: str | None = DELIVERED) -> DataFrame:
+def clv(
+    t: RetailTables, k: int | None = TOP_CUSTOMERS, status: str | None = DELIVERED
+) -> DataFrame:
     """Lifetime value per customer, highest first; ``k=None`` keeps everyone.
 
     Orders are summed per customer before the join, since region and tier
@@ -84,12 +100,12 @@ def rfm_segments(
     t: RetailTables,
     as_of: date | str,
     status: str | None = DELIVERED,
-    r_cuts: Sequence[int] = (30, 90, 180, 365),
-    f_cuts: Sequence[int] = (20, 10, 5, 2),
-    m_tiles: int = 5,
-    totals: Sequence[int] = (13, 10, 7),
-    recent_r: int = 4,
-    risk_f: int = 4,
+    r_cuts: Sequence[int] = RECENCY_LIMITS,
+    f_cuts: Sequence[int] = FREQUENCY_LIMITS,
+    m_tiles: int = MONETARY_TILES,
+    totals: Sequence[int] = SEGMENT_TOTALS,
+    recent_r: int = RECENT_SCORE,
+    risk_f: int = AT_RISK_SCORE,
     ordered: bool = True,
 ) -> DataFrame:
     """RFM scores and segment per customer with an order of the given status.
@@ -105,15 +121,9 @@ def rfm_segments(
             "f_score": score_high_is_good(F.col("frequency"), f_cuts),
         }
     ).withColumn("rfm_total", F.col("r_score") + F.col("f_score") + F.col("m_score"))
-    total = F.col("rfm_total")
-    segment = (
-        F.when(total >= totals[0], "Champions")
-        .when(total >= totals[1], "Loyal Customers")
-        .when(total >= totals[2], "Potential Loyalists")
-        .when(F.col("r_score") >= recent_r, "Recent Customers")
-        .when(F.col("f_score") >= risk_f, "At Risk")
-        .otherwise("Churned")
-    )
+    conditions = [F.col("rfm_total") >= least for least in totals]
+    conditions += [F.col("r_score") >= recent_r, F.col("f_score") >= risk_f]
+    segment = first_match(conditions, SEGMENTS)
     result = scored.select(
         "customer_id",
         "recency_days",
@@ -138,12 +148,12 @@ def _rfm_long(t: RetailTables, as_of: date | str, status: str | None) -> DataFra
 
 
 def rfm_histogram(
-    t: RetailTables, as_of: date | str, bins: int = 30, status: str | None = DELIVERED
+    t: RetailTables, as_of: date | str, bins: int = HISTOGRAM_BINS, status: str | None = DELIVERED
 ) -> DataFrame:
     return histogram(_rfm_long(t, as_of, status), bins)
 
 
-def histogram(long: DataFrame, bins: int = 30) -> DataFrame:
+def histogram(long: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width counts of ``value`` per ``metric``, empty bins included.
 
     Bins are half-open but for the last. A value is placed by arithmetic and
@@ -243,7 +253,7 @@ def _churn_counts(
 def churn_by_region_tier(
     t: RetailTables,
     as_of: date | str,
-    days: int = 180,
+    days: int = CHURN_DAYS,
     by: Sequence[str] = ("region", "loyalty_tier"),
     status: str | None = DELIVERED,
 ) -> DataFrame:
@@ -262,7 +272,7 @@ def churn_by_region_tier(
 def churn_by_region(
     t: RetailTables,
     as_of: date | str,
-    days: int = 180,
+    days: int = CHURN_DAYS,
     by: Sequence[str] = ("region",),
     status: str | None = DELIVERED,
 ) -> DataFrame:
@@ -291,7 +301,7 @@ def churn_by_region(
 
 
 def churned_customers(
-    t: RetailTables, as_of: date | str, days: int = 180, status: str | None = DELIVERED
+    t: RetailTables, as_of: date | str, days: int = CHURN_DAYS, status: str | None = DELIVERED
 ) -> DataFrame:
     """Customers whose last order of the status is more than ``days`` old."""
     since = days_before(as_of, F.col("last_order"))

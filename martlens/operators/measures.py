@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martlens.fixed_values import CHURN_DAYS, DELIVERED, RETURNED
 from martlens.functions.exprs import (
     count_where,
     days_before,
@@ -27,7 +28,7 @@ from martlens.functions.exprs import (
     year_start,
     year_text,
 )
-from martlens.sources.tables import DELIVERED, RETURNED, RetailTables
+from martlens.sources.tables import RetailTables
 
 CORE = ("total_revenue", "total_orders", "avg_order_value", "unique_customers")
 CHURN = ("churned_customers", "unique_customers", "churn_rate_pct")
@@ -54,7 +55,7 @@ def measures(
     region: str | None = None,
     category: str | None = None,
     as_of: date | str | None = None,
-    days: int = 180,
+    days: int = CHURN_DAYS,
 ) -> DataFrame:
     """The named measures, per ``by`` and under the slicers.
 

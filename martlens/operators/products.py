@@ -12,7 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.fixed_values import (
+    CRITICAL_STOCK,
+    DELIVERED,
+    LOW_STOCK,
+    STOCK_LABELS,
+    TOP_PRODUCTS,
+)
 from martlens.functions.exprs import (
+    first_match,
     half_up,
     money,
     month_start,
@@ -20,7 +28,7 @@ from martlens.functions.exprs import (
     ratio,
     year_month,
 )
-from martlens.sources.tables import DELIVERED, RetailTables
+from martlens.sources.tables import RetailTables
 
 
 def items_of_orders(
@@ -43,7 +51,7 @@ def _per_product(t: RetailTables, status: str | None) -> DataFrame:
 
 def product_revenue(
     t: RetailTables,
-    k: int | None = 10,
+    k: int | None = TOP_PRODUCTS,
     category: str | None = None,
     status: str | None = DELIVERED,
 ) -> DataFrame:
@@ -184,15 +192,15 @@ def avg_discount(t: RetailTables, status: str | None = None) -> DataFrame:
 
 
 def low_stock(
-    t: RetailTables, low: int = 50, critical: int = 20, inclusive: bool = True
+    t: RetailTables,
+    low: int = LOW_STOCK,
+    critical: int = CRITICAL_STOCK,
+    inclusive: bool = True,
 ) -> DataFrame:
     """Products at or below the stock limit (below it if not ``inclusive``)."""
     stock = F.col("stock_quantity")
-    status = (
-        F.when(stock == 0, "OUT OF STOCK")
-        .when(stock <= critical, "CRITICAL")
-        .when(stock <= low, "LOW")
-        .otherwise("OK")
+    status = first_match(
+        [stock == 0, stock <= critical, stock <= low], STOCK_LABELS
     )
     return (
         t.products.where(stock <= low if inclusive else stock < low)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.fixed_values import DELIVERED
 from martlens.functions.exprs import (
     half_up,
     mean_money,
@@ -18,7 +19,7 @@ from martlens.functions.exprs import (
     year_start,
     year_text,
 )
-from martlens.sources.tables import DELIVERED, RetailTables
+from martlens.sources.tables import RetailTables
 
 
 def monthly_revenue_trend(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:

@@ -6,6 +6,7 @@ nothing with the Spark plans but the view definitions.
 
 from __future__ import annotations
 
+from martlens import fixed_values as fixed
 from martlens.plans.catalog import AS_OF, CATEGORY, YEAR
 
 _VIEWS = """
@@ -53,7 +54,13 @@ def _money(expr: str) -> str:
 
 
 def _round(expr: str, digits: int = 2, how: str = "ROUND") -> str:
-    return f"CAST({how}(CAST({expr} AS DECIMAL(28,10)), {digits}) AS DOUBLE)"
+    """Rounds the shortest decimal that stands for the double.
+
+    A direct cast to decimal multiplies in floating point and can miss a tie.
+    """
+    return (
+        f"CAST({how}(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(28,10)), {digits}) AS DOUBLE)"
+    )
 
 
 def _mean(expr: str, digits: int = 2) -> str:
@@ -75,6 +82,14 @@ def _int_sum(expr: str) -> str:
     return f"CAST(SUM({expr}) AS BIGINT)"
 
 
+def _case(conditions: list[str], results: tuple) -> str:
+    whens = " ".join(f"WHEN {c} THEN {r!r}" for c, r in zip(conditions, results))
+    return f"CASE {whens} ELSE {results[-1]!r} END"
+
+
+_SEGMENT_RULES = [f"r + f + m >= {total}" for total in fixed.SEGMENT_TOTALS]
+_SEGMENT_RULES += [f"r >= {fixed.RECENT_SCORE}", f"f >= {fixed.AT_RISK_SCORE}"]
+
 _RFM = f"""
 , rfm AS (
   SELECT customer_id, CAST(date_diff('day', MAX(order_date), {_DATE}) AS DOUBLE) AS recency_days,
@@ -91,19 +106,15 @@ _RFM_LONG = """
 
 _SEGMENTS = f"""
 , scored AS (
-  SELECT *, CASE WHEN recency_days <= 30 THEN 5 WHEN recency_days <= 90 THEN 4
-                 WHEN recency_days <= 180 THEN 3 WHEN recency_days <= 365 THEN 2 ELSE 1 END AS r,
-         CASE WHEN frequency >= 20 THEN 5 WHEN frequency >= 10 THEN 4
-              WHEN frequency >= 5 THEN 3 WHEN frequency >= 2 THEN 2 ELSE 1 END AS f,
-         CAST(NTILE(5) OVER (ORDER BY amount, customer_id) AS INTEGER) AS m
+  SELECT *, {_case([f'recency_days <= {d}' for d in fixed.RECENCY_LIMITS], (5, 4, 3, 2, 1))} AS r,
+         {_case([f'frequency >= {n}' for n in fixed.FREQUENCY_LIMITS], (5, 4, 3, 2, 1))} AS f,
+         CAST(NTILE({fixed.MONETARY_TILES}) OVER (ORDER BY amount, customer_id) AS INTEGER) AS m
   FROM rfm
 ), segments AS (
   SELECT customer_id, recency_days, frequency, {_money('amount')} AS monetary,
          CAST(r AS INTEGER) AS r_score, CAST(f AS INTEGER) AS f_score, m AS m_score,
          CAST(r + f + m AS INTEGER) AS rfm_total,
-         CASE WHEN r + f + m >= 13 THEN 'Champions' WHEN r + f + m >= 10 THEN 'Loyal Customers'
-              WHEN r + f + m >= 7 THEN 'Potential Loyalists' WHEN r >= 4 THEN 'Recent Customers'
-              WHEN f >= 4 THEN 'At Risk' ELSE 'Churned' END AS customer_segment
+         {_case(_SEGMENT_RULES, fixed.SEGMENTS)} AS customer_segment
   FROM scored
 )"""
 
@@ -112,7 +123,7 @@ _LAST_DELIVERED = """
   SELECT customer_id, MAX(order_date) AS last_order FROM delivered GROUP BY customer_id
 )"""
 
-_LAPSED = f"date_diff('day', last_order, {_DATE}) > 180"
+_LAPSED = f"date_diff('day', last_order, {_DATE}) > {fixed.CHURN_DAYS}"
 
 
 def _features(source: str, discount: str) -> str:
@@ -176,14 +187,17 @@ _SCORES = (
 )"""
 )
 
+_BAND_RULES = [
+    f"churn_probability > CAST({limit} AS DOUBLE)"
+    for limit in (fixed.HIGH_RISK, fixed.MEDIUM_RISK)
+]
+
 _BANDS = (
     _SCORES
     + f"""
 , bands AS (
   SELECT customer_id, churn_probability,
-         CASE WHEN churn_probability > CAST(0.7 AS DOUBLE) THEN 'High Risk'
-              WHEN churn_probability > CAST(0.4 AS DOUBLE) THEN 'Medium Risk'
-              ELSE 'Low Risk' END AS predicted_segment
+         {_case(_BAND_RULES, fixed.RISK_BANDS)} AS predicted_segment
   FROM (SELECT customer_id, {_round('score', 4, 'ROUND_EVEN')} AS churn_probability FROM scores)
 )"""
 )
@@ -232,10 +246,13 @@ def _by_customer_attribute(column: str) -> str:
 FROM delivered o JOIN customers_v c ON o.customer_id = c.customer_id GROUP BY c.{column}"""
 
 
+_STOCK_RULES = ["stock_quantity = 0"]
+_STOCK_RULES += [f"stock_quantity <= {n}" for n in (fixed.CRITICAL_STOCK, fixed.LOW_STOCK)]
+
+
 def _low_stock(where: str) -> str:
     return f"""SELECT product_id, product_name, category, stock_quantity,
-  CASE WHEN stock_quantity = 0 THEN 'OUT OF STOCK' WHEN stock_quantity <= 20 THEN 'CRITICAL'
-       WHEN stock_quantity <= 50 THEN 'LOW' ELSE 'OK' END AS stock_status
+  {_case(_STOCK_RULES, fixed.STOCK_LABELS)} AS stock_status
 FROM products_v WHERE {where}"""
 
 
@@ -309,7 +326,7 @@ SELECT c.customer_id, c.region, c.loyalty_tier, COUNT(DISTINCT o.order_id) AS to
   MIN(o.order_date) AS first_order, MAX(o.order_date) AS last_order
 FROM customers_v c JOIN delivered o ON c.customer_id = o.customer_id
 GROUP BY c.customer_id, c.region, c.loyalty_tier
-ORDER BY lifetime_value DESC NULLS LAST, c.customer_id LIMIT 20""",
+ORDER BY lifetime_value DESC NULLS LAST, c.customer_id LIMIT {fixed.TOP_CUSTOMERS}""",
     "rfm_base": _RFM
     + f"""
 SELECT customer_id, recency_days, frequency, {_money('amount')} AS monetary FROM rfm""",
@@ -361,7 +378,7 @@ GROUP BY c.region, c.loyalty_tier""",
 SELECT region, total, churned, churn_rate, {_round('rate', 6)} AS avg_rate,
   churn_rate > rate AS above_avg
 FROM rates CROSS JOIN mean""",
-    "top_products": _product_report("", "LIMIT 10"),
+    "top_products": _product_report("", f"LIMIT {fixed.TOP_PRODUCTS}"),
     "category_product_detail": _product_report(f"WHERE p.category = '{CATEGORY}'", ""),
     "category_mix": f"""
 SELECT p.category, COUNT(DISTINCT o.order_id) AS orders, {_money('SUM(i.line_total)')} AS revenue,

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from martlens.sources.schemas import MONTH_PARTITION, PRIMARY_KEYS
 
-DELIVERED = "Delivered"
-RETURNED = "Returned"
-CANCELLED = "Cancelled"
-
 Source = DataFrame | Callable[[], DataFrame]
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from martlens.churn import features as X
 from martlens.churn import split as S
+from martlens.fixed_values import FEATURES
 from tests.builders import AS_OF, by_key, customer, days_ago, item, order, tables
 
 
@@ -68,7 +69,7 @@ def test_codes_sort_nulls_as_text(shop):
 
 def test_matrix_codes_buyers_before_dropping_incomplete_rows(shop):
     matrix = X.feature_matrix(shop, AS_OF)
-    assert matrix.columns == [*X.FEATURES, "churned", "customer_id"]
+    assert matrix.columns == [*FEATURES, "churned", "customer_id"]
     rows = by_key(matrix, "customer_id")
     # c has no shipping days and drops out, but its gender still takes code 0.
     assert set(rows) == {"a", "b"}

@@ -5,6 +5,7 @@ import pytest
 from martlens.churn import evaluate as V
 from martlens.churn import features as X
 from martlens.churn import model as F
+from martlens.fixed_values import FEATURES
 from martlens.plans import catalog
 from martlens.sources.tpch import retail_views
 
@@ -44,7 +45,7 @@ def test_parameters_and_scores(matrix, fitted):
 
 def test_importances(matrix, fitted):
     rows = F.importances(fitted[0], matrix).collect()
-    assert len(rows) == len(X.FEATURES)
+    assert len(rows) == len(FEATURES)
     assert rows[-1].feature == "recency"
     assert [r.is_top for r in rows].count(True) == 3
     assert sum(r.importance for r in rows) == pytest.approx(1.0)
