@@ -90,10 +90,11 @@ def _descending(cuts: Sequence[float]) -> range:
 def first_match(conditions: Sequence[Column], results: Sequence) -> Column:
     """The result of the first condition that holds, else the last result."""
     *matched, last = results
-    whens = F
-    for condition, result in zip(conditions, matched, strict=True):
-        whens = whens.when(condition, F.lit(result))
-    return whens.otherwise(F.lit(last))
+    first, *others = zip(conditions, matched, strict=True)
+    chain = F.when(first[0], F.lit(first[1]))
+    for condition, result in others:
+        chain = chain.when(condition, F.lit(result))
+    return chain.otherwise(F.lit(last))
 
 
 def line_total(price: Column, quantity: Column, discount: Column) -> Column:

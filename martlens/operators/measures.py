@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.fixed_values import CHURN_DAYS, DELIVERED, RETURNED
@@ -86,8 +86,7 @@ def measures(
             # Distinct first: an order with very many items sends one id per task.
             wanted_ids = _items(t, category).select("order_id").distinct()
             orders = orders.join(wanted_ids, "order_id", "left_semi")
-        orders = _with_customers(t, orders, by, region)
-        parts.append(_order_part(t, orders, by))
+        parts.append(_order_part(t, orders, by, region))
     if profit and not sliced:
         parts.append(_whole_profit(t))
     if wanted & _CHURN_ONLY:
@@ -102,25 +101,27 @@ def measures(
     return collapsed.select(*keys, *[_formula(name).alias(name) for name in names])
 
 
-def _formula(name: str):
-    revenue, orders = F.col("_revenue"), F.col("_orders")
-    count = F.coalesce
-    zero = F.lit(0)
+def _formula(name: str) -> Column:
+    revenue, profit = F.col("_revenue"), F.col("_profit")
     return {
         "total_revenue": lambda: money(revenue),
-        "total_orders": lambda: count(orders, zero),
-        "avg_order_value": lambda: mean_money(revenue, orders),
-        "unique_customers": lambda: count(F.col("_customers"), zero),
-        "returned_orders": lambda: count(F.col("_returned"), zero),
-        "all_orders": lambda: count(F.col("_rows"), zero),
+        "total_orders": lambda: _or_zero("_orders"),
+        "avg_order_value": lambda: mean_money(revenue, F.col("_orders")),
+        "unique_customers": lambda: _or_zero("_customers"),
+        "returned_orders": lambda: _or_zero("_returned"),
+        "all_orders": lambda: _or_zero("_rows"),
         "return_rate_pct": lambda: percent(F.col("_returned"), F.col("_rows")),
-        "gross_profit": lambda: money(F.col("_profit")),
-        "profit_margin_pct": lambda: percent(F.col("_profit"), revenue),
-        "churned_customers": lambda: count(F.col("_churned"), zero),
+        "gross_profit": lambda: money(profit),
+        "profit_margin_pct": lambda: percent(profit, revenue),
+        "churned_customers": lambda: _or_zero("_churned"),
         "churn_rate_pct": lambda: percent(F.col("_churned"), F.col("_customers")),
     }[name]()
 
 
+def _or_zero(count: str) -> Column:
+    return F.coalesce(F.col(count), F.lit(0))
+
+
 def _items(t: RetailTables, category: str | None) -> DataFrame:
     """Items with the cost of their product, of one category if given."""
     products = t.products
@@ -150,30 +151,44 @@ def _orders_of_year(t: RetailTables, by: Sequence[str], year: int | None) -> Dat
     return t.orders_of_year(year).withColumns({c: _ORDER_COLUMNS[c]() for c in order_columns})
 
 
-def _with_customers(
+def _order_part(
     t: RetailTables, orders: DataFrame, by: Sequence[str], region: str | None
 ) -> DataFrame:
     attributes = [c for c in by if c in _CUSTOMER_COLUMNS]
+    customers = F.countDistinct("customer_id").alias("_customers")
     if not attributes and region is None:
-        return orders
-    customers = t.customers
+        return orders.groupBy(*by).agg(*_order_sums(t, orders), customers)
+
+    chosen = t.customers
     if region is not None:
-        customers = customers.where(F.col("region") == region)
-    return orders.join(customers.select("customer_id", *attributes), "customer_id")
+        chosen = chosen.where(F.col("region") == region)
+    chosen = chosen.select("customer_id", *attributes)
+    if not t.unique_order_ids:
+        # Distinct order ids have to survive the join.
+        joined = orders.join(chosen, "customer_id")
+        return joined.groupBy(*by).agg(*_order_sums(t, joined), customers)
+    # Summed per customer first, so that each one crosses the join once.
+    order_columns = [c for c in by if c in _ORDER_COLUMNS]
+    per_customer = orders.groupBy("customer_id", *order_columns).agg(*_order_sums(t, orders))
+    sums = [c for c in per_customer.columns if c not in ("customer_id", *order_columns)]
+    return (
+        per_customer.join(chosen, "customer_id")
+        .groupBy(*by)
+        .agg(*[F.sum(c).alias(c) for c in sums], customers)
+    )
 
 
-def _order_part(t: RetailTables, orders: DataFrame, by: Sequence[str]) -> DataFrame:
+def _order_sums(t: RetailTables, orders: DataFrame) -> list[Column]:
     delivered = F.col("status") == DELIVERED
     sums = [
         sum_if(delivered, F.col("total_amount")).alias("_revenue"),
         t.order_count(F.when(delivered, F.col("order_id"))).alias("_orders"),
-        F.countDistinct("customer_id").alias("_customers"),
         count_where(F.col("status") == RETURNED).alias("_returned"),
         F.count(F.lit(1)).alias("_rows"),
     ]
     if "_profit" in orders.columns:
         sums.append(F.sum("_profit").alias("_profit"))
-    return orders.groupBy(*by).agg(*sums)
+    return sums
 
 
 def _churn_part(

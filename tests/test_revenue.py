@@ -39,9 +39,9 @@ def test_rounding(spark):
     assert spark.range(1).select(total.alias("v")).first().v == Decimal("9.05")
 
 
-@pytest.fixture(scope="module")
-def shop(spark):
-    return _shop(spark)
+@pytest.fixture(scope="module", params=[False, True], ids=["any ids", "unique ids"])
+def shop(spark, request):
+    return _shop(spark, unique_order_ids=request.param)
 
 
 def _shop(spark, **options):
@@ -67,13 +67,11 @@ def _shop(spark, **options):
     )
 
 
-@pytest.mark.parametrize("unique", [False, True])
-def test_revenue_by_region_with_and_without_checked_ids(spark, unique):
-    t = _shop(spark, unique_order_ids=unique)
-    rows = [tuple(r) for r in R.revenue_by_region(t).collect()]
+def test_revenue_by_region_and_year(shop):
+    rows = [tuple(r) for r in R.revenue_by_region(shop).collect()]
     assert rows == [("North", 2, 1, 40.0, 20.0), ("South", 1, 1, 25.0, 25.0)]
-    assert R.kpi_summary(t).first() == (2, 3, 65.0, 21.67)
-    year = by_key(R.yearly_revenue(t), "year")
+    assert R.kpi_summary(shop).first() == (2, 3, 65.0, 21.67)
+    year = by_key(R.yearly_revenue(shop), "year")
     assert year["2024"] == {
         "year": "2024", "total_revenue": 40.0, "orders_count": 2, "unique_customers": 1
     }
@@ -123,6 +121,10 @@ def test_grouped_and_sliced_measures(shop):
     assert books.first() == (55.0, 2, 49.0)
     assert M.measures(shop, ("total_orders",), category="Toys").first() == (2,)
     assert M.measures(shop, ("total_revenue",), year=2023, region="South").first() == (25.0,)
+    both = M.measures(shop, M.CORE, by=["region", "year"])
+    assert {(r.region, r.year): (r.total_orders, r.unique_customers) for r in both.collect()} == {
+        ("North", "2024"): (2, 1), ("South", "2023"): (1, 1),
+    }
     months = by_key(M.measures(shop, ("total_revenue",), by=["year", "month"]), "year", "month")
     assert months["2024", "2024-01"]["total_revenue"] == 40.0
     assert months["2024", "2024-12"]["total_revenue"] is None
