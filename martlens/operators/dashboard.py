@@ -22,10 +22,6 @@ def revenue_by_month(t: RetailTables) -> DataFrame:
     )
 
 
-def revenue_by_category(t: RetailTables) -> DataFrame:
-    return P.category_mix(t).select("category", "revenue")
-
-
 def payment_volume(t: RetailTables) -> DataFrame:
     return R.payment_preference(t).selectExpr(
         "payment_method", "transactions", "avg_order_value AS aov"
@@ -64,6 +60,7 @@ def customer_page(
 def product_page(t: RetailTables, category: str | None = None) -> dict[str, Visual]:
     """``category`` drills the product table down to one category."""
     return {
+        "revenue_by_category": lambda: P.revenue_by_category(t),
         "category_treemap": lambda: P.category_product_rollup(t),
         "top_products": lambda: P.product_revenue(t),
         "category_by_month": lambda: P.category_month_revenue(t, wide=True),

@@ -76,8 +76,13 @@ def measures(
 
     sliced = bool(by) or year is not None or region is not None or category is not None
     profit = bool(wanted & _PROFIT_ONLY)
+    # The churn part knows the customers unless orders are sliced themselves.
+    own_customers = (
+        bool(wanted & _CHURN_ONLY) and wanted <= set(CHURN) and year is None and category is None
+    )
+    from_orders = wanted - {"churned_customers", "gross_profit"} and not own_customers
     parts = []
-    if wanted - {"churned_customers", "gross_profit"} or (sliced and profit):
+    if from_orders or (sliced and profit):
         orders = _orders_of_year(t, by, year)
         if sliced and profit:
             how = "left" if category is None else "inner"
@@ -92,7 +97,8 @@ def measures(
     if wanted & _CHURN_ONLY:
         if as_of is None:
             raise ValueError("churn measures need as_of")
-        parts.append(_churn_part(t, by, region, as_of, days))
+        churn = _churn_part(t, by, region, as_of, days)
+        parts.append(churn if own_customers else churn.drop("_customers"))
 
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     columns = [c for c in stacked.columns if c not in by]
@@ -198,13 +204,16 @@ def _churn_part(
     if other:
         raise ValueError(f"churn measures cannot be grouped by {other}")
     last = t.orders.groupBy("customer_id").agg(F.max("order_date").alias("_last"))
-    lapsed = last.where(days_before(as_of, F.col("_last")) > days)
     if by or region is not None:
         customers = t.customers
         if region is not None:
             customers = customers.where(F.col("region") == region)
-        lapsed = lapsed.join(customers.select("customer_id", *by), "customer_id")
-    return lapsed.groupBy(*by).agg(F.count("customer_id").alias("_churned"))
+        last = last.join(customers.select("customer_id", *by), "customer_id")
+    known = F.col("customer_id").isNotNull()
+    lapsed = days_before(as_of, F.col("_last")) > days
+    return last.groupBy(*by).agg(
+        count_where(known).alias("_customers"), count_where(known & lapsed).alias("_churned")
+    )
 
 
 def top_region_kpis(t: RetailTables) -> DataFrame:

@@ -39,16 +39,28 @@ def items_of_orders(
     return items.join(orders, "order_id")
 
 
-def _per_product(t: RetailTables, status: str | None) -> DataFrame:
+def _per_product(
+    t: RetailTables, status: str | None, *order_columns: Column, by: Sequence[str] = ()
+) -> DataFrame:
     """Units and revenue per sold product, before any product column joins."""
     items = t.order_items.select("order_id", "product_id", "quantity", "line_total")
     return (
-        items_of_orders(t, items, status)
-        .groupBy("product_id")
+        items_of_orders(t, items, status, *order_columns)
+        .groupBy("product_id", *by)
         .agg(F.sum("quantity").alias("units_sold"), F.sum("line_total").alias("_revenue"))
     )
 
 
+def revenue_by_category(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
+    return (
+        _per_product(t, status)
+        .join(t.products.select("product_id", "category"), "product_id")
+        .groupBy("category")
+        .agg(money(F.sum("_revenue")).alias("revenue"))
+        .orderBy(F.desc("revenue"), "category")
+    )
+
+
 def product_revenue(
     t: RetailTables,
     k: int | None = TOP_PRODUCTS,
@@ -128,17 +140,14 @@ def category_month_revenue(
     Without ``months`` the wide form first reads the distinct months that occur,
     which are bounded by the calendar.
     """
-    categories = t.products.select("product_id", "category")
-    items = t.order_items.select("order_id", "product_id", "line_total").join(
-        categories, "product_id"
-    )
     month = month_start(F.col("order_date")).alias("_month")
     label = year_month(F.col("_month")).alias("month")
     cells = (
-        items_of_orders(t, items, status, month)
+        _per_product(t, status, month, by=["_month"])
+        .join(t.products.select("product_id", "category"), "product_id")
         .groupBy("category", "_month")
-        .agg(F.sum("line_total").alias("_revenue"))
-        .select("category", label, money(F.col("_revenue")).alias("revenue"))
+        .agg(money(F.sum("_revenue")).alias("revenue"))
+        .select("category", label, "revenue")
     )
     if not wide:
         return cells.orderBy("category", "month")

@@ -62,7 +62,7 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "monthly_revenue_trend": revenue.monthly_revenue_trend,
     "yearly_revenue": revenue.yearly_revenue,
     "revenue_by_month": dashboard.revenue_by_month,
-    "revenue_by_category": dashboard.revenue_by_category,
+    "revenue_by_category": products.revenue_by_category,
     "payment_volume": dashboard.payment_volume,
     "kpi_summary": revenue.kpi_summary,
     "clv_top20": customers.clv,
