@@ -230,7 +230,7 @@ def _decode_lanes(blocks: list[bytes]) -> np.ndarray:
         low[at] += start * unit
         width[at] = part * unit
         for lane, _ in _shift_out(low, width, at):
-            code[lane] = code[lane] << np.uint32(8) | data[lane, read[lane]]
+            code[lane] = code[lane] << np.uint32(8) | data[lane, np.minimum(read[lane], data.shape[1] - 1)]
             read[lane] += 1
 
     for place in range(size):
