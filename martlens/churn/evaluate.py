@@ -28,15 +28,19 @@ def _per_score(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_auc(
-    scored: DataFrame, label: str = "churned", score: str = "score", digits: int = 6
+    scored: DataFrame, label: str = "churned", score: str = "score", digits: int | None = 6
 ) -> DataFrame:
-    """Area under the ROC curve, ties counted half; null for a single class."""
+    """Area under the ROC curve, ties counted half; null for a single class.
+
+    ``digits=None`` leaves it unrounded.
+    """
     ranked = running_totals(_per_score(scored, label, score), [F.desc("score")], ["pos"])
     above = F.col("pos_upto") - F.col("pos")
     # Twice the concordant pairs stays an exact integer.
     twice = F.sum((F.col("neg") * (above * 2 + F.col("pos"))).cast("decimal(38,0)"))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double") * 2
-    return ranked.agg(half_up(ratio(twice, pairs), digits).alias("auc"))
+    area = ratio(twice, pairs)
+    return ranked.agg((area if digits is None else half_up(area, digits)).alias("auc"))
 
 
 def roc_curve(
@@ -183,6 +187,22 @@ def risk_bands(
     )
 
 
+def predictions_check(
+    banded: DataFrame, matrix: DataFrame, high: float = HIGH_RISK, medium: float = MEDIUM_RISK
+) -> DataFrame:
+    """Customers scored, and how many break a property that predictions must have."""
+    p, segment = F.col("churn_probability"), F.col("predicted_segment")
+    by_limit = F.when(p > high, RISK_BANDS[0]).when(p > medium, RISK_BANDS[1]).otherwise(RISK_BANDS[2])
+    known = matrix.select("customer_id", F.lit(1).alias("_known")).distinct()
+    return banded.join(known, "customer_id", "left").agg(
+        F.count(F.lit(1)).alias("customers"),
+        count_where(F.col("customer_id").isNull()).alias("null_ids"),
+        count_where(p.isNull() | (p < 0) | (p > 1)).alias("outside_range"),
+        count_where(~segment.eqNullSafe(by_limit)).alias("wrong_band"),
+        count_where(F.col("_known").isNull()).alias("unknown_ids"),
+    )
+
+
 def risk_band_counts(banded: DataFrame) -> DataFrame:
     return (
         banded.groupBy("predicted_segment")

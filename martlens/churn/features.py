@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from martlens.functions.exprs import (
     ratio,
     sum_if,
 )
+from martlens.operators.ordering import global_position
 from martlens.session import written
 from martlens.sources.tables import RetailTables
 
@@ -96,27 +96,44 @@ def churn_labels(
 def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each column by the rank of its value in sorted order, from 0.
 
-    A null counts as the text ``nan``. Meant for attributes of few values, as
-    the indexer keeps the list of values of every column on the driver.
+    A null counts as the text ``nan``. The distinct values of a column are ranked
+    across tasks and joined, so none of them is kept on the driver.
     """
-    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns}
-    codes = {c: f"_{c}_code" for c in columns}
-    prepared = df.withColumns(texts)
-    indexer = StringIndexer(
-        inputCols=list(codes),
-        outputCols=list(codes.values()),
-        stringOrderType="alphabetAsc",
-    )
-    indexed = indexer.fit(prepared.select(*columns)).transform(prepared)
-    return indexed.withColumns(
-        {c: F.col(code).cast("int") for c, code in codes.items()}
-    ).drop(*codes.values())
+    for column in columns:
+        text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
+        values = df.select(text.alias("_value")).distinct()
+        ranks = global_position(values, ["_value"]).select(
+            "_value", (F.col("position") - 1).cast("int").alias("_code")
+        )
+        coded = df.withColumn("_text", text).join(ranks, F.col("_text") == F.col("_value"))
+        df = coded.withColumn(column, F.col("_code")).drop("_text", "_value", "_code")
+    return df
 
 
 def encoded_categories(t: RetailTables) -> DataFrame:
     return encode(t.customers.select("customer_id", *CATEGORIES), CATEGORIES)
 
 
+def _joined(t: RetailTables, as_of: date | str, days: int, grain: str) -> DataFrame:
+    labelled = with_label(churn_features(t, as_of, grain), days)
+    tenure = days_before(as_of, F.col("registration_date"))
+    return labelled.join(t.customers, "customer_id").withColumn("tenure_days", tenure)
+
+
+# Categories are never missing once coded.
+_NEEDED = [f for f in FEATURES if f not in CATEGORIES]
+
+
+def matrix_rows(
+    t: RetailTables, as_of: date | str, days: int = CHURN_DAYS, grain: str = "item"
+) -> DataFrame:
+    """The customers that the matrix keeps, with categories as they are.
+
+    Questions about labels alone are answered from this, without any write.
+    """
+    return _joined(t, as_of, days, grain).dropna("any", subset=_NEEDED)
+
+
 def feature_matrix(
     t: RetailTables,
     as_of: date | str,
@@ -126,20 +143,17 @@ def feature_matrix(
 ) -> DataFrame:
     """Model inputs, label and customer id; rows with a missing input drop out.
 
-    The joined customers are written once. Coding the categories needs a second
-    pass over them, and so does every later fit and score; none of these should
-    repeat the join of orders and items.
+    The joined customers are written once, as coding the categories needs passes
+    of its own, and so is the finished matrix: later fits and scores repeat no
+    join and read just the columns they need.
     """
-    joined = with_label(churn_features(t, as_of, grain), days).join(
-        t.customers, "customer_id"
+    customers = written(
+        _joined(t, as_of, days, grain).select(*FEATURES, "churned", "customer_id")
     )
-    tenure = days_before(as_of, F.col("registration_date"))
-    customers = written(joined.withColumn("tenure_days", tenure))
     kept = [f for f in FEATURES if f not in set(exclude_features)]
-    return (
-        encode(customers, CATEGORIES)
-        .dropna("any", subset=list(FEATURES))
-        .select(*kept, "churned", "customer_id")
+    coded = encode(customers, CATEGORIES)
+    return written(
+        coded.dropna("any", subset=_NEEDED).select(*kept, "churned", "customer_id")
     )
 
 

@@ -32,11 +32,12 @@ from martlens.session import written
 def _held(df: DataFrame):
     """Keep a frame in memory, or on disk beyond it, while it is reused.
 
-    A forest passes over its input once per level, so the rows are spread over
-    all cores first; a matrix read from few files would train in few tasks.
+    A forest passes over its input once per level, so the rows are spread first;
+    a matrix read from few files would train in few tasks. The number of parts
+    follows the size of the data and the shuffle settings, not the cores that
+    happen to be registered.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    df = df.repartition(cores, "customer_id").persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.repartition("customer_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
     finally:
@@ -82,6 +83,13 @@ def score(model: PipelineModel, matrix: DataFrame, label: str = "churned") -> Da
     )
 
 
+def train(matrix: DataFrame, features: Sequence[str] | None = None, **forest) -> PipelineModel:
+    """Fit on the training side of the split."""
+    side = stratified_split(matrix).where(~F.col("is_test")).drop("is_test")
+    with _held(side) as rows:
+        return fit_forest(rows, features, **forest)
+
+
 def train_and_score(
     matrix: DataFrame, features: Sequence[str] | None = None, **forest
 ) -> tuple[PipelineModel, DataFrame]:
@@ -98,19 +106,21 @@ def cv_auc(
     matrix: DataFrame,
     folds: int = FOLDS,
     features: Sequence[str] | None = None,
-    parallelism: int = 5,
+    parallelism: int = 2,
     **forest,
 ) -> DataFrame:
     """Mean and population deviation of the AUC over stratified folds.
 
     Class weights are those of each training side. The folds are independent
-    jobs and may overlap; the driver holds one number per fold.
+    jobs, of which ``parallelism`` overlap: each holds its own bagged copy of the
+    rows, with one count per tree. The driver holds one number per fold.
     """
     with _held(stratified_folds(matrix, folds)) as folded:
 
         def one(fold: int) -> float | None:
             model = fit_forest(folded.where(F.col("fold") != fold), features, **forest)
-            return roc_auc(score(model, folded.where(F.col("fold") == fold))).first().auc
+            tested = score(model, folded.where(F.col("fold") == fold))
+            return roc_auc(tested, digits=None).first().auc
 
         with ThreadPool(min(parallelism, folds)) as pool:
             areas = pool.map(one, range(folds))
@@ -124,6 +134,18 @@ def cv_auc(
     )
 
 
+def importances_check(importance: DataFrame) -> DataFrame:
+    """Number of features and flags, and whether sum and flags are right."""
+    flagged = F.when(F.col("is_top"), F.col("importance"))
+    others = F.when(~F.col("is_top"), F.col("importance"))
+    return importance.agg(
+        F.count(F.lit(1)).alias("features"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"),
+        F.sum(F.col("is_top").cast("long")).alias("flagged"),
+        (F.min(flagged) >= F.max(others)).alias("flagged_are_largest"),
+    )
+
+
 def importances(
     model: PipelineModel, matrix: DataFrame, top: int = TOP_FEATURES
 ) -> DataFrame:

@@ -60,10 +60,24 @@ def stratified_split(
     parts: int = TEST_PARTS,
     seed: int = SEED,
 ) -> DataFrame:
-    """Adds ``is_test``: one row in ``parts`` of every label, rounded down."""
+    """Adds ``is_test``: one row in ``parts``, rounded up, dealt to the labels.
+
+    Each label gets its share rounded down; rows left over go to the labels with
+    the largest fractions, ties to the smaller label.
+    """
     marked = df.withColumn("_digest", _digest(key, seed))
-    wanted = _label_sizes(df, label).select(
-        label, F.lit(1).alias("_part"), F.expr(f"_size div {parts}").alias("place")
+    # A row for each label; the windows run over those.
+    everything, ranked = Window.partitionBy(), Window.orderBy(F.desc("_rest"), label)
+    tests = F.expr(f"(_total + {parts - 1}) div {parts}")
+    wanted = (
+        _label_sizes(df, label)
+        .withColumn("_total", F.sum("_size").over(everything))
+        .withColumn("_tests", tests)
+        .withColumn("_base", F.expr("_tests * _size div _total"))
+        .withColumn("_rest", F.expr("_tests * _size % _total"))
+        .withColumn("_left", F.col("_tests") - F.sum("_base").over(everything))
+        .withColumn("_extra", (F.row_number().over(ranked) <= F.col("_left")).cast("long"))
+        .select(label, F.lit(1).alias("_part"), (F.col("_base") + F.col("_extra")).alias("place"))
     )
     cutoffs = digest_cutoffs(marked, label, wanted, "_part").drop("_part")
     is_test = F.coalesce(F.col("_digest") <= F.col("_cutoff"), F.lit(False))
@@ -114,6 +128,16 @@ def stratified_split_counts(matrix: DataFrame) -> DataFrame:
     )
 
 
+def fold_counts(matrix: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Rows per fold and label."""
+    return (
+        stratified_folds(matrix, folds)
+        .groupBy("fold", "churned")
+        .agg(F.count(F.lit(1)).alias("customers"))
+        .orderBy("fold", "churned")
+    )
+
+
 def balanced_weights(df: DataFrame, label: str = "churned") -> DataFrame:
     """Weight ``n / (classes * n_class)`` per class."""
     all_classes = Window.partitionBy()

@@ -50,16 +50,26 @@ def publish_exports(spark: SparkSession, exports: str, folder: str) -> RetailTab
 
 
 def write_reports(
-    spark: SparkSession, folder: str, output: str, as_of: date | str, predictions: str | None = None
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    as_of: date | str,
+    predictions: str | None = None,
+    **slicers,
 ) -> None:
-    """Write every report, and every dashboard visual below its page."""
+    """Write every report, and every dashboard visual below its page.
+
+    ``slicers`` are those of :func:`martlens.operators.dashboard.dashboard`.
+    """
     t = readers.read_published(spark, folder, predictions)
-    for name, report in reports(t, as_of).items():
-        report().write.mode("overwrite").parquet(f"{output}/reports/{name}")
-    for page, visuals in dashboard(t, as_of).items():
-        for name, visual in visuals.items():
-            visual().write.mode("overwrite").parquet(f"{output}/dashboard/{page}/{name}")
-    drop_written(spark)
+    try:
+        for name, report in reports(t, as_of).items():
+            report().write.mode("overwrite").parquet(f"{output}/reports/{name}")
+        for page, visuals in dashboard(t, as_of, **slicers).items():
+            for name, visual in visuals.items():
+                visual().write.mode("overwrite").parquet(f"{output}/dashboard/{page}/{name}")
+    finally:
+        drop_written(spark)
 
 
 def run_churn_model(
@@ -67,6 +77,15 @@ def run_churn_model(
 ) -> None:
     """Train, evaluate and export churn predictions for all customers."""
     t = readers.read_published(spark, folder)
+    try:
+        _churn_results(spark, t, output, as_of, **forest)
+    finally:
+        drop_written(spark)
+
+
+def _churn_results(
+    spark: SparkSession, t: RetailTables, output: str, as_of: date | str, **forest
+) -> None:
     matrix = features.feature_matrix(t, as_of)
     forest_model, tested = model.train_and_score(matrix, **forest)
     predictions = evaluate.risk_bands(model.score(forest_model, matrix))
@@ -84,4 +103,3 @@ def run_churn_model(
     }
     for name, result in results.items():
         result.write.mode("overwrite").parquet(f"{output}/churn/{name}")
-    drop_written(spark)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from martlens.operators import customers as C
 from martlens.operators import measures as M
@@ -28,14 +29,53 @@ def payment_volume(t: RetailTables) -> DataFrame:
     )
 
 
-def executive_page(t: RetailTables, as_of: date | str) -> dict[str, Visual]:
-    cards = (*M.CORE, "churn_rate_pct")
+def sliced(
+    t: RetailTables,
+    year: int | None = None,
+    region: str | None = None,
+    category: str | None = None,
+) -> RetailTables:
+    """The tables under the page slicers, so that every visual sees the same rows.
+
+    Orders are those of the year and of the region's customers, and with a
+    category those with an item of it, each once. Items are those of the
+    category. No slicer means no filter and no join.
+    """
+    customers, orders, items = t.customers, t.orders_of_year(year), t.order_items
+    if region is not None:
+        customers = customers.where(F.col("region") == region)
+        orders = orders.join(customers.select("customer_id"), "customer_id", "left_semi")
+    if category is not None:
+        products = t.products.where(F.col("category") == category)
+        items = items.join(products.select("product_id"), "product_id", "left_semi")
+        wanted = items.select("order_id").distinct()
+        orders = orders.join(wanted, "order_id", "left_semi")
+    return RetailTables(
+        customers, lambda: t.products, orders, items, t.churn_predictions,
+        lambda _: t.unique_order_ids, t.primary_keys,
+    )
+
+
+def executive_page(
+    t: RetailTables,
+    as_of: date | str,
+    year: int | None = None,
+    region: str | None = None,
+    category: str | None = None,
+) -> dict[str, Visual]:
+    """All visuals under the slicers of the page.
+
+    Churn asks for a customer's last order of any kind and date, so of the
+    slicers only the region applies to the churn card.
+    """
+    s = t if year is region is category is None else sliced(t, year, region, category)
     return {
-        "kpi_cards": lambda: M.measures(t, cards, as_of=as_of),
-        "revenue_by_month": lambda: revenue_by_month(t),
-        "revenue_by_region": lambda: R.revenue_by_region(t).select("region", "revenue"),
-        "orders_by_status": lambda: R.status_share(t),
-        "top_region": lambda: M.top_region_kpis(t),
+        "kpi_cards": lambda: M.measures(s, M.CORE),
+        "churn_card": lambda: M.measures(t, ("churn_rate_pct",), region=region, as_of=as_of),
+        "revenue_by_month": lambda: revenue_by_month(s),
+        "revenue_by_region": lambda: R.revenue_by_region(s).select("region", "revenue"),
+        "orders_by_status": lambda: R.status_share(s),
+        "top_region": lambda: M.top_region_kpis(s),
     }
 
 
@@ -79,11 +119,23 @@ def operations_page(t: RetailTables) -> dict[str, Visual]:
     }
 
 
-def dashboard(t: RetailTables, as_of: date | str) -> dict[str, dict[str, Visual]]:
-    """Every visual by page and name; call one to get its frame."""
+def dashboard(
+    t: RetailTables,
+    as_of: date | str,
+    year: int | None = None,
+    region: str | None = None,
+    category: str | None = None,
+    predicted_segment: str | None = None,
+    drill_category: str | None = None,
+) -> dict[str, dict[str, Visual]]:
+    """Every visual by page and name; call one to get its frame.
+
+    ``year``, ``region`` and ``category`` slice the first page,
+    ``predicted_segment`` the customer table, ``drill_category`` the products.
+    """
     return {
-        "executive": executive_page(t, as_of),
-        "customers": customer_page(t, as_of),
-        "products": product_page(t),
+        "executive": executive_page(t, as_of, year, region, category),
+        "customers": customer_page(t, as_of, predicted_segment),
+        "products": product_page(t, drill_category),
         "operations": operations_page(t),
     }

@@ -63,8 +63,9 @@ def measures(
     cover all statuses, so the margin mixes both, as published. A category
     slicer keeps the orders with an item of that category, each counted once,
     and only the profit of those items. Churn looks at the last order of any
-    kind and date; it can be grouped by customer columns only, and of the
-    slicers only the region applies to it.
+    kind and date; it can be grouped by customer columns and sliced by region
+    only. A year or category slicer would compare churned customers of all years
+    with the customers of one, so it stops with an error.
     """
     wanted = set(names)
     known = {*CORE, *CHURN, *PROFIT, *RETURNS}
@@ -74,6 +75,9 @@ def measures(
     if unknown:
         raise ValueError(f"cannot group by {unknown}")
 
+    if wanted & _CHURN_ONLY and (year is not None or category is not None):
+        raise ValueError("churn measures take no year and no category")
+
     sliced = bool(by) or year is not None or region is not None or category is not None
     profit = bool(wanted & _PROFIT_ONLY)
     # The churn part knows the customers unless orders are sliced themselves.

@@ -31,6 +31,12 @@ from martlens.functions.exprs import (
 from martlens.sources.tables import RetailTables
 
 
+# Columns of the wide matrix for orders without a date and for months not asked
+# for, and the most month columns it gets without being asked.
+NO_MONTH, OTHER_MONTHS = "no_month", "other_months"
+MOST_MONTHS = 1200
+
+
 def items_of_orders(
     t: RetailTables, items: DataFrame, status: str | None, *order_columns: str | Column
 ) -> DataFrame:
@@ -137,8 +143,11 @@ def category_month_revenue(
 ) -> DataFrame:
     """Revenue per category and month; ``wide`` turns months into columns.
 
-    Without ``months`` the wide form first reads the distinct months that occur,
-    which are bounded by the calendar.
+    Orders without a date count under ``no_month``. Without ``months`` the wide
+    form first reads the distinct months that occur and has a column for each;
+    more than ``MOST_MONTHS`` of them, as bad dates make, stop it. With
+    ``months``, revenue of all others is in ``other_months``, so that a row adds
+    up to the category's revenue in any case.
     """
     month = month_start(F.col("order_date")).alias("_month")
     label = year_month(F.col("_month")).alias("month")
@@ -151,13 +160,22 @@ def category_month_revenue(
     )
     if not wide:
         return cells.orderBy("category", "month")
+    cells = cells.withColumn("month", F.coalesce("month", F.lit(NO_MONTH)))
     if months is None:
         found = t.orders_with(status).select(month).distinct().select(label).orderBy("month")
-        months = [row.month for row in found.where("month is not null").collect()]
+        found = found.select(F.coalesce("month", F.lit(NO_MONTH)).alias("month"))
+        months = [row.month for row in found.limit(MOST_MONTHS + 1).collect()]
+        if len(months) > MOST_MONTHS:
+            raise ValueError(f"more than {MOST_MONTHS} months; pass the wanted ones")
+        columns = months
+    else:
+        columns = [*months, OTHER_MONTHS]
+        known = F.col("month").isin(list(months))
+        cells = cells.withColumn("month", F.when(known, F.col("month")).otherwise(OTHER_MONTHS))
     return (
         cells.groupBy("category")
-        .pivot("month", list(months))
-        .agg(F.sum("revenue"))
+        .pivot("month", list(columns))
+        .agg(half_up(F.sum("revenue"), 2))
         .orderBy("category")
     )
 

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.churn import evaluate, features, model, split
 from martlens.operators import customers, dashboard, measures, products, quality, revenue
-from martlens.session import tune
-from martlens.sources.tables import RetailTables
+from martlens.session import file_stamps, tune, written
+from martlens.sources.tables import RetailTables, check_order_ids
 from martlens.sources.tpch import retail_views
 
 AS_OF = "2001-08-01"  # last order date of the sample tables
 CATEGORY = "ECONOMY"
 YEAR = 1997
+REGION = "ASIA"
+MONTHS = [f"{YEAR}-{month:02}" for month in range(1, 13)]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,14 +42,43 @@ def _forest_metrics(t: RetailTables) -> DataFrame:
 
 def _forest_importance(t: RetailTables) -> DataFrame:
     matrix = _matrix(t)
-    forest, _ = model.train_and_score(matrix)
-    return model.importances(forest, matrix)
+    return model.importances(model.train(matrix), matrix)
 
 
 def _forest_predictions(t: RetailTables) -> DataFrame:
     matrix = _matrix(t)
-    forest, _ = model.train_and_score(matrix)
-    return evaluate.risk_bands(model.score(forest, matrix))
+    return evaluate.risk_bands(model.score(model.train(matrix), matrix))
+
+
+# A few trees show whether the properties of a fit hold; they hold for any number.
+CHECK_TREES = 10
+
+
+def _predictions_check(t: RetailTables) -> DataFrame:
+    """Customers scored, and how many of them break a property of predictions."""
+    matrix = _matrix(t)
+    scored = model.score(model.train(matrix, trees=CHECK_TREES), matrix)
+    return evaluate.predictions_check(evaluate.risk_bands(scored), matrix)
+
+
+def _importance_check(t: RetailTables) -> DataFrame:
+    matrix = _matrix(t)
+    forest = model.train(matrix, trees=CHECK_TREES)
+    return model.importances_check(model.importances(forest, matrix))
+
+
+def _forest_support(t: RetailTables) -> DataFrame:
+    _, scored = model.train_and_score(_matrix(t), trees=CHECK_TREES)
+    return evaluate.classification_report(scored).select("class", "support")
+
+
+def _label_rows(t: RetailTables) -> DataFrame:
+    """Label and id of the matrix rows, without coding any category."""
+    return features.matrix_rows(t, AS_OF).select("churned", "customer_id")
+
+
+def _executive_slice(t: RetailTables) -> dict:
+    return dashboard.executive_page(t, AS_OF, year=YEAR, region=REGION, category=CATEGORY)
 
 
 def _customer_360(t: RetailTables) -> DataFrame:
@@ -93,6 +122,11 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
         year=YEAR,
         category=CATEGORY,
     ),
+    "measures_by_region_slicer": lambda t: measures.measures(
+        t, measures.CORE + ("return_rate_pct",), by=["year"], region=REGION
+    ),
+    "executive_sliced_by_month": lambda t: _executive_slice(t)["revenue_by_month"](),
+    "executive_sliced_status": lambda t: _executive_slice(t)["orders_by_status"](),
     "churn_measure_by_region": lambda t: measures.measures(
         t, measures.CHURN, by=["region"], as_of=AS_OF
     ),
@@ -101,6 +135,9 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "customer_360": _customer_360,
     "category_product_rollup": products.category_product_rollup,
     "category_month_revenue": products.category_month_revenue,
+    "category_month_matrix": lambda t: products.category_month_revenue(
+        t, wide=True, months=MONTHS
+    ),
     "avg_discount": products.avg_discount,
     "shipping_trend": revenue.shipping_trend,
     "low_stock_strict": lambda t: products.low_stock(t, inclusive=False),
@@ -120,9 +157,10 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "churn_labels": lambda t: features.churn_labels(t, AS_OF),
     "encoded_categories": features.encoded_categories,
     "feature_matrix": _matrix,
-    "churn_dataset_summary": lambda t: features.churn_dataset_summary(_matrix(t)),
-    "stratified_split_counts": lambda t: split.stratified_split_counts(_matrix(t)),
-    "class_weights": lambda t: split.balanced_weights(_matrix(t)),
+    "churn_dataset_summary": lambda t: features.churn_dataset_summary(_label_rows(t)),
+    "stratified_split_counts": lambda t: split.stratified_split_counts(written(_label_rows(t))),
+    "cv_folds": lambda t: split.fold_counts(written(_label_rows(t))),
+    "class_weights": lambda t: split.balanced_weights(_label_rows(t)),
     # Evaluation on the deterministic score
     "classification_report": lambda t: evaluate.classification_report(
         deterministic_scores(t)
@@ -139,25 +177,35 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "cv_auc": lambda t: model.cv_auc(_matrix(t)),
     "feature_importance": _forest_importance,
     "churn_predictions": _forest_predictions,
+    "churn_predictions_check": _predictions_check,
+    "feature_importance_check": _importance_check,
+    "rf_support": _forest_support,
 }
 
 
 def open_tables(spark: SparkSession, folder: str) -> RetailTables:
-    """The tables of a folder, opened once per session and state of the files.
+    """The tables of a folder.
 
-    Changes are noticed in local folders; for remote ones take a new session.
+    Whether order ids are unique is remembered for exactly the files that were
+    checked, as listed by the folder's own file system; when a file is added,
+    replaced or removed, the answer is looked for again.
     """
-    return _opened(spark, folder, _file_stamps(folder))
+    return retail_views(tune(spark), folder, _remembered(spark, folder))
+
 
+_CHECKED: dict[tuple, bool] = {}
 
-@lru_cache(maxsize=8)
-def _opened(spark: SparkSession, folder: str, stamps: tuple) -> RetailTables:
-    return retail_views(tune(spark), folder)
 
+def _remembered(spark: SparkSession, folder: str) -> Callable[[DataFrame], bool]:
+    def check(orders: DataFrame) -> bool:
+        key = (spark.sparkContext.applicationId, file_stamps(spark, f"{folder}/orders.parquet"))
+        if key not in _CHECKED:
+            if len(_CHECKED) >= 64:
+                _CHECKED.clear()
+            _CHECKED[key] = check_order_ids(orders)
+        return _CHECKED[key]
 
-def _file_stamps(folder: str) -> tuple:
-    files = sorted(path for path in Path(folder).rglob("*.parquet") if path.is_file())
-    return tuple((str(p), p.stat().st_mtime_ns, p.stat().st_size) for p in files)
+    return check
 
 
 def _bind(query: Callable[[RetailTables], DataFrame]) -> Query:

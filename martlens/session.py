@@ -77,8 +77,26 @@ def written(df: DataFrame) -> DataFrame:
 
 def drop_written(spark: SparkSession) -> None:
     """Delete every table this application wrote with :func:`written`."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_staging_path(spark))
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    remove_folder(spark, _staging_path(spark))
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system, if it is there."""
+    path, system = _path(spark, folder)
     if system.exists(path):
         system.delete(path, True)
+
+
+def file_stamps(spark: SparkSession, folder: str) -> tuple:
+    """Path, time and size of every file below a folder of any file system."""
+    path, system = _path(spark, folder)
+    found, files = [], system.listFiles(path, True)
+    while files.hasNext():
+        file = files.next()
+        found.append((file.getPath().toString(), file.getModificationTime(), file.getLen()))
+    return tuple(sorted(found))

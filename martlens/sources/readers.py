@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.sources.schemas import BASE_SCHEMAS, CHURN_PREDICTIONS, MONTH_PARTITION
@@ -13,17 +14,45 @@ CONSTRAINTS = "_checked_keys"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV with a declared schema, so no inference pass over the data.
+    """Header CSV whose columns are found by name and converted by a schema.
 
-    A value that does not fit its type stops the read instead of becoming null.
+    Only the header is read ahead; there is no inference pass over the data.
+    Columns may come in any order, and further ones are left out. A missing
+    column, or files whose headers differ, stop the read. So does a value that
+    does not fit its type exactly: ``3.0`` is an integer, ``3.5`` is not, and
+    money with more decimals than the column has is not rounded.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("dateFormat", "yyyy-MM-dd")
+    rows = (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
+    missing = [field.name for field in schema if field.name not in rows.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return rows.select(*[_exact(field) for field in schema])
+
+
+def _exact(field: T.StructField) -> Column:
+    """A text column in the type of ``field``; other values raise an error."""
+    value, kind = F.trim(F.col(field.name)), field.dataType
+    if isinstance(kind, T.IntegerType):
+        fits = value.rlike(r"^[+-]?[0-9]+(\.0*)?$")
+        number = value.try_cast("decimal(20,6)").try_cast(kind)
+    elif isinstance(kind, T.DecimalType):
+        fits = value.rlike(rf"^[+-]?[0-9]*(\.[0-9]{{0,{kind.scale}}}0*)?$")
+        number = value.try_cast(kind)
+    elif isinstance(kind, T.DateType):
+        fits = value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+        number = value.try_cast(kind)
+    elif isinstance(kind, T.StringType):
+        return F.col(field.name)
+    else:
+        fits, number = F.lit(True), value.try_cast(kind)
+    wrong = F.concat(F.lit(f"MALFORMED value of {field.name}: "), value)
+    good = value.isNull() | (fits & number.isNotNull())
+    return F.when(good, number).otherwise(F.raise_error(wrong).cast(kind)).alias(field.name)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +79,9 @@ def read_published(
 ) -> RetailTables:
     """Tables written by :func:`martlens.sources.sinks.publish`.
 
-    Order ids count as unique if publishing found neither repeats nor nulls.
+    Order ids count as unique if publishing found neither repeats nor nulls. Without
+    a record of its checks, as after a publish that was stopped, there is nothing
+    that could be trusted, and the read stops.
     """
     try:
         checks = spark.read.parquet(f"{folder}/{CONSTRAINTS}")
@@ -61,10 +92,16 @@ def read_published(
     month = T.StructField(MONTH_PARTITION, T.StringType())
     schema = T.StructType([*BASE_SCHEMAS["orders"].fields, month])
     frames["orders"] = spark.read.schema(schema).parquet(f"{folder}/orders")
-    orders = checks.where("table_name = 'orders'").first()
-    clean = orders is not None and orders.duplicate_keys == 0 and orders.null_keys == 0
     scores = read_predictions(spark, predictions) if predictions else None
-    return RetailTables(**frames, churn_predictions=scores, unique_order_ids=clean)
+    return RetailTables(
+        **frames, churn_predictions=scores, unique_order_ids=ids_are_unique(checks)
+    )
+
+
+def ids_are_unique(checks: DataFrame) -> bool:
+    """Whether the recorded key checks found neither repeated nor null order ids."""
+    orders = checks.where("table_name = 'orders'").first()
+    return orders is not None and orders.duplicate_keys == 0 and orders.null_keys == 0
 
 
 def read_catalog_tables(
@@ -72,7 +109,7 @@ def read_catalog_tables(
 ) -> RetailTables:
     """Tables saved by :func:`martlens.sources.sinks.publish_bucketed`."""
     frames = {name: spark.table(f"{database}.{name}") for name in BASE_SCHEMAS}
+    record = f"{database}.{CONSTRAINTS}"
+    clean = spark.catalog.tableExists(record) and ids_are_unique(spark.table(record))
     scores = read_predictions(spark, predictions) if predictions else None
-    return RetailTables(
-        **frames, churn_predictions=scores, unique_order_ids=check_order_ids
-    )
+    return RetailTables(**frames, churn_predictions=scores, unique_order_ids=clean)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from martlens.functions.exprs import year_month
 from martlens.operators.quality import duplicate_keys
+from martlens.session import remove_folder
 from martlens.sources.readers import CONSTRAINTS
 from martlens.sources.schemas import MONTH_PARTITION
 from martlens.sources.tables import RetailTables
@@ -15,9 +16,13 @@ from martlens.sources.tables import RetailTables
 def publish(tables: RetailTables, folder: str) -> None:
     """Replace the published tables and record the result of the key checks.
 
+    The record goes first and comes back last, from checks of the written tables:
+    a publish that stops half-way leaves tables nobody can take for checked.
     Orders are laid out by month. The rebalance hint sizes the files and splits
     a month that holds far more rows than the others.
     """
+    spark = tables.orders.sparkSession
+    remove_folder(spark, f"{folder}/{CONSTRAINTS}")
     frames = tables.base()
     orders = frames.pop("orders")
     (
@@ -29,7 +34,11 @@ def publish(tables: RetailTables, folder: str) -> None:
     )
     for name, frame in frames.items():
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-    duplicate_keys(tables).write.mode("overwrite").parquet(f"{folder}/{CONSTRAINTS}")
+    published = {
+        name: spark.read.parquet(f"{folder}/{name}") for name in ("orders", *frames)
+    }
+    checks = duplicate_keys(RetailTables(**published, primary_keys=tables.primary_keys))
+    checks.write.mode("overwrite").parquet(f"{folder}/{CONSTRAINTS}")
 
 
 def publish_bucketed(tables: RetailTables, database: str, buckets: int) -> None:
@@ -37,8 +46,11 @@ def publish_bucketed(tables: RetailTables, database: str, buckets: int) -> None:
 
     Joins of the two on ``order_id`` then need no exchange at all. Prefer
     :func:`publish` when single orders hold a large share of the items, since
-    the planner cannot split a bucket.
+    the planner cannot split a bucket. The record of the key checks is dropped
+    first and written last, as by :func:`publish`.
     """
+    spark = tables.orders.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {database}.{CONSTRAINTS}")
     for name, frame in tables.base().items():
         writer = frame.write.mode("overwrite").format("parquet")
         if name in ("orders", "order_items"):
@@ -50,6 +62,9 @@ def publish_bucketed(tables: RetailTables, database: str, buckets: int) -> None:
                 .sortBy("order_id")
             )
         writer.saveAsTable(f"{database}.{name}")
+    saved = {name: spark.table(f"{database}.{name}") for name in tables.base()}
+    checks = duplicate_keys(RetailTables(**saved, primary_keys=tables.primary_keys))
+    checks.write.mode("overwrite").saveAsTable(f"{database}.{CONSTRAINTS}")
 
 
 def write_csv(df: DataFrame, folder: str) -> None:

@@ -6,6 +6,7 @@ engine reading the same files gets the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,11 @@ from pyspark.sql import functions as F
 from martlens.sources.tables import RetailTables, check_order_ids
 
 
-def retail_views(spark: SparkSession, folder: str) -> RetailTables:
+def retail_views(
+    spark: SparkSession,
+    folder: str,
+    unique_order_ids: bool | Callable[[DataFrame], bool] = check_order_ids,
+) -> RetailTables:
     @cache
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,7 +31,7 @@ def retail_views(spark: SparkSession, folder: str) -> RetailTables:
         products=lambda: _products(read("part")),
         orders=lambda: _orders(read("orders")),
         order_items=lambda: _order_items(read("lineitem")),
-        unique_order_ids=check_order_ids,
+        unique_order_ids=unique_order_ids,
         primary_keys={
             "customers": ("customer_id",),
             "products": ("product_id",),

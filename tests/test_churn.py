@@ -85,17 +85,26 @@ def labelled(spark, sizes):
     return spark.createDataFrame(rows, "customer_id string, churned int")
 
 
-@pytest.mark.parametrize("sizes", [{0: 103, 1: 57}, {0: 4, 1: 5}, {0: 6000, 1: 3}])
-def test_split_is_exact_and_follows_the_digest_order(spark, sizes):
+@pytest.mark.parametrize(
+    "sizes, tests",
+    [
+        ({0: 103, 1: 57}, {0: 21, 1: 11}),
+        ({0: 4, 1: 5}, {0: 1, 1: 1}),
+        ({0: 6000, 1: 3}, {0: 1200, 1: 1}),
+        ({0: 7, 1: 6}, {0: 2, 1: 1}),
+        ({0: 73, 1: 72}, {0: 15, 1: 14}),
+    ],
+)
+def test_split_is_exact_and_follows_the_digest_order(spark, sizes, tests):
     rows = S.stratified_split(labelled(spark, sizes)).collect()
     assert len(rows) == sum(sizes.values())
-    for label, n in sizes.items():
+    for label in sizes:
         ids = sorted(
             (r.customer_id for r in rows if r.churned == label),
             key=lambda k: hashlib.md5(f"42-{k}".encode()).hexdigest(),
         )
         test = {r.customer_id for r in rows if r.churned == label and r.is_test}
-        assert test == set(ids[: n // 5])
+        assert test == set(ids[: tests[label]])
 
 
 def test_split_ignores_partitioning(spark):

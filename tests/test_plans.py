@@ -6,6 +6,9 @@ import re
 
 import pytest
 
+from martlens import session
+from martlens.churn import features, model
+from martlens.operators import ordering
 from martlens.operators.revenue import (
     kpi_summary,
     monthly_revenue_trend,
@@ -16,7 +19,10 @@ from martlens.plans import catalog
 from martlens.sources.tpch import retail_views
 
 QUERIES = catalog.queries()
-FITTED = {"rf_train_metrics", "cv_auc", "feature_importance", "churn_predictions"}
+FITTED = {
+    "rf_train_metrics", "cv_auc", "feature_importance", "churn_predictions",
+    "churn_predictions_check", "feature_importance_check", "rf_support",
+}
 
 
 def plan_of(df) -> str:
@@ -34,9 +40,30 @@ def without_broadcast(spark):
         spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
+@pytest.fixture
+def written_plans(monkeypatch):
+    """Plans of the tables that operators write on the way."""
+    plans = []
+
+    def noting(df):
+        plans.append(plan_of(df))
+        return session.written(df)
+
+    for module in (catalog, features, model, ordering):
+        monkeypatch.setattr(module, "written", noting)
+    return plans
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - FITTED))
-def test_no_cross_join_no_python_no_base_rows_in_one_task(without_broadcast, sample_dir, name):
+def test_no_cross_join_no_python_no_base_rows_in_one_task(
+    without_broadcast, sample_dir, written_plans, name
+):
     plan = plan_of(QUERIES[name](without_broadcast, sample_dir))
+    for each in [plan, *written_plans]:
+        _sound(each)
+
+
+def _sound(plan):
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan and "Pandas" not in plan

@@ -73,7 +73,18 @@ def test_month_matrix_long_and_wide(shop):
     assert set(wide["Books"]) == {"category", "2024-01", "2024-03"}
     assert wide["Books"]["2024-01"] == 50.0 and wide["Toys"]["2024-01"] is None
     chosen = P.category_month_revenue(shop, wide=True, months=["2024-02"])
-    assert chosen.columns == ["category", "2024-02"]
+    assert chosen.columns == ["category", "2024-02", "other_months"]
+    assert by_key(chosen, "category")["Books"]["other_months"] == 60.0
+
+
+def test_month_matrix_keeps_orders_without_a_date(spark):
+    t = tables(
+        spark, [customer("a")], [product("P1")],
+        [order("1", "a", date(2024, 1, 5)), ("2", "a", None, "Delivered", "UPI", Decimal("9"), 2)],
+        [item("i1", "1"), item("i2", "2")],
+    )
+    wide = P.category_month_revenue(t, wide=True).first().asDict()
+    assert wide == {"category": "Books", "2024-01": 10.0, "no_month": 10.0}
 
 
 def test_discount_over_all_or_one_status(shop):

@@ -147,6 +147,9 @@ def test_rejects_what_it_cannot_group(shop):
         M.measures(shop, M.CHURN, by=["month"], as_of=AS_OF)
     with pytest.raises(ValueError):
         M.measures(shop, M.CHURN)
+    for slicer in ({"year": 2024}, {"category": "Books"}):
+        with pytest.raises(ValueError, match="no year and no category"):
+            M.measures(shop, M.CHURN, as_of=AS_OF, **slicer)
 
 
 def test_top_region(shop):

@@ -8,7 +8,12 @@ import pytest
 from martlens.churn.evaluate import risk_bands
 from martlens.churn.features import churn_features
 from martlens.operators.measures import measures
-from martlens.operators.revenue import monthly_revenue_trend, revenue_by_region
+from martlens.operators.revenue import (
+    monthly_revenue_trend,
+    revenue_by_region,
+    shipping_by_region,
+)
+from martlens.plans import catalog
 from martlens.sources import readers, sinks
 from martlens.sources.schemas import BASE_SCHEMAS
 from tests.builders import customer, item, order, product, tables
@@ -54,6 +59,80 @@ def test_csv_header_and_bad_values(spark, tmp_path):
         readers.read_csv(spark, str(path), BASE_SCHEMAS["products"]).collect()
 
 
+PANDAS_ORDERS = [
+    "status,order_id,customer_id,total_amount,order_date,payment_method,shipping_days",
+    "Delivered,1,a,10.50,2024-12-01,UPI,3.0",
+    "Pending,2,a,7,2024-12-02,UPI,",
+]
+
+
+def test_csv_as_pandas_writes_it(spark, tmp_path):
+    """Integers with blanks become floats; columns may stand in another order."""
+    path = tmp_path / "orders.csv"
+    path.write_text("\n".join(PANDAS_ORDERS))
+    first, second = sorted(readers.read_csv(spark, str(path), BASE_SCHEMAS["orders"]).collect())
+    assert (first.order_id, first.customer_id, first.shipping_days) == ("1", "a", 3)
+    assert second.shipping_days is None and str(second.total_amount) == "7.00"
+    shop = tables(spark, [customer("a")])
+    for name, frame in shop.base().items():
+        if name != "orders":
+            sinks.write_csv(frame, str(tmp_path / f"{name}.csv"))
+    sinks.publish(readers.read_csv_tables(spark, str(tmp_path)), str(tmp_path / "p"))
+    row = shipping_by_region(readers.read_published(spark, str(tmp_path / "p"))).first()
+    assert row.region == "North" and 3 in row.asDict().values()
+
+
+@pytest.mark.parametrize("bad", ["Delivered,3,a,1.00,2024-12-02,UPI,3.5",
+                                 "Delivered,3,a,10.567,2024-12-02,UPI,3",
+                                 "Delivered,3,a,1.00,2024-13-02,UPI,3"])
+def test_csv_values_are_never_changed(spark, tmp_path, bad):
+    path = tmp_path / "orders.csv"
+    path.write_text("\n".join([*PANDAS_ORDERS, bad]))
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_csv(spark, str(path), BASE_SCHEMAS["orders"]).collect()
+
+
+def test_csv_without_a_column_stops(spark, tmp_path):
+    path = tmp_path / "orders.csv"
+    path.write_text("order_id,customer\n1,a")
+    with pytest.raises(ValueError, match="no column customer_id"):
+        readers.read_csv(spark, str(path), BASE_SCHEMAS["orders"])
+
+
+def test_stopped_publish_is_not_trusted(spark, shop, tmp_path, monkeypatch):
+    folder = str(tmp_path / "p")
+    sinks.publish(shop, folder)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(sinks, "duplicate_keys", stop)
+    with pytest.raises(RuntimeError):
+        sinks.publish(shop, folder)
+    with pytest.raises(FileNotFoundError):
+        readers.read_published(spark, folder)
+
+
+def test_replaced_files_are_checked_again(spark, sample_dir, tmp_path):
+    folder = f"file://{tmp_path}"
+    orders = spark.read.parquet(f"{sample_dir}/orders.parquet").limit(50).cache()
+    spark.read.parquet(f"{sample_dir}/customer.parquet").write.parquet(f"{folder}/customer.parquet")
+    counts = []
+    for rows in (orders, orders.union(orders)):
+        rows.write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+        counts.append(catalog.queries()["kpi_summary"](spark, folder).first().total_orders)
+    assert counts[0] == counts[1] > 0
+
+
+def test_no_job_while_published_reports_are_planned(spark, shop, tmp_path):
+    sinks.publish(shop, str(tmp_path / "p"))
+    back = readers.read_published(spark, str(tmp_path / "p"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "")
+    monthly_revenue_trend(back)
+    assert not tracker.getJobIdsForGroup("planning")
+
+
 def test_publish_checks_keys_and_replaces(spark, shop, tmp_path):
     folder = str(tmp_path / "published")
     sinks.publish(shop, folder)
