@@ -9,9 +9,10 @@ shingles within a band.
 
 No bucket of equal sketches is expanded into pairs while it may be one large
 group. First every member is verified against one leader of its bucket, and the
-links found are joined into components. Then members of a bucket that are still
-in different components are verified pairwise, so that no link between texts that
-share a bucket can be lost.
+links found are joined into components; large buckets that are not one component
+yet get further leaders. Then members of a bucket that are still in different
+components are verified pairwise, so that no link between texts that share a
+bucket can be lost.
 """
 
 from __future__ import annotations
@@ -36,7 +37,12 @@ SIMILARITY = 0.8
 # none of 32 sketches with 6e-5.
 SKETCHES = 32
 SAMPLED = 6
-LIST = 64  # members in a row when pairs of components are formed
+# Rounds of further leaders while buckets hold more open pairs than this for each
+# text; all pairs that are left then are compared.
+ROUNDS = 4
+PAIRS_PER_TEXT = 4
+LIST = 16  # members in a row when components are compared
+ROWS_PER_BATCH = "1000"  # rows that a task holds at once; they carry whole texts
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _CELLS = 4_000_000
@@ -211,34 +217,144 @@ def leader_pairs(members: DataFrame) -> DataFrame:
     return pairs.select("u", F.col("node").alias("v")).distinct()
 
 
-def open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that are in different components.
-
-    Members are listed in rows of up to 64 by component, and the lists of a
-    bucket's different components are paired; a bucket that is one component, the
-    usual case of a large one, makes no pair at all.
-    """
+def in_mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the buckets whose members are in several components."""
     labels = labels.select(F.col("node").alias("n"), "label")
     placed = members.join(labels, F.col("node") == F.col("n"), "left").select(
         "key", "node", F.coalesce("label", "node").alias("label")
     )
-    groups = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     mixed = (
-        groups.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1)
-        .select(F.col("key").alias("k"))
+        placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        .where(F.col("least") != F.col("most")).select(F.col("key").alias("k"))
+    )
+    return placed.join(mixed, F.col("key") == F.col("k"), "left_semi")
+
+
+def count_open_pairs(mixed: DataFrame) -> int:
+    """Pairs of a bucket's members in different components, counted from sizes."""
+    sizes = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    per_key = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    total = per_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
+    return int(total or 0)
+
+
+def round_pairs(mixed: DataFrame, links: DataFrame, round_number: int) -> DataFrame:
+    """Members of mixed buckets with one more leader of the bucket.
+
+    Hubs come first: the text that copies were made from matches them all, while
+    two copies may both be close to it and not to each other. Every other round
+    draws leaders by a hash instead.
+    """
+    ends = links.select(F.col("u").alias("n")).union(links.select(F.col("v").alias("n")))
+    degrees = ends.groupBy("n").agg(F.count(F.lit(1)).alias("degree"))
+    drawn = F.xxhash64("node", F.lit(round_number))
+    if round_number % 2:
+        rated = mixed.join(degrees, F.col("node") == F.col("n"), "left")
+        rank = F.struct(F.coalesce("degree", F.lit(0)), drawn)
+    else:
+        rated, rank = mixed, F.struct(drawn)
+    leaders = rated.groupBy("key").agg(F.max_by(F.struct("node", "label"), rank).alias("leader")).select(
+        F.col("key").alias("k"), F.col("leader.node").alias("lead"), F.col("leader.label").alias("lead_label")
     )
-    mixed_groups = groups.join(mixed, F.col("key") == F.col("k"), "left_semi").select(
-        F.col("key").alias("gk"), F.col("label").alias("gl"), "size"
+    pairs = mixed.join(leaders, F.col("key") == F.col("k")).where(F.col("label") != F.col("lead_label"))
+    return pairs.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct()
+
+
+def open_lists(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of lists of a bucket's members that together hold all its open pairs.
+
+    Members are listed with their texts, up to about 16 in a row: those of a large
+    component among themselves, the rest pooled. Lists of one large component are
+    not paired with each other. Comparing list with list moves a text once for
+    each list it meets, not for each member.
+    """
+    sizes = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    small = F.col("size") < LIST
+    pools = sizes.groupBy("key").agg(F.sum(F.when(small, F.col("size"))).alias("pooled"))
+    cells = sizes.join(pools.select(F.col("key").alias("pk"), "pooled"), F.col("key") == F.col("pk")).select(
+        F.col("key").alias("gk"), F.col("label").alias("gl"),
+        F.when(~small, F.col("label")).alias("own"),
+        F.ceil(F.when(small, F.col("pooled")).otherwise(F.col("size")) / LIST).alias("parts"),
     )
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LIST))
-    lists = written(
-        placed.join(mixed_groups, (F.col("key") == F.col("gk")) & (F.col("label") == F.col("gl")))
-        .groupBy("key", "label", part.alias("part")).agg(F.collect_list("node").alias("nodes"))
+    body = texts.select(F.col("node").alias("tn"), "text")
+    member = F.struct("node", "label", "text")
+    lists = (
+        mixed.join(cells, (F.col("key") == F.col("gk")) & (F.col("label") == F.col("gl")))
+        .join(body, F.col("node") == F.col("tn"))
+        .groupBy("key", "own", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(member).alias("a"))
+        .withColumn("id", F.xxhash64("own", "part"))
     )
-    other = lists.select(F.col("key").alias("k2"), F.col("label").alias("l2"), F.col("nodes").alias("n2"))
-    paired = lists.join(other, (F.col("key") == F.col("k2")) & (F.col("label") < F.col("l2")))
-    pairs = paired.select(F.explode("nodes").alias("a"), "n2").select("a", F.explode("n2").alias("b"))
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    lists = written(lists)
+    other = lists.select(F.col("key").alias("k2"), F.col("own").alias("own2"), F.col("id").alias("id2"), F.col("a").alias("b"))
+    met = (F.col("key") == F.col("k2")) & (F.col("id") <= F.col("id2"))
+    apart = F.col("own").isNull() | F.col("own2").isNull() | (F.col("own") != F.col("own2"))
+    return lists.join(other, met & apart).select("id", "id2", "a", "b")
+
+
+def links_of_lists(lists: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between members of two lists that are in different components."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
+
+        def shingled(members: list[dict]) -> list[tuple]:
+            out = []
+            for m in members:
+                if m["node"] not in kept:
+                    kept[m["node"]] = labelled_shingles(m["text"])
+                    if len(kept) > 1000:
+                        kept.popitem(last=False)
+                out.append((m["node"], m["label"], kept[m["node"]]))
+            return out
+
+        for batch in batches:
+            found = set()
+            for row in range(batch.num_rows):
+                one, two = (shingled(batch.column(n)[row].as_py()) for n in ("a", "b"))
+                for u, lu, su in one:
+                    for v, lv, sv in two:
+                        near = least * max(len(su), len(sv)) <= min(len(su), len(sv))
+                        if lu != lv and near and aligned_similarity(su, sv, least) >= least:
+                            found.add((min(u, v), max(u, v)))
+            cells = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cells], names=["u", "v"])
+
+    return lists.mapInArrow(compare, "u binary, v binary").distinct()
+
+
+def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    old = tested.select(F.col("u").alias("su"), F.col("v").alias("sv"))
+    return pairs.join(old, (F.col("u") == F.col("su")) & (F.col("v") == F.col("sv")), "left_anti")
+
+
+def class_labels(members: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the components of all verified links between bucket members.
+
+    Rounds of leaders go on while buckets hold many open pairs and links are
+    still found; each costs one comparison per member. The pairs then left are
+    all compared, so the result does not depend on the rounds.
+    """
+    spark, batch = members.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(batch):
+        spark.conf.set(batch, ROWS_PER_BATCH)
+    tested = written(leader_pairs(members))
+    links = written(verified(tested, texts, least))
+    labels = written(components(links))
+    few = PAIRS_PER_TEXT * texts.count()
+    for number in range(1, ROUNDS + 1):
+        mixed = written(in_mixed_buckets(members, labels))
+        if count_open_pairs(mixed) <= few:
+            break
+        pairs = written(untested(round_pairs(mixed, links, number), tested))
+        found = written(verified(pairs, texts, least))
+        tested, links = tested.union(pairs), links.union(found)
+        if not found.isEmpty():
+            labels = written(components(links))
+    else:
+        mixed = written(in_mixed_buckets(members, labels))
+    more = written(links_of_lists(open_lists(mixed, texts), least))
+    return labels if more.isEmpty() else written(components(links.union(more)))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES,
@@ -259,16 +375,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, count: int = SKE
         table.join(shared.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
     )
     texts = written(texts_of(docs, members.select("node").distinct()))
-    stars = written(leader_pairs(members))
-    links = written(verified(stars, texts, least))
-    labels = written(components(links))
-    rest = open_pairs(members, labels).join(
-        stars.select(F.col("u").alias("su"), F.col("v").alias("sv")),
-        (F.col("u") == F.col("su")) & (F.col("v") == F.col("sv")), "left_anti",
-    )
-    more = written(verified(rest, texts, least))
-    if not more.isEmpty():
-        labels = written(components(links.union(more)))
+    labels = class_labels(members, texts, least)
 
     node = text_node(F.col("text"))
     keyed = docs.select("doc_id", node.alias("node"))

@@ -387,9 +387,14 @@ def test_links_beyond_the_leader_are_found(spark):
     members = spark.createDataFrame([(b"a", 1), (b"b", 1), (b"c", 1), (b"d", 1)], "node binary, key long")
     assert {(bytes(r.u), bytes(r.v)) for r in order_minhash.leader_pairs(members).collect()} == {
         (b"a", b"b"), (b"a", b"c"), (b"a", b"d")}
+    base = prose(1, 120)
+    texts = {b"a": prose(9, 120), b"b": prose(8, 120), b"c": base, b"d": edited(base, 1, 1)}
     labels = spark.createDataFrame([(b"a", b"a"), (b"b", b"a")], "node binary, label binary")
-    pairs = {(bytes(r.u), bytes(r.v)) for r in order_minhash.open_pairs(members, labels).collect()}
-    assert pairs == {(b"a", b"c"), (b"a", b"d"), (b"b", b"c"), (b"b", b"d"), (b"c", b"d")}
+    mixed = order_minhash.in_mixed_buckets(members, labels)
+    assert order_minhash.count_open_pairs(mixed) == 5
+    frame = spark.createDataFrame(list(texts.items()), "node binary, text string")
+    links = order_minhash.links_of_lists(order_minhash.open_lists(mixed, frame)).collect()
+    assert {(bytes(r.u), bytes(r.v)) for r in links} == {(b"c", b"d")}
 
 
 def test_components(spark):
