@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.llm.components import components
+from martlens.llm.components import components, joined_components
 from martlens.llm.words import ascii_words
 from martlens.session import written
 
@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 SKETCHES = 32
 SAMPLED = 6
 # Rounds of further leaders while buckets hold more open pairs than this for each
-# text; all pairs that are left then are compared.
+# text and a round settles half of them; all pairs that are left then are compared.
 ROUNDS = 4
 PAIRS_PER_TEXT = 4
 LIST = 16  # members in a row when components are compared
@@ -46,6 +46,7 @@ ROWS_PER_BATCH = "1000"  # rows that a task holds at once; they carry whole text
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _CELLS = 4_000_000
+_COLUMNS = 65_536
 _WORDS: dict[bytes, int] = {}
 
 
@@ -292,6 +293,26 @@ def open_lists(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     return lists.join(other, met & apart).select("id", "id2", "a", "b")
 
 
+def may_reach(one: list[np.ndarray], two: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of two lists whose shared shingles allow ``least``.
+
+    No alignment is longer than the number of shared shingles, which a product of
+    incidence matrices gives for all pairs at once, a block of columns at a time.
+    """
+    texts = one + two
+    sizes = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    values, place = np.unique(np.concatenate(texts), return_inverse=True)
+    shared = np.zeros((len(one), len(two)))
+    for first in range(0, len(values), _COLUMNS):
+        here = (place >= first) & (place < first + _COLUMNS)
+        block = np.zeros((len(texts), min(_COLUMNS, len(values) - first)), np.float32)
+        block[owner[here], place[here] - first] = 1
+        shared += block[: len(one)] @ block[len(one) :].T
+    total = sizes[: len(one), None] + sizes[None, len(one) :]
+    return np.nonzero(shared * (1 + least) >= least * total - 1e-6)
+
+
 def links_of_lists(lists: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between members of two lists that are in different components."""
 
@@ -312,11 +333,10 @@ def links_of_lists(lists: DataFrame, least: float = SIMILARITY) -> DataFrame:
             found = set()
             for row in range(batch.num_rows):
                 one, two = (shingled(batch.column(n)[row].as_py()) for n in ("a", "b"))
-                for u, lu, su in one:
-                    for v, lv, sv in two:
-                        near = least * max(len(su), len(sv)) <= min(len(su), len(sv))
-                        if lu != lv and near and aligned_similarity(su, sv, least) >= least:
-                            found.add((min(u, v), max(u, v)))
+                for i, j in zip(*may_reach([m[2] for m in one], [m[2] for m in two], least)):
+                    (u, lu, su), (v, lv, sv) = one[i], two[j]
+                    if lu != lv and aligned_similarity(su, sv, least) >= least:
+                        found.add((min(u, v), max(u, v)))
             cells = list(zip(*found)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cells], names=["u", "v"])
 
@@ -331,8 +351,8 @@ def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 def class_labels(members: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(node, label) of the components of all verified links between bucket members.
 
-    Rounds of leaders go on while buckets hold many open pairs and links are
-    still found; each costs one comparison per member. The pairs then left are
+    Rounds of leaders go on while buckets hold many open pairs and each round
+    settles half of them; each costs one comparison per member. The pairs then left are
     all compared, so the result does not depend on the rounds.
     """
     spark, batch = members.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -341,20 +361,22 @@ def class_labels(members: DataFrame, texts: DataFrame, least: float = SIMILARITY
     tested = written(leader_pairs(members))
     links = written(verified(tested, texts, least))
     labels = written(components(links))
-    few = PAIRS_PER_TEXT * texts.count()
+    few, before = PAIRS_PER_TEXT * texts.count(), None
     for number in range(1, ROUNDS + 1):
         mixed = written(in_mixed_buckets(members, labels))
-        if count_open_pairs(mixed) <= few:
+        n_open = count_open_pairs(mixed)
+        if n_open <= few or (before and 2 * n_open > before):
             break
+        before = n_open
         pairs = written(untested(round_pairs(mixed, links, number), tested))
         found = written(verified(pairs, texts, least))
         tested, links = tested.union(pairs), links.union(found)
         if not found.isEmpty():
-            labels = written(components(links))
+            labels = written(joined_components(labels, found))
     else:
         mixed = written(in_mixed_buckets(members, labels))
     more = written(links_of_lists(open_lists(mixed, texts), least))
-    return labels if more.isEmpty() else written(components(links.union(more)))
+    return labels if more.isEmpty() else written(joined_components(labels, more))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES,

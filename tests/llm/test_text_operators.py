@@ -17,7 +17,7 @@ from martlens.llm import (
     chat, chunks, decontamination, language_id, licences, order_minhash, quality_rules, queries,
     token_files, toxicity, warc,
 )
-from martlens.llm.components import components
+from martlens.llm.components import components, joined_components
 from martlens.llm.pieces import PieceEncoder
 from martlens.llm.range_coder import HEAD, decode_blocks, encode_blocks
 from tests.parity import connect, spark_rows, sql_rows
@@ -416,6 +416,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).isEmpty()
 
 
+def test_components_joined_step_by_step_equal_those_of_all_links(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(20)]
+    rng.shuffle(links)
+    frame = lambda part: spark.createDataFrame(part, "u long, v long")
+    labels = components(frame(links[:30]))
+    for part in (links[30:50], links[50:], links[:5], []):
+        labels = joined_components(labels, frame(part))
+    whole = {r.node: r.label for r in components(frame(links)).collect()}
+    got = labels.collect()
+    assert len(got) == len(whole) and {r.node: r.label for r in got} == whole
+
+
+@pytest.mark.parametrize("columns", [7, 65_536])
+def test_no_alignable_pair_is_ruled_out(monkeypatch, columns):
+    monkeypatch.setattr(order_minhash, "_COLUMNS", columns)
+    texts = [edited(prose(n, size), 10 * n + k, k) for n, size in enumerate((3, 60, 200)) for k in range(6)]
+    lists = [order_minhash.labelled_shingles(t) for t in ["", *texts]]
+    passed = set(zip(*(x.tolist() for x in order_minhash.may_reach(lists, lists, 0.8))))
+    alike = {
+        (i, j) for i, a in enumerate(lists) for j, b in enumerate(lists)
+        if order_minhash.aligned_similarity(a, b) >= 0.8
+    }
+    assert alike and alike <= passed and len(passed) < len(lists) ** 2 / 2
+
+
 def test_near_duplicate_edges(spark, edges, nothing):
     rows = order_minhash.near_duplicates(edges).collect()
     assert len(rows) == len(edge_rows())
