@@ -4,8 +4,11 @@ The five-word shingles of a text are labelled with their occurrence, so that all
 are distinct. A sketch samples the shingles with the smallest hash values under
 one hash function and keeps them in text order; two texts agree in a sketch with
 a chance that falls with their edit distance, not just with shared shingles.
-Texts that agree in a sketch are candidates, and are verified by aligning their
-shingles within a band.
+Texts of few shingles would agree only when nearly all are equal, so they are not
+sketched: they meet, without loss, by the rarest of their shingles (a prefix
+filter), and so do the somewhat longer texts that may be similar to them.
+Texts that agree in a sketch or meet by a shingle are candidates, and are verified
+by aligning their shingles within a band.
 
 No bucket of equal sketches is expanded into pairs while it may be one large
 group. First every member is verified against one leader of its bucket, and the
@@ -33,10 +36,14 @@ from martlens.session import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# A pair at the limit agrees in a sketch with a chance of 0.8 ** 6 = 0.26, and in
-# none of 32 sketches with 6e-5.
+# A pair with s of u shingles shared in order agrees in a sketch with a chance of
+# C(s, 6) / C(u, 6) or more. At the limit, that is 0.24 for the shortest texts that
+# are only sketched (s = 40, u = 50), which agree in none of 32 sketches with
+# 1.5e-4; for long texts it is 0.8 ** 6 = 0.26, and 6e-5.
 SKETCHES = 32
 SAMPLED = 6
+# Pairs with a text of so many shingles at most are found exactly.
+EXACT = 40
 # Rounds of further leaders while buckets hold more open pairs than this for each
 # text and a round settles half of them; all pairs that are left then are compared.
 ROUNDS = 4
@@ -148,22 +155,50 @@ def text_node(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def sketch_table(docs: DataFrame, count: int = SKETCHES, sampled: int = SAMPLED) -> DataFrame:
-    """(node, key), one row per distinct text and sketch."""
+def sketch_table(docs: DataFrame, count: int = SKETCHES, sampled: int = SAMPLED,
+                 least: float = SIMILARITY) -> DataFrame:
+    """(node, keys, shingles), one row per distinct text.
+
+    Texts of more than ``EXACT`` shingles have sketches as keys. Those that can be
+    similar to one of ``EXACT`` or fewer have their shingles, else null.
+    """
+    longest = int(EXACT / least + 1e-9)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                keys = [sketches(labelled_shingles(t), count, sampled).tolist()
-                        for t in part.column("text").to_pylist()]
+                every = [labelled_shingles(t) for t in part.column("text").to_pylist()]
+                keys = [sketches(x, count, sampled).tolist() if len(x) > EXACT else [] for x in every]
+                few = [x.view(np.int64).tolist() if len(x) <= longest else None for x in every]
+                long_list = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"]
+                    [part.column("node"), pa.array(keys, long_list), pa.array(few, long_list)],
+                    names=["node", "keys", "shingles"],
                 )
 
     texts = docs.where("text is not null").select(text_node(F.col("text")).alias("node"), "text")
-    rows = texts.mapInArrow(sketch, "node binary, keys array<long>").dropDuplicates(["node"])
-    return rows.select("node", F.explode("keys").alias("key"))
+    rows = texts.mapInArrow(sketch, "node binary, keys array<long>, shingles array<long>")
+    return rows.dropDuplicates(["node"])
+
+
+def prefix_keys(table: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(node, key): the shared ones among the first shingles of texts of few shingles.
+
+    Shingles are ordered by the number of texts that have them, then by value. Of
+    n shingles, a text that is similar to this one has at least ``least * n``, so
+    one of the first n - ceil(least * n) + 1 of either text is among those of the
+    other. As rare shingles come first, few texts meet by a common one.
+    """
+    few = table.where("shingles is not null").select("node", F.explode("shingles").alias("s"))
+    counts = few.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    counted = few.join(counts.select(F.col("s").alias("c"), "n"), F.col("s") == F.col("c"), "left")
+    one = F.struct(F.coalesce("n", F.lit(1)).alias("n"), "s")
+    ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(one)).alias("a"))
+    size = F.size("a")
+    first = F.slice("a", 1, (size - F.ceil(size * F.lit(least) - 1e-6) + 1).cast("int"))
+    rows = ordered.select("node", F.explode(first).alias("x")).where(F.col("x.n") > 1)
+    return rows.select("node", F.xxhash64("x.s").alias("key"))
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -389,9 +424,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, count: int = SKE
     has a null class_id. Repeated rows get equal results.
     """
     docs = docs.select("doc_id", "text")
-    table = sketch_table(docs, count, sampled)
+    rows = written(sketch_table(docs, count, sampled, least))
+    sketched = rows.select("node", F.explode("keys").alias("key"))
     # Keys alone are counted first; only rows of shared keys are kept.
-    table = written(table)
+    table = written(sketched.union(prefix_keys(rows, least)))
     shared = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = written(
         table.join(shared.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi")

@@ -382,6 +382,40 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values()) and kept.columns == docs.columns
 
 
+def test_short_texts_meet_without_loss(spark):
+    texts, n = {}, 0
+    for size in [*range(1, 60)]:
+        for extra in (0, 1, 2):
+            base = [f"w{size}x{extra}y{k}" for k in range(size + extra)]
+            longer = " ".join(base)
+            middle = base[: size // 2] + ["new"] + base[size // 2 + 1 :]
+            for text in (" ".join(base[:size]), longer, " ".join(middle), longer.upper() + "!"):
+                texts[n], n = f"{text}", n + 1
+    # A frequent passage in texts that are else different.
+    texts |= {n + k: f"all of these words stand in each text {prose(k, 3 + k % 40)}" for k in range(150)}
+    docs = documents(spark, list(texts.items()))
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    shingles = {i: order_minhash.labelled_shingles(t) for i, t in texts.items()}
+    want = {i: i for i in texts}
+    # Only pairs with a text of few shingles are sure to be found.
+    for i in texts:
+        for j in range(i):
+            a, b = shingles[i], shingles[j]
+            if min(len(a), len(b)) <= order_minhash.EXACT and order_minhash.aligned_similarity(a, b) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {k: new if v == old else v for k, v in want.items()}
+    pairs = [(8, 9), (9, 10), (11, 12)]
+    for one, two in pairs:
+        words = [f"z{k}" for k in range(two)]
+        a, b = (order_minhash.labelled_shingles(" ".join(words[:k])) for k in (one, two))
+        assert order_minhash.aligned_similarity(a, b) >= 0.8
+    for size, _ in pairs:
+        at = (size - 1) * 12 + 4  # the texts of one more word
+        assert got[at] == got[at + 1] == at
+    sure = {i for i in texts if len(shingles[i]) <= order_minhash.EXACT}
+    assert {i: got[i] for i in sure} == {i: want[i] for i in sure}
+
+
 def test_links_beyond_the_leader_are_found(spark):
     """Members of a bucket that the leader does not match are compared with each other."""
     members = spark.createDataFrame([(b"a", 1), (b"b", 1), (b"c", 1), (b"d", 1)], "node binary, key long")
