@@ -27,6 +27,11 @@ HASHES = 3
 MIN_SHARE = 0.02
 # Bound of the sample of labelled texts, for each language (in expectation).
 TEXTS_PER_LANGUAGE = 8_000
+# A language is told if its filter has this share of all n-grams of a text, and
+# the count is above the next one's and above zero by so many standard deviations
+# of the false positives.
+MIN_COVERAGE = 0.4
+NOISE_SD = 4
 UNKNOWN = "und"
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _LETTER = regex.compile(r"\p{L}")
@@ -106,21 +111,36 @@ class BitSlicedFilter:
 
     def decide(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score: the best corrected count over the sum of the best two."""
+        return [(language, score) for language, score, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score, and whether the evidence is enough to tell the language.
+
+        The score only compares two languages: it is 0.5 or more for any text with
+        evidence. So the best corrected count is also held against all n-grams of
+        the text and against the noise of false positives.
+        """
         out = []
         for first, cleaned in parts(texts):
             total, found = self.counts(cleaned)
             true = (found - total[:, None] * self.false_rate) / (1 - self.false_rate)
             true = np.clip(true, 0, None)
+            noise = total[:, None] * self.false_rate / (1 - self.false_rate)  # variances
             for row, values in enumerate(true):
                 text = texts[first + row]
                 if not text or not self.languages or not _LETTER.search(text):
-                    out.append((UNKNOWN, 0.0))
+                    out.append((UNKNOWN, 0.0, False))
                 elif not values.any():
-                    out.append((self.prior, 0.0))
+                    out.append((self.prior, 0.0, False))
                 else:
                     best = int(values.argmax())
-                    second = np.partition(values, -2)[-2] if len(values) > 1 else 0.0
-                    out.append((self.languages[best], float(values[best] / (values[best] + second))))
+                    others = np.delete(values, best)
+                    second = others.max() if len(others) else 0.0
+                    margin = values[best] - second
+                    deviation = np.sqrt(noise[row, best] + np.delete(noise[row], best).max(initial=0.0))
+                    told = margin > NOISE_SD * deviation and values[best] >= MIN_COVERAGE * total[row]
+                    score = float(values[best] / (values[best] + second))
+                    out.append((self.languages[best], score, bool(told)))
         return out
 
 
@@ -180,12 +200,12 @@ def fit(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE,
 
 
 def predictor(docs: DataFrame, model: BitSlicedFilter):
-    """Column function: text -> struct(lang_pred, score)."""
+    """Column function: text -> struct(lang_pred, score, told)."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, told boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(broadcast.value.decide(texts.tolist()), columns=["lang_pred", "score"])
+        return pd.DataFrame(broadcast.value.judge(texts.tolist()), columns=["lang_pred", "score", "told"])
 
     return predict
 
@@ -211,10 +231,15 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataFrame:
-    """Documents in a language that can be told; the rest is rejected."""
+    """Documents in a learned language that can be told; the rest is rejected.
+
+    Rejected are texts with a score below ``min_score``, and those without enough
+    evidence for one language: in other languages, gibberish, or even mixtures.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))), **options)
     guess = predictor(docs, model)(F.col("text"))
     kept = docs.withColumn("_guess", guess).where(
         (F.col("_guess.lang_pred") != UNKNOWN) & (F.col("_guess.score") >= min_score)
+        & F.col("_guess.told")
     )
     return kept.select(*docs.columns)

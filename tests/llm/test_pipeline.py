@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from martlens.llm import queries
+from martlens.llm import language_id, queries
 from tests.llm.test_text_operators import DOCS, edited, prose
 
 OTHER = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce".split()
@@ -37,6 +38,33 @@ def test_stages_and_result(spark, tmp_path):
         assert row.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and row.n_tokens == len(ids)
 
 
+def test_language_stage_rejects_what_no_language_explains(spark, tmp_path):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    italian = "il governo annuncia che la nuova legge sulla scuola entra in vigore questo anno per tutti".split()
+    planted = {
+        200: prose(200, 80, italian),
+        201: " ".join("".join(rng.choices(letters, k=7)) for _ in range(80)),
+        202: " ".join("".join(rng.choices("бвгдежзиклмн", k=6)) for _ in range(80)),
+        203: f"{prose(1, 4)} {prose(201, 76, italian)}",
+    }
+    texts = {i: prose(i, 90) for i in range(60)} | {60 + i: prose(i, 90, OTHER) for i in range(40)}
+    rows = [(i, t, "es" if 60 <= i < 100 else "en", f"s{i % 3}", len(t)) for i, t in texts.items()]
+    rows += [(i, t, None, "s", len(t)) for i, t in planted.items()]
+    docs = spark.createDataFrame(rows, DOCS)
+    good = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in good.collect()} == set(texts) | set(planted)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, good, str(tmp_path)).collect()} == set(texts)
+
+
+def test_equal_evidence_tells_no_language():
+    grams, _ = language_id.grams_of([b"alpha beta gamma"])
+    both = language_id.BitSlicedFilter(["a", "b"], np.concatenate([grams, grams]), np.repeat([0, 1], len(grams)))
+    assert both.judge(["alpha beta gamma"])[0] == ("a", 0.5, False)
+    one = language_id.BitSlicedFilter(["a", "b"], grams, np.zeros(len(grams), int))
+    assert one.judge(["alpha beta gamma"])[0] == ("a", 1.0, True)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
