@@ -86,15 +86,21 @@ def normal_line(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per document row and line with a word, normalised and hashed."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal_line)
+    """One row per document row and line with a word, normalised and hashed.
+
+    ``place`` counts all lines of the text, from 0.
+    """
+    lines = F.transform(
+        F.split(F.coalesce("text", F.lit("")), "\n"),
+        lambda x, j: F.struct(normal_line(x).alias("line"), j.alias("place")),
+    )
     hashed = F.transform(
-        F.filter(lines, lambda x: x != ""),
-        lambda x, j: F.struct(
-            F.xxhash64(x, F.lit(1)).alias("h1"),
-            F.xxhash64(F.lit(2), x).alias("h2"),
-            F.size(F.split(x, " ")).alias("words"),
-            j.alias("place"),
+        F.filter(lines, lambda x: x["line"] != ""),
+        lambda x: F.struct(
+            F.xxhash64(x["line"], F.lit(1)).alias("h1"),
+            F.xxhash64(F.lit(2), x["line"]).alias("h2"),
+            F.size(F.split(x["line"], " ")).alias("words"),
+            x["place"].alias("place"),
         ),
     )
     return (
@@ -110,9 +116,9 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def lost_words(docs: DataFrame, max_texts: int = MAX_LINE_TEXTS, max_pct: int = MAX_LINE_PCT) -> DataFrame:
-    """Words that documents lose to the line rule: doc_id, host, t1, t2, lost_words.
+    """What documents lose to the line rule: doc_id, host, t1, t2, lost_words, places.
 
-    A line over the limits is removed wherever it stands, except in the document
+    ``places`` are those of the removed lines. A line over the limits is removed wherever it stands, except in the document
     of the host with the smallest id that has it. Null hosts form one host.
     """
     lines = line_table(docs)
@@ -140,14 +146,22 @@ def lost_words(docs: DataFrame, max_texts: int = MAX_LINE_TEXTS, max_pct: int =
     # A row that is repeated loses each of its lines once.
     document = ["doc_id", "host", "t1", "t2"]
     lost = gone.select(*document, "place", "words").distinct()
-    return lost.groupBy(*document).agg(F.sum("words").alias("lost_words"))
+    return lost.groupBy(*document).agg(
+        F.sum("words").alias("lost_words"), F.collect_list("place").alias("places")
+    )
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the lines at these places; the other lines are unchanged."""
+    left = F.filter(F.split(text, "\n"), lambda x, j: ~F.array_contains(places, j))
+    return F.array_join(left, "\n")
 
 
 def _verdicts(docs: DataFrame, columns: list[str], **limits) -> DataFrame:
-    """``columns`` of every row, its statistics, ``base_failed`` and ``kept``."""
+    """``columns`` of every row, its statistics, losses, ``base_failed`` and ``kept``."""
     loss = lost_words(docs, **limits).select(
         F.col("doc_id").alias("l_id"), F.col("host").alias("l_host"),
-        F.col("t1").alias("l1"), F.col("t2").alias("l2"), "lost_words",
+        F.col("t1").alias("l1"), F.col("t2").alias("l2"), "lost_words", "places",
     )
     stats = text_statistics(F.col("text"))
     rows = docs.select(
@@ -165,7 +179,7 @@ def _verdicts(docs: DataFrame, columns: list[str], **limits) -> DataFrame:
     failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEATED_PCT * n)
     lost = F.coalesce("lost_words", F.lit(0)).cast("long")
     return judged.select(
-        "row", "s", failed.alias("base_failed"), lost.alias("lost_words"),
+        "row", "s", failed.alias("base_failed"), lost.alias("lost_words"), "places",
         (~failed & (100 * (n - lost) >= MIN_LEFT_PCT * n)).alias("kept"),
     )
 
@@ -182,5 +196,15 @@ def assess(docs: DataFrame, **limits) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The document rows that are kept, with all columns of ``docs``."""
-    return _verdicts(docs, docs.columns, **limits).where("kept").select("row.*")
+    """The document rows that are kept, without the lines above the limits.
+
+    All columns of ``docs`` are kept; ``n_chars``, if there, follows the text.
+    """
+    kept = _verdicts(docs, docs.columns, **limits).where("kept")
+    text, same = F.col("row.text"), F.col("places").isNull()
+    cleaned = kept.withColumn("cleaned", F.when(same, text).otherwise(without_lines(text, F.col("places"))))
+    new = {"text": F.col("cleaned")}
+    if "n_chars" in docs.columns:
+        chars = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(chars)
+    return cleaned.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -106,6 +106,21 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert verdicts == {i: i == 0 for i in range(20)}
 
 
+def test_kept_texts_lose_their_frequent_lines(spark):
+    banner = "Subscribe to our news letter today number 7"
+    body = [f"{prose(i, 40)}\r\n\n  {prose(50 + i, 40)} " for i in range(20)]
+    rows = [(i, f"{banner}\n{x}\n\t{banner.upper()} \n", "en", "h") for i, x in enumerate(body)]
+    rows += [(5, rows[5][1], "en", "h"), (100, prose(100, 60), "en", "h"), (101, f"{banner}\n{prose(9, 60)}", "en", None)]
+    docs = documents(spark, rows)
+    cleaned = quality_rules.keep_good(docs)
+    assert cleaned.schema.names == docs.schema.names and cleaned.dtypes == docs.dtypes
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in cleaned.collect())
+    want = [(i, t if i in (0, 100, 101) else f"{body[i]}\n") for i, t, *_ in rows]  # 0 carries the line
+    assert got == sorted((i, t, len(t)) for i, t in want)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_quality_edges(spark, edges, nothing):
     rows = quality_rules.assess(edges).collect()
     assert len(rows) == len(edge_rows()) and sum(r.doc_id == 4 and r.kept for r in rows) == 2
