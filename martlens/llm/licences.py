@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlens.llm.licence_texts import entire_texts, with_titles
 from martlens.llm.words import lower_ascii
 
 # Known licences are broadcast; more than this many take a shuffled join.
@@ -46,6 +47,7 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
     ("all-rights-reserved", "All rights reserved."),
 )
+LICENCE_TEXTS += with_titles(LICENCE_TEXTS) + entire_texts()
 SPELLINGS = (
     ("licence", "license"),
     ("licenced", "licensed"),
@@ -58,27 +60,78 @@ SPELLINGS = (
     ("favour", "favor"),
     ("labour", "labor"),
     ("version", "v"),
+    ("licences", "licenses"),
+    ("licencing", "licensing"),
+    ("sublicence", "sublicense"),
+    ("acknowledgement", "acknowledgment"),
+    ("analyse", "analyze"),
+    ("artefact", "artifact"),
+    ("authorisation", "authorization"),
+    ("authorised", "authorized"),
+    ("cancelled", "canceled"),
+    ("catalogue", "catalog"),
+    ("centre", "center"),
+    ("copyright owner", "copyright holder"),
+    ("favourite", "favorite"),
+    ("fulfilment", "fulfillment"),
+    ("initialise", "initialize"),
+    ("judgement", "judgment"),
+    ("labelling", "labeling"),
+    ("maximise", "maximize"),
+    ("modelled", "modeled"),
+    ("modelling", "modeling"),
+    ("non commercial", "noncommercial"),
+    ("offence", "offense"),
+    ("optimise", "optimize"),
+    ("organisations", "organizations"),
+    ("per cent", "percent"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("realise", "realize"),
+    ("recognise", "recognize"),
+    ("recognised", "recognized"),
+    ("signalling", "signaling"),
+    ("utilisation", "utilization"),
+    ("whilst", "while"),
+    ("wilful", "willful"),
 )
 COPYRIGHT_LINE = (
     r"(^|\n)[^a-z0-9\n]*(copyright *(\(c\)|©|[0-9<]|by )|\(c\) *[0-9<]|© *[0-9<])[^\n]*"
 )
 
 
+def _any_spelling() -> str:
+    """Pattern of a text with any of the spellings, alternatives by first letter."""
+    by_letter: dict[str, list[str]] = {}
+    for spelling, _ in SPELLINGS:
+        by_letter.setdefault(spelling[0], []).append(spelling[1:])
+    return " (?:" + "|".join(f"{a}(?:{'|'.join(x)})" for a, x in sorted(by_letter.items())) + ") "
+
+
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def canonical(text: Column) -> Column:
     """Canonical form: lower-case words between single blanks; null gives ''."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r", "\n")
     text = F.regexp_replace(lower_ascii(text), COPYRIGHT_LINE, "\n")
     text = F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     text = F.concat(F.lit(" "), F.trim(text), F.lit(" "))
-    for spelling, usual in SPELLINGS:
-        text = F.replace(text, F.lit(f" {spelling} "), F.lit(f" {usual} "))
-    return F.trim(text)
+
+    def respelled(form: Column) -> Column:
+        for spelling, usual in SPELLINGS:
+            form = F.replace(form, F.lit(f" {spelling} "), F.lit(f" {usual} "))
+        return form
+
+    # Few texts have any of the spellings; one search tells that for all of them.
+    return F.trim(_once(text, lambda x: F.when(x.rlike(_any_spelling()), respelled(x)).otherwise(x)))
 
 
 def digest(text: Column) -> Column:
     """Digest of the canonical form; null where nothing of the text is left."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return _once(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
 def known_licences(spark: SparkSession, texts=LICENCE_TEXTS) -> DataFrame:

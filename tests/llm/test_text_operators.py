@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -206,6 +207,37 @@ def test_more_languages_than_a_plane_holds():
 
 # Licences
 
+def test_entire_texts_and_headers_of_common_licences(spark):
+    folder = Path(licences.__file__).parent / "licence_texts"
+    texts = [(p.stem, p.read_text()) for p in sorted(folder.glob("*.txt"))]
+    assert len(texts) == 21
+    texts += [(n, "\r\n".join(f"  {x.upper()}" for x in t.splitlines())) for n, t in texts]
+    apache, gpl = ((folder / f"{n}.txt").read_text() for n in ("Apache-2.0", "GPL-2.0-only"))
+    texts += [
+        ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2019 Some One")),
+        ("Apache-2.0", apache.partition("APPENDIX")[0]),
+        ("BSD-3-Clause", "Copyright (c) 2001, A. Person\n" + next(t for n, t in licences.LICENCE_TEXTS if n == "BSD-3-Clause")),
+        ("MIT", licences.LICENCE_TEXTS[0][1].replace("MIT License", "The MIT Licence (MIT)").replace("<year>", "2020")),
+    ]
+    comment = """ * Copyright (C) 2011  A. Person
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    texts += [("GPL-3.0-or-later", comment), (None, comment.replace("hope", "faith")), (None, gpl + " and more")]
+    got = {r.doc_id: r.licence for r in licences.scan(documents(spark, [(i, t) for i, (_, t) in enumerate(texts)])).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(texts)}
+
+
 def test_licences(spark, edges, nothing):
     mit = dict(licences.LICENCE_TEXTS[:1])["MIT"]
     changed = mit.upper().replace("<YEAR> <COPYRIGHT HOLDERS>", "2024 Somebody").replace(",", " ;").replace("MIT LICENSE", "MIT Licence")
