@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.llm import (
-    chat, chunks, decontamination, language_id, licences, order_minhash, quality_rules,
-    token_files, toxicity, warc,
+    chat, chunks, decontamination, language_id, licences, order_minhash, pivots, pu_quality,
+    quality_rules, spelling, token_files, toxicity, warc,
 )
 from martlens.llm.sql_checks import statements
 from martlens.session import tune, written
@@ -89,9 +89,24 @@ def op10_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.digests(chunks.encode_documents(table(spark, folder, "documents"), VOCABULARY))
 
 
+def op11_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = pu_quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_pivot_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = pivots.cluster(table(spark, folder, "embeddings"))
+    return rows
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 _QUERIES = (
     op1_quality_rules, op2_decontamination, op3_language_id, op4_licence_scan, op5_warc_bundles,
     op6_token_files, op7_order_minhash, op8_toxicity, op9_chat_formatting, op10_bpe_chunks,
+    op11_quality_classifier, op12_pivot_clusters, op13_spelling_variants,
 )
 
 

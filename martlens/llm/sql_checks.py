@@ -150,6 +150,45 @@ FROM shown GROUP BY conv_id
 """
 
 
+def _clusters_sql(rounds: int = 5, k: int = 40) -> str:
+    """Lloyd's rounds, unrolled; every distance is worked out."""
+    near = """
+      SELECT r, k, d FROM (
+        SELECT r, k, d, row_number() OVER (PARTITION BY r ORDER BY d, k) AS place FROM (
+          SELECT r, k, CAST(list_sum(
+            [CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT) for z in list_zip(v.c, o.c)]) AS BIGINT) AS d
+          FROM v CROSS JOIN {centroids} o))
+      WHERE place = 1"""
+    means = """
+      SELECT o.k, coalesce(m.c, o.c) AS c FROM {centroids} o LEFT JOIN (
+        SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+          SELECT k, i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (
+            SELECT k, unnest(c) AS x, generate_subscripts(c, 1) AS i
+            FROM ({near}) a JOIN v USING (r))
+          GROUP BY k, i)
+        GROUP BY k) m USING (k)"""
+    parts = [f"""
+    WITH v AS MATERIALIZED (
+      SELECT row_number() OVER () AS r, vec_id, [CAST(floor(
+        least(greatest(256 * CAST(x AS DOUBLE), -134217728), 134217728)) AS HUGEINT) for x in embedding] AS c
+      FROM embeddings WHERE len(embedding) = 64
+        AND len([x for x in embedding if x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
+    ), k0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, c) - 1 AS k, c FROM v
+      QUALIFY k < {k}
+    )"""]
+    for n in range(rounds):
+        centroids = f"k{n}"
+        chosen = near.format(centroids=centroids)
+        parts.append(f"k{n + 1} AS MATERIALIZED ({means.format(centroids=centroids, near=chosen)})")
+    return ", ".join(parts) + f""", last AS MATERIALIZED ({near.format(centroids=f"k{rounds}")})
+    SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance,
+      CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+      CAST(sum(d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string([CAST(x AS VARCHAR) for x in o.c], ',')) AS centroid_sha256
+    FROM last JOIN v USING (r) JOIN k{rounds} o USING (k)"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op1_quality_rules": QUALITY,
@@ -157,4 +196,5 @@ def statements() -> dict[str, str]:
         "op4_licence_scan": _licence_sql(),
         "op5_warc_bundles": WARC,
         "op9_chat_formatting": CHAT,
+        "op12_pivot_clusters": _clusters_sql(),
     }
