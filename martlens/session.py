@@ -80,21 +80,22 @@ def drop_written(spark: SparkSession) -> None:
     remove_folder(spark, _staging_path(spark))
 
 
-def _path(spark: SparkSession, folder: str):
+def hadoop_path(spark: SparkSession, folder: str):
+    """A path and the file system it is on."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of any file system, if it is there."""
-    path, system = _path(spark, folder)
+    path, system = hadoop_path(spark, folder)
     if system.exists(path):
         system.delete(path, True)
 
 
 def file_stamps(spark: SparkSession, folder: str) -> tuple:
     """Path, time and size of every file below a folder of any file system."""
-    path, system = _path(spark, folder)
+    path, system = hadoop_path(spark, folder)
     found, files = [], system.listFiles(path, True)
     while files.hasNext():
         file = files.next()

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martlens.sources import snapshots
 from martlens.sources.schemas import BASE_SCHEMAS, CHURN_PREDICTIONS, MONTH_PARTITION
 from martlens.sources.tables import RetailTables, check_order_ids
 
-CONSTRAINTS = "_checked_keys"
+CONSTRAINTS, ORPHANS = "_checked_keys", "_orphan_keys"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -74,27 +74,40 @@ def read_csv_tables(
     )
 
 
+def published_frames(
+    spark: SparkSession, folder: str, parts: snapshots.Parts
+) -> dict[str, DataFrame]:
+    """The four base tables that a version consists of."""
+    frames = {
+        name: snapshots.read_whole(spark, folder, name, parts)
+        for name in BASE_SCHEMAS if name != "orders"
+    }
+    frames["orders"] = snapshots.read_by(
+        spark, folder, "orders", parts, MONTH_PARTITION, BASE_SCHEMAS["orders"]
+    )
+    return frames
+
+
 def read_published(
-    spark: SparkSession, folder: str, predictions: str | None = None
+    spark: SparkSession, folder: str, predictions: str | None = None,
+    version: int | None = None,
 ) -> RetailTables:
-    """Tables written by :func:`martlens.sources.sinks.publish`.
+    """A version written by :func:`martlens.sources.sinks.publish`, by default the last.
 
-    Order ids count as unique if publishing found neither repeats nor nulls. Without
-    a record of its checks, as after a publish that was stopped, there is nothing
-    that could be trusted, and the read stops.
+    The tables hold on to that version, whatever is published later. Order ids count
+    as unique if publishing found neither repeats nor nulls.
     """
-    try:
-        checks = spark.read.parquet(f"{folder}/{CONSTRAINTS}")
-    except AnalysisException as missing:
-        raise FileNotFoundError(f"no published tables in {folder}") from missing
-    frames = {name: spark.read.parquet(f"{folder}/{name}") for name in BASE_SCHEMAS}
-    # Without this, months such as 2024-01 would be read back as dates.
-    month = T.StructField(MONTH_PARTITION, T.StringType())
-    schema = T.StructType([*BASE_SCHEMAS["orders"].fields, month])
-    frames["orders"] = spark.read.schema(schema).parquet(f"{folder}/orders")
+    record = snapshots.read_version(spark, folder, version)
+    if record is None:
+        raise FileNotFoundError(f"no published tables in {folder}")
+    parts = record["parts"]
+    checks = {
+        name: snapshots.read_whole(spark, folder, name, parts) for name in (CONSTRAINTS, ORPHANS)
+    }
     scores = read_predictions(spark, predictions) if predictions else None
     return RetailTables(
-        **frames, churn_predictions=scores, unique_order_ids=ids_are_unique(checks)
+        **published_frames(spark, folder, parts), churn_predictions=scores,
+        unique_order_ids=ids_are_unique(checks[CONSTRAINTS]), checks=checks,
     )
 
 

@@ -2,43 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions.exprs import year_month
-from martlens.operators.quality import duplicate_keys
-from martlens.session import remove_folder
-from martlens.sources.readers import CONSTRAINTS
+from martlens.operators.quality import duplicate_keys, orphan_keys
+from martlens.sources import snapshots
+from martlens.sources.readers import CONSTRAINTS, ORPHANS, published_frames
 from martlens.sources.schemas import MONTH_PARTITION
 from martlens.sources.tables import RetailTables
 
 
-def publish(tables: RetailTables, folder: str) -> None:
-    """Replace the published tables and record the result of the key checks.
+def publish(tables: RetailTables, folder: str, keep: int = 2) -> int:
+    """Write the tables as a new version, with the result of the key checks.
 
-    The record goes first and comes back last, from checks of the written tables:
-    a publish that stops half-way leaves tables nobody can take for checked.
-    Orders are laid out by month. The rebalance hint sizes the files and splits
-    a month that holds far more rows than the others.
+    The version is recorded last, from checks of the written tables. Until then, and
+    for good if the publish stops half-way, readers find the version before. The last
+    ``keep`` versions stay, so that a reader can finish on the one it holds. Orders
+    are laid out by month. Returns the number of the version.
     """
-    spark = tables.orders.sparkSession
-    remove_folder(spark, f"{folder}/{CONSTRAINTS}")
     frames = tables.base()
-    orders = frames.pop("orders")
-    (
-        orders.withColumn(MONTH_PARTITION, year_month(F.col("order_date")))
-        .hint("rebalance", MONTH_PARTITION)
-        .write.mode("overwrite")
-        .partitionBy(MONTH_PARTITION)
-        .parquet(f"{folder}/orders")
-    )
+    parts = {"orders": _write_orders(frames.pop("orders"), folder)}
     for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-    published = {
-        name: spark.read.parquet(f"{folder}/{name}") for name in ("orders", *frames)
-    }
-    checks = duplicate_keys(RetailTables(**published, primary_keys=tables.primary_keys))
-    checks.write.mode("overwrite").parquet(f"{folder}/{CONSTRAINTS}")
+        parts[name] = snapshots.write_whole(frame, folder, name)
+    return _checked(tables, folder, parts, keep)
+
+
+def replace_months(
+    tables: RetailTables, orders: DataFrame, folder: str, emptied: Sequence[str] = (),
+    keep: int = 2,
+) -> int:
+    """Publish a version in which the months of ``orders`` hold these orders instead.
+
+    ``tables`` are the published ones. Everything else is shared with the version
+    before, and months in ``emptied`` (as ``2024-01``) go. Order ids are checked
+    again over all months, as a replaced one may repeat an id of another.
+    """
+    spark = orders.sparkSession
+    parts = snapshots.read_version(spark, folder)["parts"]
+    left = {month: name for month, name in parts["orders"].items() if month not in set(emptied)}
+    parts = parts | {"orders": left | _write_orders(orders, folder)}
+    return _checked(tables, folder, parts, keep)
+
+
+def _write_orders(orders: DataFrame, folder: str) -> dict[str, str]:
+    """The rebalance hint sizes the files and splits a month far larger than others."""
+    by_month = orders.withColumn(MONTH_PARTITION, year_month(F.col("order_date")))
+    hinted = by_month.hint("rebalance", MONTH_PARTITION)
+    return snapshots.write_by(hinted, folder, "orders", MONTH_PARTITION)
+
+
+def _checked(tables: RetailTables, folder: str, parts: snapshots.Parts, keep: int) -> int:
+    spark = tables.orders.sparkSession
+    written = RetailTables(**published_frames(spark, folder, parts), primary_keys=tables.primary_keys)
+    checks = {CONSTRAINTS: duplicate_keys(written), ORPHANS: orphan_keys(written)}
+    for name, frame in checks.items():
+        parts[name] = snapshots.write_whole(frame, folder, name)
+    number = snapshots.record_version(spark, folder, parts)
+    snapshots.drop_old(spark, folder, keep)
+    return number
 
 
 def publish_bucketed(tables: RetailTables, database: str, buckets: int) -> None:
@@ -47,7 +71,7 @@ def publish_bucketed(tables: RetailTables, database: str, buckets: int) -> None:
     Joins of the two on ``order_id`` then need no exchange at all. Prefer
     :func:`publish` when single orders hold a large share of the items, since
     the planner cannot split a bucket. The record of the key checks is dropped
-    first and written last, as by :func:`publish`.
+    first and written last.
     """
     spark = tables.orders.sparkSession
     spark.sql(f"DROP TABLE IF EXISTS {database}.{CONSTRAINTS}")

@@ -49,6 +49,7 @@ class RetailTables:
         churn_predictions: Source | None = None,
         unique_order_ids: bool | Callable[[DataFrame], bool] = False,
         primary_keys: Mapping[str, tuple[str, ...]] = PRIMARY_KEYS,
+        checks: Mapping[str, DataFrame] | None = None,
     ) -> None:
         self._sources = {
             "customers": customers,
@@ -59,6 +60,8 @@ class RetailTables:
         }
         self._unique_order_ids = unique_order_ids
         self.primary_keys = dict(primary_keys)
+        # Results of the key checks of exactly these tables, where they are recorded.
+        self.checks = dict(checks or {})
 
     def _table(self, name: str) -> DataFrame | None:
         source = self._sources[name]

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import re
 from datetime import date
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from martlens.churn.evaluate import risk_bands
 from martlens.churn.features import churn_features
@@ -16,6 +18,7 @@ from martlens.operators.revenue import (
 from martlens.plans import catalog
 from martlens.sources import readers, sinks
 from martlens.sources.schemas import BASE_SCHEMAS
+from martlens.sources.tables import RetailTables
 from tests.builders import customer, item, order, product, tables
 
 
@@ -99,18 +102,73 @@ def test_csv_without_a_column_stops(spark, tmp_path):
         readers.read_csv(spark, str(path), BASE_SCHEMAS["orders"])
 
 
-def test_stopped_publish_is_not_trusted(spark, shop, tmp_path, monkeypatch):
+@pytest.mark.parametrize("where", ["_write_orders", "duplicate_keys", "orphan_keys"])
+def test_stopped_publish_leaves_the_old_tables(spark, shop, tmp_path, monkeypatch, where):
     folder = str(tmp_path / "p")
-    sinks.publish(shop, folder)
 
     def stop(*_):
         raise RuntimeError("stopped")
 
-    monkeypatch.setattr(sinks, "duplicate_keys", stop)
-    with pytest.raises(RuntimeError):
-        sinks.publish(shop, folder)
+    other = tables(spark, [customer("z")], orders=[order("9", "z")])
+    with monkeypatch.context() as patched:
+        patched.setattr(sinks, where, stop)
+        with pytest.raises(RuntimeError):
+            sinks.publish(shop, folder)
+        with pytest.raises(FileNotFoundError):
+            readers.read_published(spark, folder)
+    assert sinks.publish(shop, folder) == 1
+    with monkeypatch.context() as patched:
+        patched.setattr(sinks, where, stop)
+        with pytest.raises(RuntimeError):
+            sinks.publish(other, folder)
+    back = readers.read_published(spark, folder)
+    assert same(back.orders.drop("order_month"), shop.orders)
+    assert same(back.customers, shop.customers)
+
+
+def test_write_that_stops_within_a_table_leaves_the_old_tables(spark, shop, tmp_path):
+    folder = str(tmp_path / "p")
+    sinks.publish(shop, folder)
+    broken = F.when(F.col("order_id") == "2", F.raise_error(F.lit("stopped"))).otherwise(F.col("status"))
+    torn = tables(spark, [customer("z")], orders=[order(str(i), "z") for i in range(4)])
+    torn = RetailTables(torn.customers, torn.products, torn.orders.withColumn("status", broken),
+                        torn.order_items)
+    with pytest.raises(Exception, match="stopped"):
+        sinks.publish(torn, folder)
+    assert same(readers.read_published(spark, folder).customers, shop.customers)
+
+
+def test_readers_hold_a_version(spark, shop, tmp_path):
+    folder = str(tmp_path / "p")
+    sinks.publish(shop, folder)
+    held = readers.read_published(spark, folder)
+    other = tables(spark, [customer("z")], orders=[order("9", "z")])
+    assert sinks.publish(other, folder) == 2
+    assert same(held.orders.drop("order_month"), shop.orders)
+    assert readers.read_published(spark, folder).customers.first().customer_id == "z"
+    assert same(readers.read_published(spark, folder, version=1).customers, shop.customers)
+    sinks.publish(other, folder)
     with pytest.raises(FileNotFoundError):
-        readers.read_published(spark, folder)
+        readers.read_published(spark, folder, version=1)
+    assert sum(1 for _ in (tmp_path / "p" / "customers").glob("publish=*")) == 2
+
+
+def test_months_are_replaced_and_others_shared(spark, tmp_path):
+    folder = tmp_path / "p"
+    days = {"1": date(2024, 1, 3), "2": date(2024, 2, 3), "3": date(2024, 3, 3), "4": None}
+    orders = [(key, "a", day, "Delivered", "UPI", Decimal("10.00"), 3) for key, day in days.items()]
+    sinks.publish(tables(spark, [customer("a")], orders=orders), str(folder))
+    first = readers.read_published(spark, str(folder))
+    new = tables(spark, orders=[order("5", "a", date(2024, 2, 9)), order("6", "a", date(2024, 4, 9))])
+    sinks.replace_months(first, new.orders, str(folder), emptied=["2024-03"])
+    back = readers.read_published(spark, str(folder))
+    assert sorted(r.order_id for r in back.orders.collect()) == ["1", "4", "5", "6"]
+    assert back.orders.where("order_date IS NULL").count() == 1
+    parts = {m.name: sum(1 for _ in m.iterdir()) for m in (folder / "orders").glob("order_month=*")}
+    assert parts["order_month=2024-01"] == 1 and parts["order_month=2024-02"] == 2
+    again = tables(spark, orders=[order("1", "a", date(2024, 4, 9))])
+    sinks.replace_months(back, again.orders, str(folder))
+    assert not readers.read_published(spark, str(folder)).unique_order_ids
 
 
 def test_replaced_files_are_checked_again(spark, sample_dir, tmp_path):
