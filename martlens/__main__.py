@@ -26,13 +26,16 @@ def main(arguments: list[str] | None = None) -> None:
         command.add_argument("--as-of", default="2024-12-31", help="reference day, ISO format")
     reports.add_argument("--predictions", help="folder of exported churn predictions")
 
+    reports.add_argument("--cube", help="folder that keeps the partial sums of the orders")
+
     options = parser.parse_args(arguments)
     spark = tune(SparkSession.builder.appName(f"martlens-{options.job}").getOrCreate())
     if options.job == "publish":
         jobs.publish_exports(spark, options.exports, options.tables)
     elif options.job == "reports":
         jobs.write_reports(
-            spark, options.tables, options.output, options.as_of, options.predictions
+            spark, options.tables, options.output, options.as_of, options.predictions,
+            options.cube,
         )
     else:
         jobs.run_churn_model(spark, options.tables, options.output, options.as_of)

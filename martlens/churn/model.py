@@ -35,9 +35,11 @@ def _held(df: DataFrame):
     A forest passes over its input once per level, so the rows are spread first;
     a matrix read from few files would train in few tasks. The number of parts
     follows the size of the data and the shuffle settings, not the cores that
-    happen to be registered.
+    happen to be registered. Bagging draws by the order of rows in a part, so they
+    are sorted: the files they came from do not matter then.
     """
-    df = df.repartition("customer_id").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.repartition("customer_id").sortWithinPartitions("customer_id")
+    df = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
     finally:

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from martlens.churn import evaluate, features, model
+from martlens.operators import cube
 from martlens.operators import customers as C
 from martlens.operators import products as P
 from martlens.operators import quality as Q
@@ -38,8 +39,8 @@ def reports(t: RetailTables, as_of: date | str) -> dict[str, Callable[[], DataFr
         "payment_preference": lambda: R.payment_preference(t),
         "order_status_breakdown": lambda: R.order_status_breakdown(t),
         "shipping_by_region": lambda: R.shipping_by_region(t),
-        "duplicate_keys": lambda: Q.duplicate_keys(t),
-        "orphan_keys": lambda: Q.orphan_keys(t),
+        "duplicate_keys": lambda: t.checks.get(readers.CONSTRAINTS, Q.duplicate_keys(t)),
+        "orphan_keys": lambda: t.checks.get(readers.ORPHANS, Q.orphan_keys(t)),
     }
 
 
@@ -55,14 +56,23 @@ def write_reports(
     output: str,
     as_of: date | str,
     predictions: str | None = None,
+    cube_folder: str | None = None,
     **slicers,
 ) -> None:
     """Write every report, and every dashboard visual below its page.
 
+    Orders are summed once, and reports are put together from the partial sums. With
+    ``cube_folder`` these are kept there, and only months that changed since the last
+    call are summed again. If order ids repeat, reports read the orders themselves.
     ``slicers`` are those of :func:`martlens.operators.dashboard.dashboard`.
     """
     t = readers.read_published(spark, folder, predictions)
     try:
+        if t.unique_order_ids and cube_folder:
+            cube.refresh(spark, folder, cube_folder)
+            t = t.with_cube(cube.read(spark, cube_folder))
+        elif t.unique_order_ids:
+            t = t.with_cube(cube.build(t))
         for name, report in reports(t, as_of).items():
             report().write.mode("overwrite").parquet(f"{output}/reports/{name}")
         for page, visuals in dashboard(t, as_of, **slicers).items():

@@ -49,7 +49,11 @@ def clv(
     depend on the customer alone.
     """
     per_customer = (
-        t.orders_with(status)
+        t.cube.per_customer(status).withColumnsRenamed(
+            {"orders": "total_orders", "amount": "_amount", "amounts": "_amounts"}
+        )
+        if t.cube is not None
+        else t.orders_with(status)
         .groupBy("customer_id")
         .agg(
             t.order_count().alias("total_orders"),
@@ -79,6 +83,13 @@ def clv(
 
 
 def _rfm(t: RetailTables, as_of: date | str, status: str | None) -> DataFrame:
+    if t.cube is not None:
+        return t.cube.per_customer(status).select(
+            "customer_id",
+            days_before(as_of, F.col("last_order")).cast("double").alias("recency_days"),
+            F.col("orders").alias("frequency"),
+            F.col("amount").alias("monetary"),
+        )
     return (
         t.orders_with(status)
         .groupBy("customer_id")
@@ -227,6 +238,8 @@ def rfm_medians(
 
 
 def _last_orders(t: RetailTables, status: str | None) -> DataFrame:
+    if t.cube is not None:
+        return t.cube.per_customer(status).select("customer_id", "last_order")
     return (
         t.orders_with(status)
         .groupBy("customer_id")

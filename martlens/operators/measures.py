@@ -28,6 +28,7 @@ from martlens.functions.exprs import (
     year_start,
     year_text,
 )
+from martlens.operators.cube import KEYS
 from martlens.sources.tables import RetailTables
 
 CORE = ("total_revenue", "total_orders", "avg_order_value", "unique_customers")
@@ -86,7 +87,12 @@ def measures(
     )
     from_orders = wanted - {"churned_customers", "gross_profit"} and not own_customers
     parts = []
-    if from_orders or (sliced and profit):
+    from_cube = (
+        t.cube is not None and category is None and not (sliced and profit) and set(by) <= set(KEYS)
+    )
+    if from_orders and from_cube:
+        parts.append(_cube_part(t, by, year, region, "unique_customers" in wanted))
+    elif from_orders or (sliced and profit):
         orders = _orders_of_year(t, by, year)
         if sliced and profit:
             how = "left" if category is None else "inner"
@@ -188,6 +194,16 @@ def _order_part(
     )
 
 
+def _cube_part(
+    t: RetailTables, by: Sequence[str], year: int | None, region: str | None, customers: bool
+) -> DataFrame:
+    names = {"_revenue": "_revenue", "_delivered": "_orders", "_returned": "_returned", "_rows": "_rows"}
+    if customers:
+        names["_customers"] = "_customers"
+    found = t.cube.sums(by, None, year, region, customers)
+    return found.select(*by, *[F.col(c).alias(name) for c, name in names.items()])
+
+
 def _order_sums(t: RetailTables, orders: DataFrame) -> list[Column]:
     delivered = F.col("status") == DELIVERED
     sums = [
@@ -207,7 +223,10 @@ def _churn_part(
     other = [c for c in by if c not in _CUSTOMER_COLUMNS]
     if other:
         raise ValueError(f"churn measures cannot be grouped by {other}")
-    last = t.orders.groupBy("customer_id").agg(F.max("order_date").alias("_last"))
+    if t.cube is not None:
+        last = t.cube.per_customer().select("customer_id", F.col("last_order").alias("_last"))
+    else:
+        last = t.orders.groupBy("customer_id").agg(F.max("order_date").alias("_last"))
     if by or region is not None:
         customers = t.customers
         if region is not None:

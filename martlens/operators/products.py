@@ -49,6 +49,11 @@ def _per_product(
     t: RetailTables, status: str | None, *order_columns: Column, by: Sequence[str] = ()
 ) -> DataFrame:
     """Units and revenue per sold product, before any product column joins."""
+    if t.cube is not None and set(by) <= {"_month"}:
+        sales = t.cube.product_sales(status).withColumnRenamed("month", "_month")
+        return sales.groupBy("product_id", *by).agg(
+            F.sum("units").alias("units_sold"), F.sum("revenue").alias("_revenue")
+        )
     items = t.order_items.select("order_id", "product_id", "quantity", "line_total")
     return (
         items_of_orders(t, items, status, *order_columns)
@@ -111,19 +116,28 @@ def category_mix(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
     distinct count of orders.
     """
     categories = t.products.select("product_id", "category")
-    items = t.order_items.select(
-        "order_id", "product_id", "line_total", "discount_pct"
-    ).join(categories, "product_id")
-    grouped = (
-        items_of_orders(t, items, status)
-        .groupBy("category")
-        .agg(
-            F.countDistinct("order_id").alias("orders"),
-            F.sum("line_total").alias("_revenue"),
-            F.sum("discount_pct").alias("_discount"),
-            F.count("discount_pct").alias("_discounts"),
+    if t.cube is not None:
+        sales = t.cube.product_sales(status).groupBy("product_id").agg(
+            *[F.sum(c).alias(c) for c in ("orders", "revenue", "discount", "discounts")]
+        )
+        grouped = sales.join(categories, "product_id").groupBy("category").agg(
+            F.sum("orders").alias("orders"), F.sum("revenue").alias("_revenue"),
+            F.sum("discount").alias("_discount"), F.sum("discounts").alias("_discounts"),
+        )
+    else:
+        items = t.order_items.select(
+            "order_id", "product_id", "line_total", "discount_pct"
+        ).join(categories, "product_id")
+        grouped = (
+            items_of_orders(t, items, status)
+            .groupBy("category")
+            .agg(
+                F.countDistinct("order_id").alias("orders"),
+                F.sum("line_total").alias("_revenue"),
+                F.sum("discount_pct").alias("_discount"),
+                F.count("discount_pct").alias("_discounts"),
+            )
         )
-    )
     whole = F.sum("_revenue").over(Window.partitionBy())
     mean_discount = ratio(F.col("_discount"), F.col("_discounts")) * F.lit(100.0)
     return grouped.select(
@@ -162,7 +176,11 @@ def category_month_revenue(
         return cells.orderBy("category", "month")
     cells = cells.withColumn("month", F.coalesce("month", F.lit(NO_MONTH)))
     if months is None:
-        found = t.orders_with(status).select(month).distinct().select(label).orderBy("month")
+        if t.cube is not None:
+            found = t.cube.sums(["month"], status).select(F.col("month").alias("_month"))
+        else:
+            found = t.orders_with(status).select(month).distinct()
+        found = found.select(label).orderBy("month")
         found = found.select(F.coalesce("month", F.lit(NO_MONTH)).alias("month"))
         months = [row.month for row in found.limit(MOST_MONTHS + 1).collect()]
         if len(months) > MOST_MONTHS:

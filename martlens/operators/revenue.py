@@ -19,33 +19,59 @@ from martlens.functions.exprs import (
     year_start,
     year_text,
 )
+from martlens.operators.cube import ATTRIBUTES
 from martlens.sources.tables import RetailTables
 
 
+def _sums(
+    t: RetailTables, by: Sequence[str], status: str | None, *wanted: Column, customers: bool = False
+) -> DataFrame:
+    """Sums of orders per ``by``: from the cube if there is one, else those wanted.
+
+    Both name them alike; the keys are ``_month``, ``_year`` or columns of orders.
+    """
+    dates = {"_month": month_start, "_year": year_start}
+    if t.cube is not None:
+        found = t.cube.sums([c.removeprefix("_") for c in by], status, customers=customers)
+        return found.withColumnsRenamed({c.removeprefix("_"): c for c in by})
+    keys = [dates[c](F.col("order_date")).alias(c) if c in dates else c for c in by]
+    return t.orders_with(status).groupBy(*keys).agg(*wanted)
+
+
+def _orders(t: RetailTables) -> Column:
+    return t.order_count().alias("_orders")
+
+
+def _rows() -> Column:
+    return F.count(F.lit(1)).alias("_rows")
+
+
+def _distinct_customers() -> Column:
+    return F.countDistinct("customer_id").alias("_customers")
+
+
 def monthly_revenue_trend(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
     return (
-        t.orders_with(status)
-        .groupBy(month_start(F.col("order_date")).alias("_month"))
-        .agg(t.order_count().alias("total_orders"), *_amount_sums())
-        .select(_month_label(), "total_orders", *_amounts("gross_revenue", "avg_order_value"))
+        _sums(t, ["_month"], status, _orders(t), *_amount_sums())
+        .select(
+            _month_label(), F.col("_orders").alias("total_orders"),
+            *_amounts("gross_revenue", "avg_order_value"),
+        )
         .orderBy("month")
     )
 
 
 def yearly_revenue(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
     return (
-        t.orders_with(status)
-        .groupBy(year_start(F.col("order_date")).alias("_year"))
-        .agg(
-            money(F.sum("total_amount")).alias("total_revenue"),
-            t.order_count().alias("orders_count"),
-            F.countDistinct("customer_id").alias("unique_customers"),
+        _sums(
+            t, ["_year"], status, F.sum("total_amount").alias("_amount"), _orders(t),
+            _distinct_customers(), customers=True,
         )
         .select(
             year_text(F.col("_year")).alias("year"),
-            "total_revenue",
-            "orders_count",
-            "unique_customers",
+            money(F.col("_amount")).alias("total_revenue"),
+            F.col("_orders").alias("orders_count"),
+            F.col("_customers").alias("unique_customers"),
         )
         .orderBy("year")
     )
@@ -53,13 +79,11 @@ def yearly_revenue(t: RetailTables, status: str | None = DELIVERED) -> DataFrame
 
 def kpi_summary(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
     return (
-        t.orders_with(status)
-        .agg(
-            F.countDistinct("customer_id").alias("customers"),
-            t.order_count().alias("total_orders"),
-            *_amount_sums(),
+        _sums(t, [], status, _distinct_customers(), _orders(t), *_amount_sums(), customers=True)
+        .select(
+            F.col("_customers").alias("customers"), F.col("_orders").alias("total_orders"),
+            *_amounts("gross_revenue", "aov"),
         )
-        .select("customers", "total_orders", *_amounts("gross_revenue", "aov"))
     )
 
 
@@ -73,6 +97,12 @@ def revenue_by_customer_attribute(
     distinct order ids must survive the join, and a customer with a large share
     of the orders is split there by the adaptive skew join.
     """
+    if t.cube is not None and set(by) <= set(ATTRIBUTES):
+        found = t.cube.sums(by, status, customers=True)
+        counts = {"_orders": "orders", "_customers": "customers"}
+        return found.withColumnsRenamed(counts).select(
+            *by, "orders", "customers", *_amounts("revenue", "aov")
+        ).orderBy(F.desc("revenue"), *by)
     orders = t.orders_with(status)
     attributes = t.customers.select("customer_id", *by)
     if t.unique_order_ids:
@@ -116,14 +146,12 @@ def payment_preference(
     t: RetailTables, status: str | None = DELIVERED, digits: int = 2
 ) -> DataFrame:
     return (
-        t.orders_with(status)
-        .groupBy("payment_method")
-        .agg(F.count(F.lit(1)).alias("transactions"), *_amount_sums())
+        _sums(t, ["payment_method"], status, _rows(), *_amount_sums())
         .select(
             "payment_method",
-            "transactions",
+            F.col("_rows").alias("transactions"),
             *_amounts("revenue", "avg_order_value"),
-            _share("transactions", digits).alias("usage_pct"),
+            _share("_rows", digits).alias("usage_pct"),
         )
         .orderBy(F.desc("transactions"), "payment_method")
     )
@@ -131,12 +159,11 @@ def payment_preference(
 
 def order_status_breakdown(t: RetailTables, digits: int = 2) -> DataFrame:
     return (
-        t.orders.groupBy("status")
-        .agg(F.count(F.lit(1)).alias("orders"), *_amount_sums())
+        _sums(t, ["status"], None, _rows(), *_amount_sums())
         .select(
             "status",
-            "orders",
-            _share("orders", digits).alias("pct_of_total"),
+            F.col("_rows").alias("orders"),
+            _share("_rows", digits).alias("pct_of_total"),
             mean_money(F.col("_amount"), F.col("_amounts")).alias("avg_order_value"),
         )
         .orderBy(F.desc("orders"), "status")
@@ -145,15 +172,16 @@ def order_status_breakdown(t: RetailTables, digits: int = 2) -> DataFrame:
 
 def status_share(t: RetailTables, digits: int = 1) -> DataFrame:
     return (
-        t.orders.groupBy("status")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("pct", _share("count", digits))
+        _sums(t, ["status"], None, _rows())
+        .select("status", F.col("_rows").alias("count"), _share("_rows", digits).alias("pct"))
         .orderBy("status")
     )
 
 
 def shipping_by_region(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
     """Shipping days per region, summed per customer before the join."""
+    if t.cube is not None:
+        return _shipping(t.cube.sums(["region"], status).where(F.col("_shipped") > 0))
     per_customer = (
         t.orders_with(status)
         .where(F.col("shipping_days").isNotNull())
@@ -165,28 +193,35 @@ def shipping_by_region(t: RetailTables, status: str | None = DELIVERED) -> DataF
             F.max("shipping_days").alias("max_days"),
         )
     )
-    return (
+    return _shipping(
         per_customer.join(t.customers.select("customer_id", "region"), "customer_id")
         .groupBy("region")
         .agg(
-            half_up(ratio(F.sum("days"), F.sum("orders")), 1).alias("avg_shipping_days"),
-            F.min("min_days").alias("min_days"),
-            F.max("max_days").alias("max_days"),
+            F.sum("days").alias("_days"), F.sum("orders").alias("_shipped"),
+            F.min("min_days").alias("_min_days"), F.max("max_days").alias("_max_days"),
         )
-        .orderBy("avg_shipping_days", "region")
     )
 
 
+def _shipping(per_region: DataFrame) -> DataFrame:
+    return per_region.select(
+        "region",
+        half_up(ratio(F.col("_days"), F.col("_shipped")), 1).alias("avg_shipping_days"),
+        F.col("_min_days").alias("min_days"),
+        F.col("_max_days").alias("max_days"),
+    ).orderBy("avg_shipping_days", "region")
+
+
 def shipping_trend(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
     days = F.col("shipping_days")
     return (
-        t.orders_with(status)
-        .groupBy(month_start(F.col("order_date")).alias("_month"))
-        .agg(
-            F.count(F.lit(1)).alias("orders"),
-            half_up(ratio(F.sum(days), F.count(days)), 1).alias("avg_shipping_days"),
+        _sums(
+            t, ["_month"], status, _rows(), F.sum(days).alias("_days"), F.count(days).alias("_shipped")
+        )
+        .select(
+            _month_label(), F.col("_rows").alias("orders"),
+            half_up(ratio(F.col("_days"), F.col("_shipped")), 1).alias("avg_shipping_days"),
         )
-        .select(_month_label(), "orders", "avg_shipping_days")
         .orderBy("month")
     )
 
@@ -203,9 +238,7 @@ def revenue_mom_growth(
     number = F.year("_month") * 12 + F.month("_month")
     earlier = Window.orderBy("_number").rangeBetween(-months_back, -months_back)
     monthly = (
-        t.orders_with(status)
-        .groupBy(month_start(F.col("order_date")).alias("_month"))
-        .agg(F.sum("total_amount").alias("_amount"))
+        _sums(t, ["_month"], status, F.sum("total_amount").alias("_amount"))
         .withColumn("_number", number)
         .withColumn("_previous", F.max("_amount").over(earlier))
     )

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.churn import evaluate, features, model, split
-from martlens.operators import customers, dashboard, measures, products, quality, revenue
-from martlens.session import file_stamps, tune, written
+from martlens.operators import cube, customers, dashboard, measures, products, quality, revenue
+from martlens.session import drops, file_stamps, tune, written
 from martlens.sources.tables import RetailTables, check_order_ids
 from martlens.sources.tpch import retail_views
 
@@ -86,6 +86,15 @@ def _customer_360(t: RetailTables) -> DataFrame:
     return customers.customer_360(t, AS_OF, bands)
 
 
+# Reports that are read from the cube as well as from the orders.
+CUBE_REPORTS = (
+    "monthly_revenue_trend", "yearly_revenue", "kpi_summary", "payment_preference", "revenue_by_region",
+    "revenue_by_tier", "order_status_breakdown", "shipping_by_region", "shipping_trend",
+    "revenue_mom_growth", "measures_core", "measures_churn", "measures_returns",
+    "measures_by_region_slicer", "top_region_kpis", "clv_top20", "rfm_base", "churn_by_region_tier",
+    "churned_customers", "category_mix", "top_products", "category_month_revenue",
+)
+
 _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     # Revenue, customers, products, operations
     "monthly_revenue_trend": revenue.monthly_revenue_trend,
@@ -182,6 +191,12 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "rf_support": _forest_support,
 }
 
+_CUBE_QUERIES = {f"cube_{name}": _QUERIES[name] for name in CUBE_REPORTS} | {
+    "cube_customer_rollup": lambda t: t.cube.customer_rollup(),
+}
+# Built anew each time; all other queries of the cube share one for the same files.
+_QUERIES["order_cube"] = lambda t: cube.cell_sums(cube.build(t))
+
 
 def open_tables(spark: SparkSession, folder: str) -> RetailTables:
     """The tables of a folder.
@@ -215,5 +230,25 @@ def _bind(query: Callable[[RetailTables], DataFrame]) -> Query:
     return run
 
 
+_CUBES: dict[tuple, cube.OrderCube] = {}
+
+
+def _cubed_tables(spark: SparkSession, folder: str) -> RetailTables:
+    """The tables with their cube, built once for the same files and written tables."""
+    t = open_tables(spark, folder)
+    names = ("orders", "lineitem", "customer", "part", "nation", "region")
+    stamps = tuple(file_stamps(spark, f"{folder}/{name}.parquet") for name in names)
+    key = (spark.sparkContext.applicationId, drops(), stamps)
+    if key not in _CUBES:
+        _CUBES.clear()
+        _CUBES[key] = cube.build(t)
+    return t.with_cube(_CUBES[key])
+
+
+def _bind_cube(query: Callable[[RetailTables], DataFrame]) -> Query:
+    return lambda spark, folder: query(_cubed_tables(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    return {name: _bind(query) for name, query in _QUERIES.items()}
+    found = {name: _bind(query) for name, query in _QUERIES.items()}
+    return found | {name: _bind_cube(query) for name, query in _CUBE_QUERIES.items()}

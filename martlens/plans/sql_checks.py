@@ -8,7 +8,7 @@ tests of the fixtures pin one by one.
 from __future__ import annotations
 
 from martlens import fixed_values as fixed
-from martlens.plans.catalog import AS_OF, CATEGORY, YEAR
+from martlens.plans.catalog import AS_OF, CATEGORY, CUBE_REPORTS, YEAR
 
 _VIEWS = """
 WITH customers_v AS (
@@ -712,3 +712,25 @@ FROM points CROSS JOIN (SELECT SUM(pos) AS pos, SUM(neg) AS neg FROM by_score)""
     + """
 SELECT predicted_segment, COUNT(*) AS customers FROM bands GROUP BY predicted_segment""",
 }
+
+_LEVELS = {
+    "month": ("CAST(date_trunc('month', order_date) AS DATE)", "region"),
+    "year": ("CAST(date_trunc('year', order_date) AS DATE)", "region"),
+    "region": ("CAST(NULL AS DATE)", "region"),
+    "total": ("CAST(NULL AS DATE)", "CAST(NULL AS VARCHAR)"),
+}
+_TEXTS["cube_customer_rollup"] = """
+, known AS (
+  SELECT o.order_date, o.customer_id, c.region FROM orders_v o JOIN customers_v c USING (customer_id)
+)
+""" + " UNION ALL ".join(
+    f"""SELECT '{level}' AS level, {period} AS period, {region} AS region,
+  COUNT(DISTINCT customer_id) AS customers FROM known GROUP BY 1, 2, 3"""
+    for level, (period, region) in _LEVELS.items()
+)
+_TEXTS["order_cube"] = """
+SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, status, payment_method, c.region,
+  c.loyalty_tier, COUNT(*) AS rows, COUNT(order_id) AS orders,
+  CAST(SUM(total_amount) AS DOUBLE) AS amount, COUNT(DISTINCT customer_id) AS customers
+FROM orders_v JOIN customers_v c USING (customer_id) GROUP BY 1, 2, 3, 4, 5"""
+_TEXTS |= {f"cube_{name}": _TEXTS[name] for name in CUBE_REPORTS}

@@ -75,11 +75,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_drops = 0
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete every table this application wrote with :func:`written`."""
+    global _drops
+    _drops += 1
     remove_folder(spark, _staging_path(spark))
 
 
+def drops() -> int:
+    """How often written tables were deleted; those of an earlier count are gone."""
+    return _drops
+
+
 def hadoop_path(spark: SparkSession, folder: str):
     """A path and the file system it is on."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from datetime import date
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.sources.schemas import MONTH_PARTITION, PRIMARY_KEYS
 
+if TYPE_CHECKING:
+    from martlens.operators.cube import OrderCube
+
 Source = DataFrame | Callable[[], DataFrame]
 
 
@@ -50,6 +54,7 @@ class RetailTables:
         unique_order_ids: bool | Callable[[DataFrame], bool] = False,
         primary_keys: Mapping[str, tuple[str, ...]] = PRIMARY_KEYS,
         checks: Mapping[str, DataFrame] | None = None,
+        cube: OrderCube | None = None,
     ) -> None:
         self._sources = {
             "customers": customers,
@@ -62,6 +67,8 @@ class RetailTables:
         self.primary_keys = dict(primary_keys)
         # Results of the key checks of exactly these tables, where they are recorded.
         self.checks = dict(checks or {})
+        # Partial sums of exactly these orders; reports that can use them do.
+        self.cube = cube
 
     def _table(self, name: str) -> DataFrame | None:
         source = self._sources[name]
@@ -95,6 +102,14 @@ class RetailTables:
             self._unique_order_ids = self._unique_order_ids(self.orders)
         return self._unique_order_ids
 
+    def with_cube(self, cube: OrderCube) -> RetailTables:
+        """The same tables, whose reports use partial sums of the orders."""
+        return RetailTables(
+            lambda: self.customers, lambda: self.products, lambda: self.orders,
+            lambda: self.order_items, lambda: self.churn_predictions,
+            True, self.primary_keys, self.checks, cube,
+        )
+
     def base(self) -> dict[str, DataFrame]:
         return {
             "customers": self.customers,

@@ -61,6 +61,30 @@ def test_from_exports_to_predictions(spark, exports, tmp_path):
     assert scored == sum(r.customers for r in bands.collect()) > 0
 
 
+def scans_of(plans, table):
+    """Scans of a published table, a line ``Location`` for each in a formatted plan."""
+    return [
+        line for plan in plans for line in plan.splitlines()
+        if line.startswith("Location") and f"/tables/{table}/" in line
+    ]
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_reports_scan_orders_three_times_at_most(spark, exports, tmp_path, executed_plans, kept):
+    """The cube, its items by product, and the list of purchases."""
+    published = str(tmp_path / "tables")
+    jobs.publish_exports(spark, exports, published)
+    ahead = len(executed_plans())
+    folder = str(tmp_path / "cube") if kept else None
+    jobs.write_reports(spark, published, str(tmp_path / "out"), AS_OF, cube_folder=folder)
+    first = executed_plans()
+    assert len(first) > ahead + 30
+    assert 2 <= len(scans_of(first[ahead:], "orders")) <= 3
+    if kept:
+        jobs.write_reports(spark, published, str(tmp_path / "out"), AS_OF, cube_folder=folder)
+        assert len(scans_of(executed_plans()[len(first):], "orders")) == 1
+
+
 def test_missing_tables_say_so(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="no published tables"):
         jobs.run_churn_model(spark, str(tmp_path / "nothing"), str(tmp_path / "o"), AS_OF)
