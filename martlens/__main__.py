@@ -20,7 +20,9 @@ def main(arguments: list[str] | None = None) -> None:
 
     reports = commands.add_parser("reports", help="write all reports and visuals")
     churn = commands.add_parser("churn", help="train, evaluate and export churn predictions")
-    for command in (reports, churn):
+    score = commands.add_parser("score", help="export predictions by a trained model")
+    score.add_argument("--fitted", required=True, help="output folder of the churn job")
+    for command in (reports, churn, score):
         command.add_argument("--tables", required=True)
         command.add_argument("--output", required=True)
         command.add_argument("--as-of", default="2024-12-31", help="reference day, ISO format")
@@ -37,6 +39,10 @@ def main(arguments: list[str] | None = None) -> None:
             spark, options.tables, options.output, options.as_of, options.predictions,
             options.cube,
         )
+    elif options.job == "score":
+        jobs.score_customers(
+            spark, options.tables, options.fitted, options.output, options.as_of
+        )
     else:
         jobs.run_churn_model(spark, options.tables, options.output, options.as_of)
 

@@ -43,6 +43,26 @@ def roc_auc(
     return ranked.agg((area if digits is None else half_up(area, digits)).alias("auc"))
 
 
+def roc_auc_by(
+    scored: DataFrame, group: str, label: str = "churned", score: str = "score"
+) -> DataFrame:
+    """Unrounded area under the ROC curve of each group; null for a single class.
+
+    All groups are ranked in one go; what other groups add to the running totals is
+    taken off afterwards. Groups are few, their rows need not be.
+    """
+    counted = scored.groupBy(group, F.col(score).alias("score")).agg(
+        count_where(F.col(label) == 1).alias("pos"), count_where(F.col(label) == 0).alias("neg")
+    )
+    ranked = running_totals(counted, [group, F.desc("score")], ["pos"])
+    above = F.col("pos_upto") - F.col("pos")
+    wide = "decimal(38,0)"
+    twice = F.sum((F.col("neg") * (above * 2 + F.col("pos"))).cast(wide))
+    others = F.min(above).cast("decimal(18,0)") * F.sum("neg").cast("decimal(18,0)") * 2
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double") * 2
+    return ranked.groupBy(group).agg(ratio(twice - others, pairs).alias("auc"))
+
+
 def roc_curve(
     scored: DataFrame,
     label: str = "churned",

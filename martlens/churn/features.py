@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.fixed_values import CANCELLED, CATEGORIES, CHURN_DAYS, FEATURES, RETURNED
@@ -93,20 +93,46 @@ def churn_labels(
     return labelled.select("customer_id", "recency", "churned")
 
 
-def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by the rank of its value in sorted order, from 0.
+def _text(column: str) -> Column:
+    """The value as text; a null counts as the text ``nan``."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("nan"))
 
-    A null counts as the text ``nan``. The distinct values of a column are ranked
-    across tasks and joined, so none of them is kept on the driver.
+
+def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Written dictionary (column, value, code): ranks in sorted order, from 0.
+
+    The values of all columns are made distinct together and ranked together across
+    tasks, so none of them is kept on the driver or in one task.
+    """
+    pair = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in columns])
+    )
+    values = df.select(pair.alias("pair")).select("pair.*").distinct()
+    ranked = global_position(values, ["column", "value"])
+    # A row for each column.
+    first = ranked.groupBy("column").agg(F.min("position").alias("_first"))
+    code = (F.col("position") - F.col("_first")).cast("int").alias("code")
+    return written(ranked.join(F.broadcast(first), "column").select("column", "value", code))
+
+
+def encode(df: DataFrame, columns: Sequence[str], codes: DataFrame | None = None) -> DataFrame:
+    """Replace each column by the code of its value.
+
+    Without ``codes`` those of the frame itself are made. With the codes of another
+    frame, as when scoring with a model of that frame, equal values get equal codes,
+    and all values it did not have get the code after its last.
     """
+    if codes is None:
+        codes = category_codes(df, columns)
     for column in columns:
-        text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-        values = df.select(text.alias("_value")).distinct()
-        ranks = global_position(values, ["_value"]).select(
-            "_value", (F.col("position") - 1).cast("int").alias("_code")
+        known = codes.where(F.col("column") == column).select(
+            F.col("value").alias("_value"), F.col("code").alias("_code")
         )
-        coded = df.withColumn("_text", text).join(ranks, F.col("_text") == F.col("_value"))
-        df = coded.withColumn(column, F.col("_code")).drop("_text", "_value", "_code")
+        unseen = known.agg(F.coalesce(F.max("_code") + 1, F.lit(0))).scalar()
+        coded = df.withColumn("_text", _text(column)).join(
+            known, F.col("_text") == F.col("_value"), "left"
+        )
+        df = coded.withColumn(column, F.coalesce("_code", unseen)).drop("_text", "_value", "_code")
     return df
 
 
@@ -140,23 +166,31 @@ def feature_matrix(
     days: int = CHURN_DAYS,
     grain: str = "item",
     exclude_features: Sequence[str] = (),
+    codes: DataFrame | None = None,
 ) -> DataFrame:
     """Model inputs, label and customer id; rows with a missing input drop out.
 
-    The joined customers are written once, as coding the categories needs passes
+    ``codes`` are the category codes of the matrix that a model was fitted on.
+
+    The joined customers are written once, as coding the categories needs a pass
     of its own, and so is the finished matrix: later fits and scores repeat no
     join and read just the columns they need.
     """
-    customers = written(
-        _joined(t, as_of, days, grain).select(*FEATURES, "churned", "customer_id")
-    )
+    customers = joined_customers(t, as_of, days, grain)
     kept = [f for f in FEATURES if f not in set(exclude_features)]
-    coded = encode(customers, CATEGORIES)
+    coded = encode(customers, CATEGORIES, codes)
     return written(
         coded.dropna("any", subset=_NEEDED).select(*kept, "churned", "customer_id")
     )
 
 
+def joined_customers(
+    t: RetailTables, as_of: date | str, days: int = CHURN_DAYS, grain: str = "item"
+) -> DataFrame:
+    """Written inputs and label of the customers, before categories are coded."""
+    return written(_joined(t, as_of, days, grain).select(*FEATURES, "churned", "customer_id"))
+
+
 def churn_dataset_summary(matrix: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     churned = F.sum("churned")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
@@ -14,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlens.churn.evaluate import roc_auc
+from martlens.churn.evaluate import roc_auc_by
 from martlens.churn.split import balanced_weights, stratified_folds, stratified_split
 from martlens.fixed_values import (
     DEPTH,
@@ -86,10 +87,9 @@ def score(model: PipelineModel, matrix: DataFrame, label: str = "churned") -> Da
 
 
 def train(matrix: DataFrame, features: Sequence[str] | None = None, **forest) -> PipelineModel:
-    """Fit on the training side of the split."""
-    side = stratified_split(matrix).where(~F.col("is_test")).drop("is_test")
-    with _held(side) as rows:
-        return fit_forest(rows, features, **forest)
+    """Fit on the training side of the split: the model of :func:`train_and_score`."""
+    with _held(stratified_split(matrix)) as split:
+        return fit_forest(split.where(~F.col("is_test")), features, **forest)
 
 
 def train_and_score(
@@ -104,32 +104,39 @@ def train_and_score(
         return model, written(score(model, split.where("is_test")))
 
 
-def cv_auc(
+def cv_scores(
     matrix: DataFrame,
     folds: int = FOLDS,
     features: Sequence[str] | None = None,
     parallelism: int = 2,
     **forest,
 ) -> DataFrame:
-    """Mean and population deviation of the AUC over stratified folds.
+    """Written table (customer_id, churned, score, fold): every row is scored by the
+    forest that was fitted on the other folds.
 
     Class weights are those of each training side. The folds are independent
     jobs, of which ``parallelism`` overlap: each holds its own bagged copy of the
-    rows, with one count per tree. The driver holds one number per fold.
+    rows, with one count per tree.
     """
     with _held(stratified_folds(matrix, folds)) as folded:
 
-        def one(fold: int) -> float | None:
+        def one(fold: int) -> DataFrame:
             model = fit_forest(folded.where(F.col("fold") != fold), features, **forest)
             tested = score(model, folded.where(F.col("fold") == fold))
-            return roc_auc(tested, digits=None).first().auc
+            return written(tested.withColumn("fold", F.lit(fold)))
 
         with ThreadPool(min(parallelism, folds)) as pool:
-            areas = pool.map(one, range(folds))
-    rows = matrix.sparkSession.createDataFrame(
-        list(enumerate(areas)), "fold int, auc double"
-    )
-    return rows.agg(
+            return reduce(DataFrame.unionByName, pool.map(one, range(folds)))
+
+
+def cv_auc(matrix: DataFrame, folds: int = FOLDS, **options) -> DataFrame:
+    """Mean and population deviation of the AUC over stratified folds."""
+    return auc_of_folds(cv_scores(matrix, folds, **options))
+
+
+def auc_of_folds(scores: DataFrame) -> DataFrame:
+    """The figures of :func:`cv_auc` from the table of out-of-fold scores."""
+    return roc_auc_by(scores, "fold").agg(
         F.count("auc").cast("int").alias("folds"),
         F.avg("auc").alias("mean_auc"),
         F.stddev_pop("auc").alias("std_auc"),

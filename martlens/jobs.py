@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from martlens.churn import evaluate, features, model
+from martlens.churn import evaluate, features, model, nodes
+from martlens.fixed_values import CATEGORIES
 from martlens.operators import cube
 from martlens.operators import customers as C
 from martlens.operators import products as P
@@ -18,6 +20,9 @@ from martlens.session import drop_written
 from martlens.sources import readers, sinks
 from martlens.sources.tables import RetailTables
 
+# Where the churn job keeps what later scoring needs.
+MODEL, CODES = "churn_model", "churn_category_codes"
+
 
 def reports(t: RetailTables, as_of: date | str) -> dict[str, Callable[[], DataFrame]]:
     """The named reports with their default parameters."""
@@ -96,20 +101,45 @@ def run_churn_model(
 def _churn_results(
     spark: SparkSession, t: RetailTables, output: str, as_of: date | str, **forest
 ) -> None:
-    matrix = features.feature_matrix(t, as_of)
+    people = features.joined_customers(t, as_of)
+    codes = features.category_codes(people, CATEGORIES)
+    codes.write.mode("overwrite").parquet(f"{output}/{CODES}")
+    matrix = features.feature_matrix(t, as_of, codes=codes)
     forest_model, tested = model.train_and_score(matrix, **forest)
+    forest_model.write().overwrite().save(f"{output}/{MODEL}")
     predictions = evaluate.risk_bands(model.score(forest_model, matrix))
     sinks.export_predictions(predictions, f"{output}/churn_predictions")
     exported = readers.read_predictions(spark, f"{output}/churn_predictions")
+    out_of_fold = model.cv_scores(matrix, **forest)
     results = {
         "dataset_summary": features.churn_dataset_summary(matrix),
         "classification_report": evaluate.classification_report(tested),
         "roc_auc": evaluate.roc_auc(tested),
         "roc_curve": evaluate.roc_curve(tested),
         "confusion_matrix": evaluate.confusion_matrix(tested),
-        "cross_validation": model.cv_auc(matrix, **forest),
+        "cross_validation_scores": out_of_fold,
+        "cross_validation": model.auc_of_folds(out_of_fold),
         "feature_importance": model.importances(forest_model, matrix),
+        "forest_nodes": nodes.forest_nodes(spark, forest_model),
         "risk_band_counts": evaluate.risk_band_counts(exported),
     }
     for name, result in results.items():
         result.write.mode("overwrite").parquet(f"{output}/churn/{name}")
+
+
+def score_customers(
+    spark: SparkSession, folder: str, fitted: str, output: str, as_of: date | str
+) -> None:
+    """Export predictions by the model that :func:`run_churn_model` wrote to ``fitted``.
+
+    Categories keep the codes the model was fitted with; new ones share one more.
+    """
+    t = readers.read_published(spark, folder)
+    codes = spark.read.parquet(f"{fitted}/{CODES}")
+    forest = PipelineModel.load(f"{fitted}/{MODEL}")
+    try:
+        matrix = features.feature_matrix(t, as_of, codes=codes)
+        bands = evaluate.risk_bands(model.score(forest, matrix))
+        sinks.export_predictions(bands, f"{output}/churn_predictions")
+    finally:
+        drop_written(spark)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.churn import evaluate, features, model, split
+from martlens.churn import evaluate, features, model, nodes, split
 from martlens.operators import cube, customers, dashboard, measures, products, quality, revenue
 from martlens.session import drops, file_stamps, tune, written
 from martlens.sources.tables import RetailTables, check_order_ids
@@ -33,43 +34,41 @@ def _matrix(t: RetailTables) -> DataFrame:
     return features.feature_matrix(t, AS_OF)
 
 
-def _forest_metrics(t: RetailTables) -> DataFrame:
-    _, scored = model.train_and_score(_matrix(t))
-    report = evaluate.classification_report(scored)
-    area = evaluate.roc_auc(scored).select("auc").scalar()
-    return report.withColumn("auc", area)
+class _Fit:
+    """One fit of the forest, and what the queries publish of it, each written once."""
 
+    def __init__(self, t: RetailTables) -> None:
+        self.matrix = _matrix(t)
+        self.model, self.tested = model.train_and_score(self.matrix)
 
-def _forest_importance(t: RetailTables) -> DataFrame:
-    matrix = _matrix(t)
-    return model.importances(model.train(matrix), matrix)
+    @cached_property
+    def scored(self) -> DataFrame:
+        return written(model.score(self.model, self.matrix))
 
+    @cached_property
+    def importances(self) -> DataFrame:
+        return model.importances(self.model, self.matrix)
 
-def _forest_predictions(t: RetailTables) -> DataFrame:
-    matrix = _matrix(t)
-    return evaluate.risk_bands(model.score(model.train(matrix), matrix))
+    def metrics(self) -> DataFrame:
+        area = evaluate.roc_auc(self.tested).select("auc").scalar()
+        return evaluate.classification_report(self.tested).withColumn("auc", area)
 
+    def predictions(self) -> DataFrame:
+        return evaluate.risk_bands(self.scored)
 
-# A few trees show whether the properties of a fit hold; they hold for any number.
-CHECK_TREES = 10
+    def predictions_check(self) -> DataFrame:
+        """Customers scored, and how many of them break a property of predictions."""
+        return evaluate.predictions_check(self.predictions(), self.matrix)
 
+    def importances_check(self) -> DataFrame:
+        return model.importances_check(self.importances)
 
-def _predictions_check(t: RetailTables) -> DataFrame:
-    """Customers scored, and how many of them break a property of predictions."""
-    matrix = _matrix(t)
-    scored = model.score(model.train(matrix, trees=CHECK_TREES), matrix)
-    return evaluate.predictions_check(evaluate.risk_bands(scored), matrix)
+    def support(self) -> DataFrame:
+        return evaluate.classification_report(self.tested).select("class", "support")
 
-
-def _importance_check(t: RetailTables) -> DataFrame:
-    matrix = _matrix(t)
-    forest = model.train(matrix, trees=CHECK_TREES)
-    return model.importances_check(model.importances(forest, matrix))
-
-
-def _forest_support(t: RetailTables) -> DataFrame:
-    _, scored = model.train_and_score(_matrix(t), trees=CHECK_TREES)
-    return evaluate.classification_report(scored).select("class", "support")
+    def nodes_check(self) -> DataFrame:
+        found = nodes.forest_nodes(self.matrix.sparkSession, self.model)
+        return nodes.nodes_check(found, self.scored, self.importances, self.matrix)
 
 
 def _label_rows(t: RetailTables) -> DataFrame:
@@ -181,14 +180,7 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "risk_band_counts": lambda t: evaluate.risk_band_counts(
         evaluate.risk_bands(deterministic_scores(t))
     ),
-    # Random forest
-    "rf_train_metrics": _forest_metrics,
     "cv_auc": lambda t: model.cv_auc(_matrix(t)),
-    "feature_importance": _forest_importance,
-    "churn_predictions": _forest_predictions,
-    "churn_predictions_check": _predictions_check,
-    "feature_importance_check": _importance_check,
-    "rf_support": _forest_support,
 }
 
 _CUBE_QUERIES = {f"cube_{name}": _QUERIES[name] for name in CUBE_REPORTS} | {
@@ -198,6 +190,21 @@ _CUBE_QUERIES = {f"cube_{name}": _QUERIES[name] for name in CUBE_REPORTS} | {
 _QUERIES["order_cube"] = lambda t: cube.cell_sums(cube.build(t))
 
 
+# Published figures of the forest, fitted anew for each.
+_FIT_QUERIES: dict[str, Callable[[_Fit], DataFrame]] = {
+    "rf_train_metrics": _Fit.metrics,
+    "feature_importance": lambda fit: fit.importances,
+    "churn_predictions": _Fit.predictions,
+}
+# Checks of the forest that was published last for the same files.
+_FIT_CHECKS: dict[str, Callable[[_Fit], DataFrame]] = {
+    "churn_predictions_check": _Fit.predictions_check,
+    "feature_importance_check": _Fit.importances_check,
+    "rf_support": _Fit.support,
+    "forest_nodes_check": _Fit.nodes_check,
+}
+
+
 def open_tables(spark: SparkSession, folder: str) -> RetailTables:
     """The tables of a folder.
 
@@ -230,15 +237,19 @@ def _bind(query: Callable[[RetailTables], DataFrame]) -> Query:
     return run
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """The files of the tables, and whether tables written so far are still there."""
+    names = ("orders", "lineitem", "customer", "part", "nation", "region")
+    stamps = tuple(file_stamps(spark, f"{folder}/{name}.parquet") for name in names)
+    return spark.sparkContext.applicationId, drops(), stamps
+
+
 _CUBES: dict[tuple, cube.OrderCube] = {}
 
 
 def _cubed_tables(spark: SparkSession, folder: str) -> RetailTables:
     """The tables with their cube, built once for the same files and written tables."""
-    t = open_tables(spark, folder)
-    names = ("orders", "lineitem", "customer", "part", "nation", "region")
-    stamps = tuple(file_stamps(spark, f"{folder}/{name}.parquet") for name in names)
-    key = (spark.sparkContext.applicationId, drops(), stamps)
+    t, key = open_tables(spark, folder), _state(spark, folder)
     if key not in _CUBES:
         _CUBES.clear()
         _CUBES[key] = cube.build(t)
@@ -249,6 +260,22 @@ def _bind_cube(query: Callable[[RetailTables], DataFrame]) -> Query:
     return lambda spark, folder: query(_cubed_tables(spark, folder))
 
 
+_FITS: dict[tuple, _Fit] = {}
+
+
+def _bind_fit(query: Callable[[_Fit], DataFrame], anew: bool) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        key = _state(spark, folder)
+        if anew or key not in _FITS:
+            _FITS.clear()
+            _FITS[key] = _Fit(open_tables(spark, folder))
+        return query(_FITS[key])
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     found = {name: _bind(query) for name, query in _QUERIES.items()}
-    return found | {name: _bind_cube(query) for name, query in _CUBE_QUERIES.items()}
+    found |= {name: _bind_cube(query) for name, query in _CUBE_QUERIES.items()}
+    found |= {name: _bind_fit(query, anew=True) for name, query in _FIT_QUERIES.items()}
+    return found | {name: _bind_fit(query, anew=False) for name, query in _FIT_CHECKS.items()}

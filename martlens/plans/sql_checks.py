@@ -631,6 +631,11 @@ FROM placed GROUP BY fold, churned""",
     + """
 SELECT COUNT(*) AS customers, CAST(0 AS BIGINT) AS null_ids, CAST(0 AS BIGINT) AS outside_range,
   CAST(0 AS BIGINT) AS wrong_band, CAST(0 AS BIGINT) AS unknown_ids
+FROM matrix""",
+    "forest_nodes_check": _MATRIX
+    + f"""
+SELECT COUNT(*) AS customers, CAST(0 AS BIGINT) AS other_probabilities, CAST(13 AS BIGINT) AS features,
+  CAST(0 AS BIGINT) AS other_importances, CAST({fixed.TREES} AS BIGINT) AS trees
 FROM matrix""",
     "feature_importance_check": """
 SELECT CAST(13 AS BIGINT) AS features, TRUE AS sums_to_one, CAST(3 AS BIGINT) AS flagged,

@@ -127,3 +127,16 @@ def test_balanced_weights(spark):
     weights = by_key(S.balanced_weights(labelled(spark, {0: 75, 1: 25})), "churned")
     assert weights[0]["weight"] == pytest.approx(100 / (2 * 75))
     assert weights[1]["weight"] == 2.0
+
+
+def test_codes_are_kept_for_later_rows(spark):
+    first = spark.createDataFrame([("x", None), ("z", "b"), ("z", "a"), ("y", "b")], "p string, q string")
+    codes = X.category_codes(first, ["p", "q"])
+    found = {(r.column, r.value): r.code for r in codes.collect()}
+    assert found == {("p", "x"): 0, ("p", "y"): 1, ("p", "z"): 2,
+                     ("q", "a"): 0, ("q", "b"): 1, ("q", "nan"): 2}
+    assert sorted(X.encode(first, ["p", "q"]).collect()) == [(0, 2), (1, 1), (2, 0), (2, 1)]
+    later = spark.createDataFrame([("y", "b"), ("new", None), (None, "other")], "p string, q string")
+    assert sorted(X.encode(later, ["p", "q"], codes).collect()) == [(1, 1), (3, 2), (3, 3)]
+    nothing = X.category_codes(first.limit(0), ["p", "q"])
+    assert {tuple(r) for r in X.encode(later, ["p", "q"], nothing).collect()} == {(0, 0)}

@@ -56,6 +56,10 @@ def test_from_exports_to_predictions(spark, exports, tmp_path):
 
     auc = spark.read.parquet(f"{output}/churn/roc_auc").first().auc
     assert auc > 0.9
+    main(["score", "--tables", published, "--fitted", output, "--output", f"{output}/again"])
+    again = readers.read_predictions(spark, f"{output}/again/churn_predictions").collect()
+    assert sorted(again) == sorted(readers.read_predictions(spark, predictions).collect())
+
     bands = spark.read.parquet(f"{output}/churn/risk_band_counts")
     scored = readers.read_predictions(spark, predictions).count()
     assert scored == sum(r.customers for r in bands.collect()) > 0

@@ -21,7 +21,7 @@ from martlens.sources.tpch import retail_views
 QUERIES = catalog.queries()
 FITTED = {
     "rf_train_metrics", "cv_auc", "feature_importance", "churn_predictions",
-    "churn_predictions_check", "feature_importance_check", "rf_support",
+    "churn_predictions_check", "feature_importance_check", "rf_support", "forest_nodes_check",
 }
 
 
