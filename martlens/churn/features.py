@@ -18,7 +18,7 @@ from martlens.functions.exprs import (
     ratio,
     sum_if,
 )
-from martlens.operators.ordering import global_position
+from martlens.operators.ordering import position_in_group
 from martlens.session import written
 from martlens.sources.tables import RetailTables
 
@@ -108,11 +108,11 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in columns])
     )
     values = df.select(pair.alias("pair")).select("pair.*").distinct()
-    ranked = global_position(values, ["column", "value"])
-    # A row for each column.
-    first = ranked.groupBy("column").agg(F.min("position").alias("_first"))
-    code = (F.col("position") - F.col("_first")).cast("int").alias("code")
-    return written(ranked.join(F.broadcast(first), "column").select("column", "value", code))
+    return written(
+        position_in_group(values, "column", ["value"]).select(
+            "column", "value", (F.col("position") - 1).cast("int").alias("code")
+        )
+    )
 
 
 def encode(df: DataFrame, columns: Sequence[str], codes: DataFrame | None = None) -> DataFrame:
@@ -124,15 +124,17 @@ def encode(df: DataFrame, columns: Sequence[str], codes: DataFrame | None = None
     """
     if codes is None:
         codes = category_codes(df, columns)
+    # A row for each column.
+    ends = codes.groupBy("column").agg((F.max("code") + 1).alias("end")).collect()
+    unseen = {row.column: row.end for row in ends}
     for column in columns:
         known = codes.where(F.col("column") == column).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
-        unseen = known.agg(F.coalesce(F.max("_code") + 1, F.lit(0))).scalar()
         coded = df.withColumn("_text", _text(column)).join(
             known, F.col("_text") == F.col("_value"), "left"
         )
-        df = coded.withColumn(column, F.coalesce("_code", unseen)).drop("_text", "_value", "_code")
+        df = coded.withColumn(column, F.coalesce("_code", F.lit(unseen.get(column, 0)))).drop("_text", "_value", "_code")
     return df
 
 

@@ -58,6 +58,28 @@ def global_position(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     )
 
 
+def position_in_group(
+    df: DataFrame, group: str, keys: Sequence[str | Column], name: str = "position"
+) -> DataFrame:
+    """Adds the 1-based rank of the row within its group; groups are few.
+
+    One range sort ranks all groups together. What is broadcast has a row for each
+    group and part at most.
+    """
+    rows = range_sorted(df, [group, *keys])
+    parts = rows.groupBy(group, PART).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(PLACE).alias("_first")
+    )
+    earlier = Window.partitionBy(group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
+    parts = parts.select(group, PART, offset.alias("_offset"))
+    return (
+        rows.join(F.broadcast(parts), [group, PART])
+        .withColumn(name, F.col(PLACE) + F.col("_offset"))
+        .drop(PART, PLACE, "_offset")
+    )
+
+
 def distributed_ntile(
     df: DataFrame, tiles: int, keys: Sequence[str | Column], name: str
 ) -> DataFrame:

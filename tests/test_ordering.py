@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from martlens.operators import ordering
 from martlens.operators.ordering import (
     distributed_ntile,
     exact_medians,
@@ -73,3 +74,12 @@ def test_medians_per_group(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     found = {r.g: r["median"] for r in exact_medians(df, "g", "v").collect()}
     assert found == {g: statistics.median(values) for g, values in groups.items()}
+
+
+def test_positions_within_groups(spark):
+    rows = [("a", i) for i in range(70)] + [("b", 5)] + [("c", i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "g string, v int").repartition(6)
+    found = ordering.position_in_group(frame, "g", ["v"]).collect()
+    assert sorted((r.g, r.v, r.position) for r in found) == sorted(
+        (g, v, 1 if g == "b" else v + 1) for g, v in rows
+    )
