@@ -3,10 +3,10 @@
 A rolling hash over the bytes decides where a text is cut, so passages shared by
 documents fall into equal chunks wherever they stand. Chunks are counted over all
 documents; those whose reuse saves most are encoded once for the whole job, up to
-a bounded table that is broadcast, and every other chunk once per task while the
-task remembers it. Results never depend on what is reused: chunk joins are always
-repaired, by encoding the stretch between the nearest places where the tokenizer
-itself always breaks, so that ids agree exactly with those of the whole text.
+a bounded table that is broadcast. What lies between shared chunks is encoded in one
+go. Where both meet, the join is repaired: a stretch around it is encoded anew and
+widened until its first and its last words have the ids that both sides gave them.
+Results never depend on what is reused.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ MEAN_BITS = 9  # a cut every 512 bytes on average, after the least size
 MIN_BYTES, MAX_BYTES = 128, 4096
 # Bound of the broadcast table: entries, each of at most MAX_BYTES bytes of text.
 SHARED_CHUNKS = 32_768
-REMEMBERED = 20_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BLANKS = frozenset(b"\t\n\x0b\x0c\r ")
 
@@ -77,78 +76,110 @@ def _always_breaks(data: bytes, place: int) -> bool:
     return data[place] == 32 and before < 128 > after and before not in _BLANKS and after not in _BLANKS
 
 
-def repair_window(data: bytes, join: int) -> tuple[int, int]:
-    """The nearest places around a join at which the tokenizer always breaks."""
-    low = join
-    while low > 0 and not (low < len(data) and _always_breaks(data, low)):
-        low = data.rfind(b" ", 0, low)
-        low = max(low, 0)
-    high = join
-    while high < len(data) and not (high > 0 and _always_breaks(data, high)):
-        high = data.find(b" ", high + 1)
-        high = len(data) if high < 0 else high
-    return low, high
+def break_before(data: bytes, place: int) -> int:
+    """The last place up to ``place`` at which a tokenizer breaks between words, or 0."""
+    while place > 0 and not (place < len(data) and _always_breaks(data, place)):
+        place = max(data.rfind(b" ", 0, place), 0)
+    return place
+
+
+def break_after(data: bytes, place: int) -> int:
+    """The first place from ``place`` on at which it breaks, or the end."""
+    while place < len(data) and not (place > 0 and _always_breaks(data, place)):
+        place = data.find(b" ", place + 1)
+        place = len(data) if place < 0 else place
+    return place
+
+
+class _Segment:
+    """Ids of a stretch of a text, with the places where they end."""
+
+    def __init__(self, start: int, ids: bytes, lengths: np.ndarray) -> None:
+        self.ids = np.frombuffer(ids, "<u4")
+        self.ends = start + np.cumsum(lengths[self.ids])
+        self.start, self.end = start, int(self.ends[-1])
+
+    def between(self, low: int, high: int) -> np.ndarray | None:
+        """The ids from one place to another, if ids end at both."""
+        a = 0 if low == self.start else int(np.searchsorted(self.ends, low)) + 1
+        b = int(np.searchsorted(self.ends, high)) + 1 if high > self.start else 0
+        exact = (low == self.start or self.ends[a - 1 : a].tolist() == [low]) and (
+            high == self.start or self.ends[b - 1 : b].tolist() == [high]
+        )
+        return self.ids[a:b] if exact else None
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk; ``shared`` maps chunk digests to ids."""
+    """Encodes texts; ``shared`` maps digests of chunks to their ids."""
 
     def __init__(self, pieces: PieceEncoder, shared: dict[bytes, bytes] | None = None) -> None:
         self.pieces, self.shared = pieces, shared or {}
-        self.remembered: dict[bytes, bytes] = {}
-
-    def _chunk(self, part: bytes) -> bytes:
-        key = chunk_key(part)
-        ids = self.shared.get(key) or self.remembered.get(key)
-        if ids is None:
-            ids = self.pieces.encode(part.decode())
-            if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
-            self.remembered[key] = ids
-        return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, as 32-bit integers, equal to those of the library."""
-        if not text or self.pieces.has_special(text):
+        """Ids of a text, as 32-bit integers, equal to those of the library.
+
+        If a join finds no agreement within the segments beside it, the whole text
+        is encoded anew.
+        """
+        if not (text and self.shared and self.pieces.breaks) or self.pieces.has_special(text):
             return self.pieces.encode(text)
         data = text.encode()
         borders = cuts(data)
-        # Stretches to encode anew around the joins, merged where they meet.
-        windows: list[list[int]] = []
-        for join in borders[1:-1]:
-            if windows and join <= windows[-1][1]:
-                continue  # encoded anew already
-            low, high = repair_window(data, join)
-            if windows and low <= windows[-1][1]:
-                windows[-1][1] = max(windows[-1][1], high)
-            else:
-                windows.append([low, high])
+        known = [self.shared.get(chunk_key(data[a:b])) for a, b in zip(borders, borders[1:])]
+        if not any(known):
+            return self.pieces.encode(text)
+        segments, at = [], 0
+        for place, ids in enumerate(known):
+            if ids is not None:
+                if at < borders[place]:
+                    segments.append(self._encoded(data, at, borders[place]))
+                at = borders[place + 1]
+                segments.append(_Segment(borders[place], ids, self.pieces.lengths))
+        if at < len(data):
+            segments.append(self._encoded(data, at, len(data)))
         out, at = [], 0
-        windows.append([len(data), len(data)])
-        chunk = 0
-        for low, high in windows:
-            if at < low:
-                # [at, low) lies inside one chunk, as all joins are in windows.
-                while borders[chunk + 1] < low:
-                    chunk += 1
-                out.append(self._slice(data, borders[chunk], borders[chunk + 1], at, low))
-            if low < high:
-                out.append(self.pieces.encode(data[low:high].decode()))
-            at = max(at, high)
-        return b"".join(out)
-
-    def _slice(self, data: bytes, start: int, end: int, low: int, high: int) -> bytes:
-        ids = self._chunk(data[start:end])
-        if (low, high) == (start, end):
-            return ids
-        numbers = np.frombuffer(ids, "<u4")
-        ends = np.cumsum(self.pieces.lengths[numbers])
-        a = np.searchsorted(ends, low - start, "right") if low > start else 0
-        b = np.searchsorted(ends, high - start, "left") + 1
-        kept = ends[b - 1] - (ends[a - 1] if a else 0)
-        if kept != high - low:
-            return self.pieces.encode(data[low:high].decode())
-        return numbers[a:b].tobytes()
+        for left, right in zip(segments, segments[1:]):
+            repaired = self._repaired(data, left, right, at)
+            if repaired is None:
+                return self.pieces.encode(text)
+            kept, new, at = repaired
+            out += [kept, new]
+        rest = segments[-1].between(at, len(data))
+        if rest is None:
+            return self.pieces.encode(text)
+        return b"".join(part.tobytes() for part in [*out, rest])
+
+    def _encoded(self, data: bytes, low: int, high: int) -> _Segment:
+        return _Segment(low, self.pieces.encode(data[low:high].decode()), self.pieces.lengths)
+
+    def _repaired(
+        self, data: bytes, left: _Segment, right: _Segment, at: int
+    ) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Ids of the left side from ``at`` on, ids around the join, and where they end.
+
+        The stretch has a word on either side of the part in doubt. Those two words
+        must come out with the ids of the segments they are from; else they are in
+        doubt too, and the stretch grows by the next.
+        """
+        join = right.start
+        low, high = break_before(data, join), break_after(data, join)
+        while True:
+            outer_low = break_before(data, low - 1) if low > 0 else 0
+            outer_high = break_after(data, high + 1) if high < len(data) else high
+            if (outer_low < at and outer_low > 0) or outer_low < left.start or outer_high > right.end:
+                return None
+            new = self._encoded(data, outer_low, outer_high)
+            before, after = left.between(outer_low, low), right.between(high, outer_high)
+            same_before, same_after = new.between(outer_low, low), new.between(high, outer_high)
+            agrees = not any(p is None for p in (before, after, same_before, same_after)) and (
+                np.array_equal(before, same_before) and np.array_equal(after, same_after)
+            )
+            if agrees:
+                kept = left.between(at, outer_low) if at <= outer_low else None
+                return None if kept is None else (kept, new.ids, outer_high)
+            if outer_low == 0 and outer_high == len(data):
+                return None
+            low, high = outer_low, outer_high
 
 
 def chunk_key(part: bytes) -> bytes:

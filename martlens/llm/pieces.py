@@ -2,7 +2,10 @@
 
 A byte-level tokenizer never merges across the places where this module cuts a
 text: before a blank that follows and precedes other characters, and around runs
-of white space. So equal pieces always have equal ids, wherever they stand.
+of white space. So equal pieces always have equal ids, wherever they stand. That is
+checked when a vocabulary is loaded: if it has an entry with white space behind other
+characters, or one that does not begin with a single blank before them, every text is
+encoded as a whole.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ class PieceEncoder:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = [_token_bytes(t) for t in tokens]
+        content = set(self.special)
+        self.breaks = not any(
+            crosses_words(b) for t, b in zip(tokens, self.bytes) if t not in content
+        )
         self.kept: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -47,7 +54,7 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.has_special(text):
+        if not self.breaks or self.has_special(text):
             return self.whole(text)
         pieces = PIECE.findall(text)
         kept = self.kept
@@ -93,6 +100,15 @@ class PieceEncoder:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+# White space behind other characters, or before them unless it is a single blank.
+_CROSSES = re.compile(f"[^{WHITE}][{WHITE}]|[{WHITE}]{{2}}[^{WHITE}]|(?! )[{WHITE}][^{WHITE}]")
+
+
+def crosses_words(token: bytes) -> bool:
+    """Whether a token reaches over a place where texts are cut into pieces."""
+    return _CROSSES.search(token.decode("utf-8", "replace")) is not None
+
+
 def _byte_characters() -> dict[str, int]:
     """Printable stand-ins of byte-level vocabularies: other bytes follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
