@@ -9,6 +9,7 @@ the frame, so that one record is read by decompressing one frame.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -25,6 +26,8 @@ from martlens.session import written
 MIN_REVISIT_BYTES = 100
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 512 * 1024 * 1024
+# Records that a task reads back, before compression.
+READ_BYTES = 32 * 1024 * 1024
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 
@@ -219,8 +222,12 @@ def write_archives(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES
 def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the bundles in an index, read frame by frame.
 
-    The unit of work is a frame, so one large bundle is read by many tasks.
+    The unit of work is a frame, so one large bundle is read by many tasks. Their
+    number follows the bytes of the records; tasks get neighbouring frames, and so
+    read the seek table of a bundle once.
     """
+    size = index.agg(F.sum(F.col("record_bytes").cast("long"))).first()[0] or 0
+    tasks = max(1, math.ceil(size / READ_BYTES))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[str, BundleReader] = {}
@@ -236,7 +243,8 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     frames = index.select("bundle", "frame").distinct()
-    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(read, RECORDS)
+    dealt = frames.repartitionByRange(tasks, "bundle", "frame")
+    return dealt.sortWithinPartitions("bundle", "frame").mapInArrow(read, RECORDS)
 
 
 def read_record(index: DataFrame, page_id: int) -> list[tuple]:
