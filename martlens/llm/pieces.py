@@ -86,13 +86,13 @@ class PieceEncoder:
     def _learn_joined(self, group: list[str], join: str) -> None:
         ids = np.frombuffer(self.whole(join.join(group)), "<u4")
         ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))
-        gap = len(join)
-        at = 0
-        for piece in group:
-            end = at + len(piece.encode())
-            a, b = np.searchsorted(ends, (at, end))
-            self.kept[piece] = ids[a:b].tobytes()
-            at = end + gap
+        sizes = np.array([len(piece.encode()) for piece in group]) + len(join)
+        starts = np.cumsum(sizes) - sizes
+        first = np.searchsorted(ends, starts) * 4
+        last = np.searchsorted(ends, starts + sizes - len(join)) * 4
+        data = ids.tobytes()
+        for piece, a, b in zip(group, first.tolist(), last.tolist()):
+            self.kept[piece] = data[a:b]
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode with special tokens kept."""
