@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlens.llm.words import NOT_WORD, ascii_words, lower_ascii, split_words
+from martlens.llm.words import NOT_WORD, ascii_words, lower_ascii, packed, split_words, unpacked
 from martlens.session import written
 
 WINDOW = 10
@@ -161,8 +161,8 @@ def scan(
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with the columns of ``docs``."""
-    clean = scan(docs, benchmark, **options).where(F.size("scan.starts") == 0)
-    return clean.select(*docs.columns)
+    scanned = scan(packed(docs, F.col("text").alias("text")), benchmark, **options)
+    return unpacked(scanned.where(F.size("scan.starts") == 0), docs.columns)
 
 
 @F.pandas_udf(T.StringType())
@@ -182,5 +182,6 @@ def _without_spans(texts: pd.Series, scans: pd.DataFrame) -> pd.Series:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """All documents, with the hit passages cut out of their texts."""
-    scanned = scan(docs, benchmark, **options)
-    return scanned.withColumn("text", _without_spans("text", "scan")).select(*docs.columns)
+    scanned = scan(packed(docs, F.col("text").alias("text")), benchmark, **options)
+    cut = F.col("row").withField("text", _without_spans("text", "scan"))
+    return unpacked(scanned.withColumn("row", cut), docs.columns)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.llm.words import letters_only
+from martlens.llm.words import letters_only, packed, unpacked
 
 GRAM = 4
 SLOT_BITS = 20
@@ -238,8 +238,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataF
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))), **options)
     guess = predictor(docs, model)(F.col("text"))
-    kept = docs.withColumn("_guess", guess).where(
-        (F.col("_guess.lang_pred") != UNKNOWN) & (F.col("_guess.score") >= min_score)
-        & F.col("_guess.told")
+    kept = packed(docs, guess.alias("guess")).where(
+        (F.col("guess.lang_pred") != UNKNOWN) & (F.col("guess.score") >= min_score)
+        & F.col("guess.told")
     )
-    return kept.select(*docs.columns)
+    return unpacked(kept, docs.columns)

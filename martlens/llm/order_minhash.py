@@ -23,15 +23,16 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.llm.components import components, joined_components
-from martlens.llm.words import ascii_words
+from martlens.llm.words import ascii_words, packed, unpacked
 from martlens.session import written
 
 SHINGLE = 5
@@ -390,9 +391,24 @@ def class_labels(members: DataFrame, texts: DataFrame, least: float = SIMILARITY
     settles half of them; each costs one comparison per member. The pairs then left are
     all compared, so the result does not depend on the rounds.
     """
-    spark, batch = members.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _small_batches(members.sparkSession):
+        return _class_labels(members, texts, least)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows for a Python task at a time, unless the submitter chose a number."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
     if not spark.sparkContext.getConf().contains(batch):
         spark.conf.set(batch, ROWS_PER_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(batch, before)
+
+
+def _class_labels(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     tested = written(leader_pairs(members))
     links = written(verified(tested, texts, least))
     labels = written(components(links))
@@ -459,8 +475,8 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
         classes.where("node is not null").groupBy("node").agg(F.min("class_id").alias("class_id"))
         .select(F.col("node").alias("n"), "class_id")
     )
-    marked = docs.withColumn("_node", text_node(F.col("text")))
+    marked = packed(docs, text_node(F.col("text")).alias("node"), F.col("doc_id").alias("id"))
     joined = marked.join(
-        kept, (F.col("_node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("class_id")), "left"
+        kept, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("class_id")), "left"
     )
-    return joined.where(F.col("_node").isNull() | F.col("n").isNotNull()).select(*docs.columns)
+    return unpacked(joined.where(F.col("node").isNull() | F.col("n").isNotNull()), docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,6 +29,19 @@ def split_words(text: Column, separator: str) -> Column:
     return F.filter(parts, lambda part: part != "")
 
 
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """Whole rows as one column ``row``, beside the columns an operator needs.
+
+    Whatever names the columns of ``docs`` have, none can clash with its own.
+    """
+    return docs.select(F.struct(*docs.columns).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that went into :func:`packed`."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Runs of digits, letters and non-ASCII characters, A-Z in lower case."""
     return text.encode().translate(_WORD_TABLE).split() if text else []

@@ -9,7 +9,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from martlens.llm import language_id, queries
+from martlens.llm import language_id, order_minhash, queries
 from tests.llm.test_text_operators import DOCS, edited, prose
 
 OTHER = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce".split()
@@ -69,3 +69,35 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+CLASHES = "n class_id node _node id row label key scan guess _guess place text_2 told host t1 l1 s kept".split()
+
+
+def test_columns_of_any_name_come_back_unchanged(spark, tmp_path):
+    """Every filtering stage keeps further columns, whatever it calls its own."""
+    rows = [(i, prose(i, 90), "en", f"s{i % 3}", 1, *[f"{i}-{c}" for c in CLASHES]) for i in range(40)]
+    rows += [(90, rows[3][1], "en", "s", 1, *[f"90-{c}" for c in CLASHES])]
+    rows += [(91, f"{prose(800, 50)} {prose(900, 40)}", "en", "s", 1, *[f"91-{c}" for c in CLASHES])]
+    schema = DOCS + "".join(f", {c} string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, prose(900, 40))], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    left = [set(range(40)) | {90, 91}] * 2 + [set(range(40)) | {91}, set(range(40))]
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[5:] == CLASHES
+        docs.write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        found = docs.collect()
+        assert {r.doc_id for r in found} == left[number]
+        assert all(r[c] == f"{r.doc_id}-{c}" for r in found for c in CLASHES)
+
+
+def test_near_duplicates_leave_the_session_as_it_was(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    rows = [(i, prose(i % 5, 60), "en", "s", 1) for i in range(10)]
+    order_minhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()
+    assert spark.conf.get(setting) == before

@@ -584,3 +584,17 @@ def test_chat_round_trip(spark, nothing):
     assert chat.format_conversations(frame.limit(0)).isEmpty()
     plan = chat.format_conversations(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+def test_read_tasks_grow_with_the_records(spark, monkeypatch):
+    """More tasks for more bytes, and never one for all."""
+    monkeypatch.setattr(warc, "READ_BYTES", 40_000)
+    kinds = "page_id long, url string, html string"
+    for n in (60, 240):
+        rng = random.Random(n)
+        pages = [(i, f"http://h/{i}", "".join(rng.choices("abcdefgh <>", k=2_000))) for i in range(n)]
+        index = warc.write_archives(spark.createDataFrame(pages, kinds), warc.new_folder(spark, "w"), frame_bytes=8_000)
+        read = warc.read_archives(index)
+        tasks = read.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert n * 2_000 / 40_000 * 0.7 <= tasks <= n * 3_000 / 40_000 + 1
+        assert sorted((r.page_id, bytes(r.payload)) for r in read.collect()) == [(i, h.encode()) for i, _, h in pages]
+
+
