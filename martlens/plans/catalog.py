@@ -183,9 +183,7 @@ _QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "cv_auc": lambda t: model.cv_auc(_matrix(t)),
 }
 
-_CUBE_QUERIES = {f"cube_{name}": _QUERIES[name] for name in CUBE_REPORTS} | {
-    "cube_customer_rollup": lambda t: t.cube.customer_rollup(),
-}
+_CUBE_QUERIES = {f"cube_{name}": _QUERIES[name] for name in CUBE_REPORTS}
 # Built anew each time; all other queries of the cube share one for the same files.
 _QUERIES["order_cube"] = lambda t: cube.cell_sums(cube.build(t))
 
@@ -247,17 +245,22 @@ def _state(spark: SparkSession, folder: str) -> tuple:
 _CUBES: dict[tuple, cube.OrderCube] = {}
 
 
-def _cubed_tables(spark: SparkSession, folder: str) -> RetailTables:
-    """The tables with their cube, built once for the same files and written tables."""
-    t, key = open_tables(spark, folder), _state(spark, folder)
+def _cube_of(spark: SparkSession, folder: str) -> cube.OrderCube:
+    """The cube of the tables, built once for the same files and written tables."""
+    key = _state(spark, folder)
     if key not in _CUBES:
         _CUBES.clear()
-        _CUBES[key] = cube.build(t)
-    return t.with_cube(_CUBES[key])
+        _CUBES[key] = cube.build(open_tables(spark, folder))
+    return _CUBES[key]
 
 
 def _bind_cube(query: Callable[[RetailTables], DataFrame]) -> Query:
-    return lambda spark, folder: query(_cubed_tables(spark, folder))
+    """As the report job does: from the orders themselves if their ids repeat."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        t = open_tables(spark, folder)
+        return query(t.with_cube(_cube_of(spark, folder)) if t.unique_order_ids else t)
+
+    return run
 
 
 _FITS: dict[tuple, _Fit] = {}
@@ -276,6 +279,7 @@ def _bind_fit(query: Callable[[_Fit], DataFrame], anew: bool) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {name: _bind(query) for name, query in _QUERIES.items()}
+    found["cube_customer_rollup"] = lambda spark, folder: _cube_of(spark, folder).customer_rollup()
     found |= {name: _bind_cube(query) for name, query in _CUBE_QUERIES.items()}
     found |= {name: _bind_fit(query, anew=True) for name, query in _FIT_QUERIES.items()}
     return found | {name: _bind_fit(query, anew=False) for name, query in _FIT_CHECKS.items()}

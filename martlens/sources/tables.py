@@ -103,7 +103,12 @@ class RetailTables:
         return self._unique_order_ids
 
     def with_cube(self, cube: OrderCube) -> RetailTables:
-        """The same tables, whose reports use partial sums of the orders."""
+        """The same tables, whose reports use partial sums of the orders.
+
+        Counts of orders add up only if no order id repeats.
+        """
+        if not self.unique_order_ids:
+            raise ValueError("orders whose ids repeat cannot be counted from partial sums")
         return RetailTables(
             lambda: self.customers, lambda: self.products, lambda: self.orders,
             lambda: self.order_items, lambda: self.churn_predictions,

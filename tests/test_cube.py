@@ -108,7 +108,7 @@ def test_an_empty_shop(spark):
 def test_repeated_order_ids_are_refused(spark):
     t = tables(spark, [customer("a")], orders=[order("1", "a")] * 2, unique_order_ids=check_order_ids)
     with pytest.raises(ValueError, match="repeat"):
-        cube.build(t)
+        t.with_cube(cube.build(t))
 
 
 def test_distinct_customers_roll_up_without_distinct(plain, built):
