@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 HEAD, COLON, END = "### ", ": ", "</turn>"
 LOSS_ROLE = "assistant"
+PAGE = 4096  # code points of a page that spans are looked up in
 _ESCAPES = (("\\", "\\b"), (END, "\\e"), ("###", "\\h"))
 
 
@@ -137,12 +138,34 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return built.select("conv_id", "formatted", "loss_spans", exact.alias("exact"))
 
 
+def _cut(text: Column, spans: Column) -> Column:
+    """The texts at ``spans`` (code points) of ``text``.
+
+    The text is cut into pages once, so that a span is found without counting
+    from the start again; the pages are bound to a name for the same reason.
+    """
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+    def at(pages: Column, span: Column) -> Column:
+        first, last = F.floor(span["start"] / PAGE), F.floor(span["end"] / PAGE)
+        near = F.array_join(F.slice(pages, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        begin = (span["start"] - first * PAGE + 1).cast("int")
+        return near.substr(begin, (span["end"] - span["start"]).cast("int"))
+
+    return F.transform(F.array(pages), lambda p: F.transform(spans, lambda s: at(p, s)))[0]
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parsed turns and the text under the loss mask: conv_id, turns, loss_text, n_chars."""
-    parsed = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
-    loss = F.filter("turns", lambda t: t["role"] == LOSS_ROLE)
-    return parsed.select(
-        "conv_id", "turns",
-        F.array_join(F.transform(loss, lambda t: t["text"]), "").alias("loss_text"),
+    """Parsed turns and the text under the loss mask: conv_id, turns, loss_text, n_chars.
+
+    ``loss_text`` is what ``loss_spans`` cut out of the formatted text, unescaped.
+    A conversation that is not ``exact`` stops the job.
+    """
+    masked = F.transform(_cut(F.col("formatted"), F.col("loss_spans")), unescape)
+    inexact = F.raise_error(F.concat(F.lit("not recovered: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    return formatted.select(
+        "conv_id",
+        F.when(F.col("exact"), parse(F.col("formatted"))).otherwise(inexact).alias("turns"),
+        F.array_join(masked, "").alias("loss_text"),
         F.length("formatted").cast("long").alias("n_chars"),
     )

@@ -28,6 +28,7 @@ BIN_BITS = 22
 POSITIVE_TEXTS = 4_000
 UNLABELLED_TEXTS = 12_000
 FEATURES = 768
+FEW_OPEN = 10  # labelled documents to an unlabelled one, beyond which those are too few
 MIN_Z = 5.0
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _PART_BYTES = 1_000_000
@@ -140,7 +141,9 @@ def training_texts(docs: DataFrame, labels: DataFrame,
                    unlabelled_texts: int = UNLABELLED_TEXTS) -> tuple[DataFrame, float]:
     """Bounded sample (text, positive) outside the held-out fold, and the prior.
 
-    A document with several labels is toxic if one of them says so.
+    A document with several labels is toxic if one of them says so. Where nearly all
+    documents are labelled, unlabelled texts are drawn from all of them, whatever
+    their label: the risk takes them as a mixture with the prior's share of toxic ones.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -148,6 +151,7 @@ def training_texts(docs: DataFrame, labels: DataFrame,
     )
     learned = known.where(~held_out(F.col("doc_id")))
     n, n_toxic = learned.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n_known = known.count()
     prior = min(0.95, max(1e-4, n_toxic / n)) if n else 1e-4
 
     def drawn(rate: float) -> Column:
@@ -158,14 +162,17 @@ def training_texts(docs: DataFrame, labels: DataFrame,
     )
     n_docs = docs.count()
     toxic_rate = min(1.0, positive_texts / max(1, n_toxic))
-    open_rate = min(1.0, unlabelled_texts / max(1, n_docs - n))
+    few_open = (n_docs - n_known) * FEW_OPEN < n_known
+    open_rate = min(1.0, unlabelled_texts / max(1, n_docs if few_open else n_docs - n))
     toxic = learned.where((F.col("toxic") == 1) & drawn(toxic_rate)).select("doc_id")
     # Both sides are narrowed to the drawn ids before the join, so that only
     # texts of the sample are shuffled.
     positive = open_docs.where(drawn(toxic_rate)).join(F.broadcast(toxic), "doc_id", "left_semi")
-    unlabelled = open_docs.where(drawn(open_rate)).join(
-        known.where(drawn(open_rate)).select("doc_id"), "doc_id", "left_anti"
-    )
+    unlabelled = open_docs.where(drawn(open_rate))
+    if not few_open:
+        unlabelled = unlabelled.join(
+            known.where(drawn(open_rate)).select("doc_id"), "doc_id", "left_anti"
+        )
     sample = positive.select("text", F.lit(True).alias("positive")).unionByName(
         unlabelled.select("text", F.lit(False).alias("positive"))
     )
@@ -200,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, min_z: flo
         place = np.full(1 << BIN_BITS, -1, np.int64)
         place[bins] = np.arange(len(bins))
         for batch in batches:
-            rows = np.zeros((batch.num_rows, len(bins)), np.uint16)
+            rows = np.zeros((batch.num_rows, len(bins)), np.uint32)
             for first, cleaned in parts(batch.column("text").to_pylist()):
                 found, owner = bins_of(cleaned)
                 at = place[found]
@@ -211,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, min_z: flo
             )
 
     table = sample.mapInArrow(vectors, "positive boolean, counts binary").toArrow()
-    x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint16).reshape(-1, len(bins))
+    x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32).reshape(-1, len(bins))
     positive = np.array(table["positive"].to_pylist(), bool)
     weights, bias = fit_nn_pu(x[positive].astype(float), x[~positive].astype(float), prior)
     return LinearModel(bins, weights, bias)
