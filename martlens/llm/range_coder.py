@@ -1,14 +1,15 @@
 """Adaptive context-mixing range coder for token ids.
 
-Order 1 and order 2 each predict one id: the last that followed the same one or
-two ids. Order 0 predicts by adaptive histograms of the id's bytes. The weights
-of the orders are mixed into one distribution, which a range coder is driven by:
-the predicted ids have the odds that predictions of their order and confidence
-earned so far, and the rest goes to order 0, which then codes the id byte by byte.
-
-Blocks are independent: model and coder start anew in each, so blocks are coded
-in lockstep, one lane of numpy arrays to a block. Histograms count every id, and
-their sums are renewed every few positions.
+Order 1 and order 2 each predict two ids: the latest two that followed the same one or
+two ids. Order 0 predicts by adaptive histograms of the id's first byte and of each
+further byte under the one before it. The orders are mixed into one distribution,
+which a range coder is driven by: the predicted ids have the odds that predictions of
+their order, rank and count earned so far, odds of the same id add up, and the rest
+goes to order 0, which then codes the id byte by byte.
+
+Blocks are independent: model and coder start anew in each, so blocks are coded in
+lockstep, one lane of numpy arrays to a block. The arithmetic is on whole numbers
+alone, so that any machine reads what another wrote.
 """
 
 from __future__ import annotations
@@ -20,106 +21,119 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK_IDS = 2048
-LANES = 4096
-CONTEXTS = 512   # remembered contexts of an order in a block
-CONFIDENCE = 8
-RENEW = 32  # positions between two renewals of the order-0 sums
-STEP, LIMIT = 24, 1 << 15  # growth of a count; sum at which counts are halved
+LANES = 1024  # lanes of blocks of BLOCK_IDS; fewer if blocks are larger
+CONTEXTS = 2048  # remembered contexts of an order in a block
+ORDERS = RANKS = 2  # orders above 0; ids that a context predicts
+LEVELS = 8  # counts of a prediction that are told apart
+STEP, LIMIT = 48, 1 << 14  # growth of a count; sum at which counts are halved
 SURE = 1 << 12  # probabilities of predictions, in this many parts
 BASE, MOST = 1 << 10, 24  # weight of order 0; most that a prediction outweighs it
+FLATTEN = 150  # the first guess of an id's frequency is 1 / (id + FLATTEN)
+NO_ID = -1
 HEAD = struct.Struct("<IIIB")  # ids, bytes, CRC-32 of the ids, bytes of an id
 
 _TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
 
 
+def _first_counts() -> tuple[np.ndarray, np.ndarray]:
+    """Counts before any id is seen: of first bytes, and of second bytes under each first.
+
+    Small ids are likelier. Every byte has a count of one at least.
+    """
+    mass = (1 << 24) // (np.arange(1 << 16) + FLATTEN)
+    rows = mass.reshape(256, 256)
+    first = 1 + rows.sum(axis=1) * 1024 // mass.sum()
+    return first, 1 + rows * 128 // rows.sum(axis=1, keepdims=True)
+
+
 class Lanes:
     """Models of a run of blocks, all at the same position."""
 
     def __init__(self, n: int, width: int) -> None:
         self.width = width
-        self.first = np.arange(n) * CONTEXTS
-        self.guess = np.zeros((2, n * CONTEXTS), np.int32)
-        self.trust = np.zeros((2, n * CONTEXTS), np.int8)
-        self.rank = np.arange(n) * CONFIDENCE
-        self.truth = np.full((2, n * CONFIDENCE), SURE // 8, np.int32)
+        self.context_of = np.arange(n) * CONTEXTS
+        self.seen = np.full((ORDERS, RANKS, n * CONTEXTS), NO_ID, np.int64 if width > 3 else np.int32)
+        self.count = np.zeros((ORDERS, RANKS, n * CONTEXTS), np.int8)
+        self.truth = np.full(ORDERS * RANKS * n * LEVELS, SURE // 8, np.int32)
+        self.truth_of = (np.arange(ORDERS * RANKS)[:, None] * n + np.arange(n)) * LEVELS
         self.before = np.zeros((2, n), np.int64)
-        self.counts = np.ones((width, n, 256), np.int32)
-        self.sums = np.zeros((width, n, 257), np.int32)
-        self.row = np.arange(n) * 256
-        self.age = 0
+        first, second = _first_counts()
+        # The last place is the first byte's; places below it have a row for the byte before.
+        self.counts = [np.tile(second.astype(np.int16), (n, 1)) for _ in range(width - 1)]
+        self.counts.append(np.tile(first.astype(np.int16), (n, 1)))
 
     def begin(self, n: int) -> None:
         """Look up the predictions for the next id of the first ``n`` lanes."""
         self.n = n
-        if self.age % RENEW == 0:
-            for counts, sums in zip(self.counts, self.sums):
-                np.cumsum(counts, axis=1, out=sums[:, 1:])
-                large = np.flatnonzero(sums[:, 256] > LIMIT)
-                if len(large):
-                    counts[large] = (counts[large] + 1) >> 1
-                    sums[large, 1:] = np.cumsum(counts[large], axis=1)
-        self.age += 1
         one, two = self.before[0, :n], self.before[1, :n]
-        places = ((one * 40503 >> 4), ((one * 40503 + two * 30011) * 40507 >> 13))
-        self.at = [self.first[:n] + (p & (CONTEXTS - 1)) for p in places]
-        self.ids = [self.guess[o].take(a) for o, a in enumerate(self.at)]
-        self.level = [self.trust[o].take(a) for o, a in enumerate(self.at)]
-        self.known = [self.rank[:n] + level for level in self.level]
-        self.weight = []
-        for order in (0, 1):
-            p = self.truth[order].take(self.known[order])
-            weight = np.minimum(p * BASE // (SURE + 1 - p), MOST * BASE)
-            weight[self.level[order] == 0] = 0
-            self.weight.append(weight)
-        # Where both orders predict the same id, their weights add up.
-        same = np.flatnonzero(self.ids[0] == self.ids[1])
-        self.weight[1][same] += self.weight[0][same]
-        self.weight[0][same] = 0
-        self.split = self.weight[0] + self.weight[1]
+        keys = ((one * 40503 >> 4), ((one * 40503 + two * 30011) * 40507 >> 13))
+        self.at = [self.context_of[:n] + (k & (CONTEXTS - 1)) for k in keys]
+        self.ids = np.concatenate([self.seen[o].take(a, axis=1) for o, a in enumerate(self.at)])
+        self.level = np.concatenate([self.count[o].take(a, axis=1) for o, a in enumerate(self.at)])
+        self.known = self.truth_of[:, :n] + self.level
+        p = self.truth.take(self.known)
+        weight = np.minimum(p * BASE // (SURE + 1 - p), MOST * BASE)
+        weight[self.level == 0] = 0
+        # Where predictions name the same id, their weights add up in the first of them.
+        for later in range(1, len(weight)):
+            for earlier in range(later):
+                same = np.flatnonzero((self.ids[later] == self.ids[earlier]) & (weight[earlier] > 0))
+                weight[earlier, same] += weight[later, same]
+                weight[later, same] = 0
+        self.weight = weight
+        self.ends = np.cumsum(weight, axis=0)
+        self.split = self.ends[-1]
         self.total = (self.split + BASE).astype(np.uint32)
 
     def choice(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and size of each lane's interval, and the lanes left to order 0."""
-        hit2 = (self.ids[1] == ids) & (self.weight[1] > 0)
-        hit1 = (self.ids[0] == ids) & (self.weight[0] > 0)
-        start = np.where(hit2, 0, np.where(hit1, self.weight[1], self.split))
-        size = np.where(hit2, self.weight[1], np.where(hit1, self.weight[0], BASE))
-        rest = np.flatnonzero(~(hit1 | hit2))
-        return start.astype(np.uint32), size.astype(np.uint32), rest
+        hits = (self.ids == ids) & (self.weight > 0)
+        hit = hits.any(axis=0)
+        size = np.where(hit, (self.weight * hits).sum(axis=0), BASE)
+        start = np.where(hit, (self.ends * hits).sum(axis=0) - size, self.split)
+        return start.astype(np.uint32), size.astype(np.uint32), np.flatnonzero(~hit)
 
     def chosen(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids that a value stands for, and the lanes left to order 0."""
-        ids = np.where(value < self.weight[1], self.ids[1], self.ids[0])
-        return ids.astype(np.int64), np.flatnonzero(value >= self.split)
-
-    def find_byte(self, place: int, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        sums, first = self.sums[place].ravel(), lanes * 257
-        found = np.zeros(len(lanes), np.int64)
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            found += step * (sums.take(first + found + step) <= value)
-        return found
-
-    def byte_interval(self, place: int, lanes: np.ndarray, byte: np.ndarray) -> tuple:
-        sums, at = self.sums[place].ravel(), lanes * 257 + byte
-        start = sums.take(at)
-        size = sums.take(at + 1) - start
-        return start.astype(np.uint32), size.astype(np.uint32), sums.take(lanes * 257 + 256).astype(np.uint32)
+        rank = np.minimum((self.ends <= value).sum(axis=0), len(self.ends) - 1)
+        ids = self.ids[rank, np.arange(self.n)].astype(np.int64)
+        return ids, np.flatnonzero(value >= self.split)
+
+    def sums(self, place: int, lanes: np.ndarray, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of counts of a byte, and their running sums."""
+        row = lanes if above is None else lanes * 256 + above
+        return row, np.cumsum(self.counts[place][row], axis=1, dtype=np.int32)
+
+    def learn_byte(self, place: int, row: np.ndarray, sums: np.ndarray, byte: np.ndarray) -> None:
+        counts = self.counts[place]
+        counts[row, byte] += STEP
+        large = row[sums[:, 255] > LIMIT]
+        if len(large):
+            counts[large] = (counts[large] + 1) >> 1
 
     def learn(self, ids: np.ndarray) -> None:
-        n = self.n
-        for order in (0, 1):
-            hit, level, known = self.ids[order] == ids, self.level[order], self.known[order]
-            truth = self.truth[order]
-            p = truth.take(known)
-            truth[known] = p + ((np.where(hit, SURE - 64, 64) - p) >> 5)
-            up = np.minimum(level + 1, CONFIDENCE - 1)
-            self.trust[order][self.at[order]] = np.where(hit & (level > 0), up, 1)
-            self.guess[order][self.at[order]] = ids
-        for place in range(self.width):
-            byte = (ids >> (8 * place)) & 255
-            self.counts[place].ravel()[self.row[:n] + byte] += STEP
-        self.before[1, :n] = self.before[0, :n]
-        self.before[0, :n] = ids + 1
+        """The id becomes the first prediction of its contexts, the first the second."""
+        p = self.truth.take(self.known)
+        self.truth[self.known] = p + ((np.where(self.ids == ids, SURE - 64, 64) - p) >> 5)
+        for order, at in enumerate(self.at):
+            seen, count = self.seen[order], self.count[order]
+            first, second = self.ids[RANKS * order], self.ids[RANKS * order + 1]
+            n_first, n_second = self.level[RANKS * order], self.level[RANKS * order + 1]
+            same = first == ids
+            seen[1][at] = np.where(same, second, first)
+            count[1][at] = np.where(same, n_second, n_first)
+            seen[0][at] = ids
+            known = np.where(same, n_first, np.where(second == ids, n_second, 0))
+            count[0][at] = np.minimum(known + 1, LEVELS - 1)
+        self.before[1, : self.n] = self.before[0, : self.n]
+        self.before[0, : self.n] = ids + 1
+
+
+def _interval(sums: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lane = np.arange(len(byte))
+    end = sums[lane, byte]
+    start = np.where(byte > 0, sums[lane, byte - 1], 0)
+    return start.astype(np.uint32), (end - start).astype(np.uint32), sums[:, 255].astype(np.uint32)
 
 
 def _id_bytes(ids: np.ndarray) -> int:
@@ -129,12 +143,17 @@ def _id_bytes(ids: np.ndarray) -> int:
 def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> list[bytes]:
     """Blocks with heads for all ids, in order; ids are unsigned 32-bit integers."""
     ids = np.ascontiguousarray(ids, "<u4")
+    run = block_ids * _lanes(block_ids)
     blocks: list[bytes] = []
-    for first in range(0, len(ids), block_ids * LANES):
-        blocks += _encode_lanes(ids[first : first + block_ids * LANES], block_ids)
+    for first in range(0, len(ids), run):
+        blocks += _encode_lanes(ids[first : first + run], block_ids)
     return blocks
 
 
+def _lanes(block_ids: int) -> int:
+    return max(1, LANES * BLOCK_IDS // max(block_ids, BLOCK_IDS))
+
+
 def _encode_lanes(ids: np.ndarray, size: int) -> list[bytes]:
     lanes = -(-len(ids) // size)
     lengths = np.full(lanes, size)
@@ -162,9 +181,13 @@ def _encode_lanes(ids: np.ndarray, size: int) -> list[bytes]:
         start, part, rest = model.choice(values)
         narrow(slice(0, n), start, part, model.total)
         if len(rest):
-            left = values[rest]
+            left, above = values[rest], None
             for step in reversed(range(id_bytes)):
-                narrow(rest, *model.byte_interval(step, rest, (left >> (8 * step)) & 255))
+                byte = (left >> (8 * step)) & 255
+                row, sums = model.sums(step, rest, above)
+                narrow(rest, *_interval(sums, byte))
+                model.learn_byte(step, row, sums, byte)
+                above = byte
         model.learn(values)
         if place % 64 == 0 and filled.max() + 64 * (2 * id_bytes + 2) > out.shape[1]:
             out = np.hstack([out, np.zeros_like(out)])
@@ -198,9 +221,11 @@ def _shift_out(low: np.ndarray, width: np.ndarray, at: np.ndarray | slice) -> It
 
 def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """Ids of blocks as written by :func:`encode_blocks`; checks every block."""
-    out = []
-    for first in range(0, len(blocks), LANES):
-        out.append(_decode_lanes(blocks[first : first + LANES]))
+    out, first = [], 0
+    while first < len(blocks):
+        lanes = _lanes(HEAD.unpack_from(blocks[first])[0])
+        out.append(_decode_lanes(blocks[first : first + lanes]))
+        first += lanes
     return np.concatenate(out) if out else np.array([], "<u4")
 
 
@@ -242,12 +267,14 @@ def _decode_lanes(blocks: list[bytes]) -> np.ndarray:
         start, part, _ = model.choice(values)
         narrow(everything, start, part, model.total)
         if len(rest):
-            left = np.zeros(len(rest), np.int64)
+            left, above = np.zeros(len(rest), np.int64), None
             for step in reversed(range(id_bytes)):
-                total = model.sums[step][rest, 256].astype(np.uint32)
-                byte = model.find_byte(step, rest, value_of(rest, total))
-                narrow(rest, *model.byte_interval(step, rest, byte))
-                left = left << 8 | byte
+                row, sums = model.sums(step, rest, above)
+                value = value_of(rest, sums[:, 255].astype(np.uint32))
+                above = (sums <= value[:, None]).sum(axis=1)
+                narrow(rest, *_interval(sums, above))
+                model.learn_byte(step, row, sums, above)
+                left = left << 8 | above
             values[rest] = left
         model.learn(values)
         ids[place, :n] = values

@@ -26,37 +26,39 @@ END_ID = 2
 # Ids after which a task begins a new file; it ends with a whole document.
 FILE_IDS = 8_000_000
 MAGIC = b"TOKIDS01"
-_FOOT = struct.Struct("<QQQQ")  # blocks, documents, bytes of the table, spare
-NO_ID = -(2**63)  # stands for a null document id
+_FOOT = struct.Struct("<QQQQ")  # blocks, documents, bytes of the table, documents without id (the first ones)
 
 FILES = "path string, part int, number int, n_ids long, n_docs long"
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 
 def write_file(sink, doc_ids: list[int | None], ids: list[bytes]) -> int:
-    """Write documents with their ids (32-bit integers); returns the number of ids."""
+    """Write documents with their ids (32-bit integers); returns the number of ids.
+
+    Documents without an id come first.
+    """
     stream = np.frombuffer(b"".join(ids), "<u4")
     blocks = encode_blocks(stream)
     sink.write(MAGIC)
     for block in blocks:
         sink.write(block)
-    table = np.array([NO_ID if d is None else d for d in doc_ids], "<i8").tobytes()
+    table = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
     table += np.array([len(i) // 4 for i in ids], "<u8").tobytes()
     table = zlib.compress(table)
     sink.write(table)
-    sink.write(_FOOT.pack(len(blocks), len(doc_ids), len(table), 0))
+    sink.write(_FOOT.pack(len(blocks), len(doc_ids), len(table), doc_ids.count(None)))
     sink.close()
     return len(stream)
 
 
-def read_file(source) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_file(source) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, numbers of ids, and all ids of a file."""
     data = source.readall()
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a file of token ids")
-    n_blocks, n_docs, n_table, _ = _FOOT.unpack_from(data, len(data) - _FOOT.size)
+    n_blocks, n_docs, n_table, n_nulls = _FOOT.unpack_from(data, len(data) - _FOOT.size)
     table = zlib.decompress(data[len(data) - _FOOT.size - n_table : len(data) - _FOOT.size])
-    docs = np.frombuffer(table, "<i8", n_docs)
+    docs = [None] * n_nulls + np.frombuffer(table, "<i8", n_docs)[n_nulls:].tolist()
     sizes = np.frombuffer(table, "<u8", n_docs, 8 * n_docs).astype(np.int64)
     blocks, at = [], len(MAGIC)
     for _ in range(n_blocks):
@@ -124,7 +126,7 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
                     cut = slice(first, first + 2000)
                     parts = [ids[e - n : e].tobytes() for e, n in zip(ends[cut], sizes[cut])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([None if d == NO_ID else d for d in docs[cut].tolist()], pa.int64()),
+                        [pa.array(docs[cut], pa.int64()),
                          pa.array(begin + ends[cut] - sizes[cut]), pa.array(sizes[cut]),
                          pa.array([zlib.crc32(p) for p in parts], pa.int64()),
                          pa.array(parts if with_ids else [None] * len(parts), pa.binary())],

@@ -10,12 +10,13 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from martlens.llm import (
-    chat, chunks, decontamination, language_id, licences, order_minhash, quality_rules, queries,
+    chat, chunks, decontamination, language_id, licences, order_minhash, quality_rules, queries, range_coder,
     token_files, toxicity, warc,
 )
 from martlens.llm.components import components, joined_components
@@ -344,6 +345,23 @@ def test_range_coder(size):
     assert sum(map(len, encode_blocks(np.tile(rng.integers(0, 50257, 50), 200)))) < 5000
 
 
+def test_coded_ids_are_smaller_than_zlib_makes_them(sample_dir, library):
+    texts = pq.read_table(f"{sample_dir}/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.concatenate([library.encode(t, add_special_tokens=False).ids for t in texts if t])[:200_000]
+    for size in (range_coder.BLOCK_IDS, 65_536):
+        runs = [ids[i : i + size].astype("<u2").tobytes() for i in range(0, len(ids), size)]
+        coded = sum(map(len, encode_blocks(ids, size)))
+        assert coded < 0.85 * sum(len(zlib.compress(r, 9)) for r in runs)
+        assert 8 * coded < (8.3 if size < 65_536 else 7.9) * len(ids)
+
+
+def test_halved_counts_and_mixed_blocks():
+    ids = np.tile(np.arange(700, dtype="<u4") % 3, 30)
+    assert (decode_blocks(encode_blocks(ids, 20_000)) == ids).all()
+    other = np.array([2**32 - 1, 0, 2**31], "<u4")
+    assert (decode_blocks(encode_blocks(ids) + encode_blocks(other)) == np.concatenate([ids, other])).all()
+
+
 def test_damaged_block_is_noticed():
     (block,) = encode_blocks(np.arange(500) % 50)
     at = HEAD.size + 20
@@ -556,6 +574,22 @@ def test_toxicity(spark, edges, nothing):
     assert toxicity.score(docs, marks.limit(0)).where("predicted = 1").isEmpty()
 
 
+@pytest.mark.parametrize("unlabelled", [0, 5])
+def test_toxicity_of_a_fully_labelled_table(spark, unlabelled):
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(i, 60).split()
+        if i % 6 == 0:
+            for bad in random.Random(i).sample(["scoundrel", "villainous", "wretched"], 2):
+                words.insert(random.Random(i).randrange(50), bad)
+        rows.append((i, " ".join(words)))
+        if i >= unlabelled:
+            labels.append((i, int(i % 6 == 0)))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = toxicity.score(documents(spark, rows), marks).where("held_out").collect()
+    assert all(r.predicted == int(r.doc_id % 6 == 0) for r in scored) and len(scored) > 100
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     positive = rng.poisson(2, (200, 3)).astype(float) + 1
@@ -598,3 +632,23 @@ def test_read_tasks_grow_with_the_records(spark, monkeypatch):
         assert sorted((r.page_id, bytes(r.payload)) for r in read.collect()) == [(i, h.encode()) for i, _, h in pages]
 
 
+def test_loss_text_is_what_the_mask_covers(spark):
+    long = "é\\x###" * 3000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long + "</turn>"), (1, 2, "assistant", ""), (1, 3, "assistant", "zé" * 4096),
+             (2, 0, "user", "no reply"), (-7, 0, "user", "a"), (-7, 1, "assistant", "b")]
+    shown = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    read = {r.conv_id: r.loss_text for r in chat.read_back(shown).collect()}
+    assert read == {1: long + "</turn>" + "zé" * 4096, 2: "", -7: "b"}
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["end"].alias("end")))
+    wrong = chat.read_back(shown.withColumn("loss_spans", moved)).collect()
+    assert {r.conv_id: r.loss_text for r in wrong}[-7] == " b"
+    broken = shown.withColumn("exact", F.col("conv_id") != 2)
+    with pytest.raises(Exception, match="not recovered: conversation 2"):
+        chat.read_back(broken).collect()
+
+
+def test_smallest_document_id_is_kept(spark):
+    rows = [(-(2**63), "a b"), (None, "c"), (0, "d"), (2**63 - 1, None)]
+    files = token_files.write_tokens(documents(spark, rows), queries.VOCABULARY)
+    read = token_files.read_tokens(files).orderBy("start").collect()
+    assert [r.doc_id for r in read] == [None, -(2**63), 0, 2**63 - 1]
