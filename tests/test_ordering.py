@@ -31,6 +31,33 @@ def test_ntile_equals_the_single_task_window(spark, n):
     assert sorted(ours.collect()) == sorted(plain.collect())
 
 
+def test_tiles_with_nulls_and_other_types(spark):
+    rows = [(None if i % 7 == 0 else f"{i % 40}.25", f"k{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "v string, id string").withColumn("v", F.col("v").cast("decimal(28,2)"))
+    for part in (df, df.where("v is not null"), df.limit(1), df.where("v is null")):
+        ours = distributed_ntile(part, 5, ["v", "id"], "tile").select("id", "tile")
+        plain = part.select("id", F.ntile(5).over(Window.orderBy("v", "id")).alias("tile"))
+        assert sorted(ours.collect()) == sorted(plain.collect())
+
+
+def test_only_rows_near_the_wanted_ranks_are_sorted(spark, monkeypatch):
+    rng = random.Random(4)
+    values = [rng.randrange(10**9) for _ in range(20_000)]
+    df = frame(spark, values)
+    plain = df.select("id", F.ntile(5).over(Window.orderBy("v", "id")).alias("tile"))
+    sort, sizes = ordering.range_sorted, []
+
+    def counted(rows, keys):
+        sizes.append(rows.count())
+        return sort(rows, keys)
+
+    monkeypatch.setattr(ordering, "range_sorted", counted)
+    ours = distributed_ntile(df, 5, ["v", "id"], "tile").select("id", "tile")
+    assert sorted(ours.collect()) == sorted(plain.collect())
+    assert exact_medians(df.withColumn("g", F.lit("x")), "g", "v").first()["median"] == statistics.median(values)
+    assert len(sizes) == 2 and max(sizes) < 600
+
+
 def test_ntile_puts_larger_tiles_first_and_breaks_ties_by_id(spark):
     df = frame(spark, [5, 5, 5, 1, 9, 8, 7])
     tiles = {r.id: r.tile for r in distributed_ntile(df, 5, ["v", "id"], "tile").collect()}
