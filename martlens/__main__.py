@@ -17,6 +17,8 @@ def main(arguments: list[str] | None = None) -> None:
     publish = commands.add_parser("publish", help="CSV exports to published tables")
     publish.add_argument("--exports", required=True)
     publish.add_argument("--tables", required=True)
+    publish.add_argument("--rejects", help="folder for malformed rows, which else stop the load")
+    publish.add_argument("--max-rejected", type=float, default=0.001, help="share of a table's rows")
 
     reports = commands.add_parser("reports", help="write all reports and visuals")
     churn = commands.add_parser("churn", help="train, evaluate and export churn predictions")
@@ -33,7 +35,9 @@ def main(arguments: list[str] | None = None) -> None:
     options = parser.parse_args(arguments)
     spark = tune(SparkSession.builder.appName(f"martlens-{options.job}").getOrCreate())
     if options.job == "publish":
-        jobs.publish_exports(spark, options.exports, options.tables)
+        jobs.publish_exports(
+            spark, options.exports, options.tables, options.rejects, options.max_rejected
+        )
     elif options.job == "reports":
         jobs.write_reports(
             spark, options.tables, options.output, options.as_of, options.predictions,

@@ -49,9 +49,20 @@ def reports(t: RetailTables, as_of: date | str) -> dict[str, Callable[[], DataFr
     }
 
 
-def publish_exports(spark: SparkSession, exports: str, folder: str) -> RetailTables:
-    """Load the four CSV exports and replace the published tables with them."""
-    sinks.publish(readers.read_csv_tables(spark, exports), folder)
+def publish_exports(
+    spark: SparkSession, exports: str, folder: str, rejects: str | None = None,
+    max_share: float = 0.001,
+) -> RetailTables:
+    """Load the four CSV exports and replace the published tables with them.
+
+    A malformed row stops the load, or, with a folder for ``rejects``, goes there,
+    unless more than ``max_share`` of a table's rows do.
+    """
+    if rejects:
+        loaded = sinks.quarantine(spark, exports, rejects, max_share)
+    else:
+        loaded = readers.read_csv_tables(spark, exports)
+    sinks.publish(loaded, folder)
     return readers.read_published(spark, folder)
 
 

@@ -11,6 +11,7 @@ from martlens.sources.schemas import BASE_SCHEMAS, CHURN_PREDICTIONS, MONTH_PART
 from martlens.sources.tables import RetailTables, check_order_ids
 
 CONSTRAINTS, ORPHANS = "_checked_keys", "_orphan_keys"
+BROKEN, REASONS = "_broken_line", "_reasons"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -34,8 +35,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return rows.select(*[_exact(field) for field in schema])
 
 
-def _exact(field: T.StructField) -> Column:
-    """A text column in the type of ``field``; other values raise an error."""
+def _converted(field: T.StructField) -> tuple[Column, Column]:
+    """A text column in the type of ``field``, and whether it fits that type exactly."""
     value, kind = F.trim(F.col(field.name)), field.dataType
     if isinstance(kind, T.IntegerType):
         fits = value.rlike(r"^[+-]?[0-9]+(\.0*)?$")
@@ -47,12 +48,58 @@ def _exact(field: T.StructField) -> Column:
         fits = value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
         number = value.try_cast(kind)
     elif isinstance(kind, T.StringType):
-        return F.col(field.name)
+        return F.col(field.name), F.lit(True)
     else:
         fits, number = F.lit(True), value.try_cast(kind)
-    wrong = F.concat(F.lit(f"MALFORMED value of {field.name}: "), value)
-    good = value.isNull() | (fits & number.isNotNull())
-    return F.when(good, number).otherwise(F.raise_error(wrong).cast(kind)).alias(field.name)
+    return number, value.isNull() | (fits & number.isNotNull())
+
+
+def _wrong(field: T.StructField) -> Column:
+    return F.concat(F.lit(f"MALFORMED value of {field.name}: "), F.trim(F.col(field.name)))
+
+
+def _exact(field: T.StructField) -> Column:
+    """A text column in the type of ``field``; other values raise an error."""
+    number, good = _converted(field)
+    if isinstance(field.dataType, T.StringType):
+        return number.alias(field.name)
+    return F.when(good, number).otherwise(F.raise_error(_wrong(field)).cast(field.dataType)).alias(field.name)
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows as :func:`read_csv` gives them, and for rows it would stop at, why.
+
+    Columns: those of ``schema``, ``_reasons`` (null for good rows), ``_row`` (the line
+    where it has another number of values than the header, else its values as JSON)
+    and ``_file``. Missing columns and files with differing headers still stop the read.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [field.name for field in schema if field.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in [*header, BROKEN]])
+    rows = (
+        spark.read.schema(texts)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("columnPruning", False)  # or lines of a wrong length go unnoticed
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BROKEN)
+        .csv(path)
+    )
+    converted = [(field, *_converted(field)) for field in schema]
+    reasons = F.array_compact(
+        F.array(*[F.when(~good, F.coalesce(_wrong(field), F.lit(field.name))) for field, _, good in converted])
+    )
+    broken = F.col(BROKEN).isNotNull()
+    reasons = F.when(broken, F.array(F.lit("MALFORMED line"))).when(F.size(reasons) > 0, reasons)
+    whole = F.to_json(F.struct(*[F.col(name) for name in header]))
+    return rows.select(
+        *[number.alias(field.name) for field, number, _ in converted],
+        reasons.alias(REASONS),
+        F.when(reasons.isNotNull(), F.when(broken, F.col(BROKEN)).otherwise(whole)).alias("_row"),
+        F.col("_metadata.file_path").alias("_file"),
+    )
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

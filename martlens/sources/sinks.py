@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.functions.exprs import year_month
 from martlens.operators.quality import duplicate_keys, orphan_keys
 from martlens.sources import snapshots
-from martlens.sources.readers import CONSTRAINTS, ORPHANS, published_frames
-from martlens.sources.schemas import MONTH_PARTITION
-from martlens.sources.tables import RetailTables
+from martlens.sources.readers import (
+    CONSTRAINTS, ORPHANS, REASONS, published_frames, read_csv_checked,
+)
+from martlens.sources.schemas import BASE_SCHEMAS, MONTH_PARTITION
+from martlens.sources.tables import RetailTables, check_order_ids
 
 
 def publish(tables: RetailTables, folder: str, keep: int = 2) -> int:
@@ -91,6 +93,36 @@ def publish_bucketed(tables: RetailTables, database: str, buckets: int) -> None:
     checks.write.mode("overwrite").saveAsTable(f"{database}.{CONSTRAINTS}")
 
 
+def quarantine(
+    spark: SparkSession, exports: str, folder: str, max_share: float
+) -> RetailTables:
+    """The base tables of CSV exports without their malformed rows.
+
+    Rejected rows go to ``folder`` as Parquet, a table for each, with their reasons,
+    their text and their file. The load stops if a table has a larger share of them
+    than ``max_share``; what was rejected can then be looked up. ``_counts`` in the
+    same folder has the rows read and rejected of each table. Files are read twice,
+    once for the rejected rows and once for the good ones, so nothing is staged.
+    """
+    good, counts = {}, []
+    for name, schema in BASE_SCHEMAS.items():
+        rows = read_csv_checked(spark, f"{exports}/{name}.csv", schema)
+        bad, seen = F.col(REASONS).isNotNull(), Observation()
+        counted = rows.observe(
+            seen, F.count(F.lit(1)).alias("n_read"), F.count_if(bad).alias("n_rejected")
+        )
+        rejected = counted.where(bad).select(F.col(REASONS).alias("reasons"), F.col("_row").alias("row"), F.col("_file").alias("file"))
+        rejected.write.mode("overwrite").parquet(f"{folder}/{name}")
+        counts.append((name, seen.get["n_read"], seen.get["n_rejected"]))
+        good[name] = rows.where(~bad).select(*schema.names)
+    record = spark.createDataFrame(counts, "table_name string, n_read long, n_rejected long")
+    record.write.mode("overwrite").parquet(f"{folder}/_counts")
+    over = [f"{name}: {bad} of {read}" for name, read, bad in counts if bad > max_share * read]
+    if over:
+        raise ValueError(f"too many malformed rows, see {folder}: {', '.join(over)}")
+    return RetailTables(**good, unique_order_ids=check_order_ids)
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
     """Header CSV, one file per partition."""
     df.write.mode("overwrite").option("header", True).csv(folder)

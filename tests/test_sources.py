@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from martlens import jobs
 from martlens.churn.evaluate import risk_bands
 from martlens.churn.features import churn_features
 from martlens.operators.measures import measures
@@ -95,6 +96,35 @@ def test_csv_values_are_never_changed(spark, tmp_path, bad):
         readers.read_csv(spark, str(path), BASE_SCHEMAS["orders"]).collect()
 
 
+def test_malformed_rows_are_set_aside(spark, shop, tmp_path):
+    exports, rejects, folder = (str(tmp_path / n) for n in ("exports", "rejects", "tables"))
+    sinks.export_tables_csv(shop, exports)
+    more = [
+        "order_id,customer_id,order_date,status,payment_method,total_amount,shipping_days",
+        "7,a,2024-12-01,Delivered,UPI,10.50,3.0",
+        "8,a,2024-13-01,Delivered,UPI,10.567,3",
+        "9,a,2024-12-01,Delivered,UPI",
+        '10,a,2024-12-01,Delivered,UPI,1.00,3,extra',
+    ]
+    (tmp_path / "exports" / "orders.csv" / "late.csv").write_text("\n".join(more))
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        jobs.publish_exports(spark, exports, folder)
+    with pytest.raises(ValueError, match="orders: 3 of 7"):
+        jobs.publish_exports(spark, exports, folder, rejects, 0.4)
+    with pytest.raises(FileNotFoundError):
+        readers.read_published(spark, folder)
+    back = jobs.publish_exports(spark, exports, folder, rejects, 0.5)
+    assert {r.order_id for r in back.orders.collect()} == {"1", "2", "3", "7"}
+    assert same(back.customers, shop.customers) and same(back.order_items, shop.order_items)
+    found = {r.row: r for r in spark.read.parquet(f"{rejects}/orders").collect()}
+    assert more[3] in found and more[4] in found and len(found) == 3
+    values = next(r for r in found.values() if r.row.startswith("{"))
+    assert values.reasons == ["MALFORMED value of order_date: 2024-13-01", "MALFORMED value of total_amount: 10.567"]
+    assert all(r.file.endswith("late.csv") for r in found.values())
+    counts = {r.table_name: (r.n_read, r.n_rejected) for r in spark.read.parquet(f"{rejects}/_counts").collect()}
+    assert counts == {"customers": (2, 0), "products": (1, 0), "orders": (7, 3), "order_items": (2, 0)}
+
+
 def test_csv_without_a_column_stops(spark, tmp_path):
     path = tmp_path / "orders.csv"
     path.write_text("order_id,customer\n1,a")
