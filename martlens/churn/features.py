@@ -20,6 +20,7 @@ from martlens.functions.exprs import (
 )
 from martlens.operators.ordering import position_in_group
 from martlens.session import written
+from martlens.sources.schemas import FIRST_PART
 from martlens.sources.tables import RetailTables
 
 
@@ -33,26 +34,28 @@ def churn_features(t: RetailTables, as_of: date | str, grain: str = "item") -> D
 
     Items are summed per order before the join instead of repeating the order
     columns per item. The weight then stands for the repeated rows, and an
-    order holding a large share of all items is one row.
+    order holding a large share of all items is one row, or in bucketed tables
+    one row for each of its parts.
     """
     if grain not in ("item", "order"):
         raise ValueError("grain is 'item' or 'order'")
     by_item = grain == "item"
-    per_order = t.order_items.groupBy("order_id").agg(
+    per_order = t.items_by_key("discount_pct").groupBy(*t.order_key).agg(
         F.count(F.lit(1)).alias("_items"),
         F.sum("discount_pct").alias("_discount"),
         F.count("discount_pct").alias("_discounts"),
     )
-    orders = t.orders.select(
-        "order_id", "customer_id", "order_date", "status", "total_amount", "shipping_days"
-    ).join(per_order, "order_id", "inner" if by_item else "left")
-    weight = F.col("_items") if by_item else F.lit(1).cast("long")
+    orders = t.orders_by_key().select(
+        *t.order_key, FIRST_PART, "customer_id", "order_date", "status", "total_amount",
+        "shipping_days",
+    ).join(per_order, t.order_key, "inner" if by_item else "left")
+    weight = F.col("_items") if by_item else F.col(FIRST_PART).cast("long")
     amount, shipping = F.col("total_amount"), F.col("shipping_days")
     sums = (
         orders.groupBy("customer_id")
         .agg(
             F.max("order_date").alias("_last"),
-            t.order_count().alias("frequency"),
+            t.order_count(F.when(F.col(FIRST_PART), F.col("order_id"))).alias("frequency"),
             F.sum(amount * weight).alias("_amount"),
             sum_if(amount.isNotNull(), weight).alias("_amounts"),
             F.min(shipping).alias("min_shipping"),

@@ -40,9 +40,9 @@ MOST_MONTHS = 1200
 def items_of_orders(
     t: RetailTables, items: DataFrame, status: str | None, *order_columns: str | Column
 ) -> DataFrame:
-    """Items joined to the orders of one status; unknown order ids drop out."""
-    orders = t.orders_with(status).select("order_id", *order_columns)
-    return items.join(orders, "order_id")
+    """Items with the order key joined to the orders of one status; unknown ids drop out."""
+    orders = t.orders_by_key(status).select(*t.order_key, *order_columns)
+    return items.join(orders, t.order_key)
 
 
 def _per_product(
@@ -54,7 +54,7 @@ def _per_product(
         return sales.groupBy("product_id", *by).agg(
             F.sum("units").alias("units_sold"), F.sum("revenue").alias("_revenue")
         )
-    items = t.order_items.select("order_id", "product_id", "quantity", "line_total")
+    items = t.items_by_key("product_id", "quantity", "line_total")
     return (
         items_of_orders(t, items, status, *order_columns)
         .groupBy("product_id", *by)
@@ -125,9 +125,9 @@ def category_mix(t: RetailTables, status: str | None = DELIVERED) -> DataFrame:
             F.sum("discount").alias("_discount"), F.sum("discounts").alias("_discounts"),
         )
     else:
-        items = t.order_items.select(
-            "order_id", "product_id", "line_total", "discount_pct"
-        ).join(categories, "product_id")
+        items = t.items_by_key("product_id", "line_total", "discount_pct").join(
+            categories, "product_id"
+        )
         grouped = (
             items_of_orders(t, items, status)
             .groupBy("category")
@@ -225,7 +225,7 @@ def category_product_rollup(t: RetailTables, status: str | None = DELIVERED) ->
 
 def avg_discount(t: RetailTables, status: str | None = None) -> DataFrame:
     """Mean discount in percent over all items, or those of one order status."""
-    items = t.order_items.select("order_id", "discount_pct")
+    items = t.items_by_key("discount_pct")
     if status is not None:
         items = items_of_orders(t, items, status)
     discount = F.col("discount_pct")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.sources import snapshots
-from martlens.sources.schemas import BASE_SCHEMAS, CHURN_PREDICTIONS, MONTH_PARTITION
+from martlens.sources.schemas import (
+    BASE_SCHEMAS, CHURN_PREDICTIONS, FIRST_PART, MONTH_PARTITION, ORDER_PART,
+)
 from martlens.sources.tables import RetailTables, check_order_ids
 
 CONSTRAINTS, ORPHANS = "_checked_keys", "_orphan_keys"
@@ -169,7 +171,12 @@ def read_catalog_tables(
 ) -> RetailTables:
     """Tables saved by :func:`martlens.sources.sinks.publish_bucketed`."""
     frames = {name: spark.table(f"{database}.{name}") for name in BASE_SCHEMAS}
+    dealt = None
+    if ORDER_PART in frames["orders"].columns:
+        dealt = frames["orders"], frames["order_items"]
+        frames["orders"] = dealt[0].where(FIRST_PART).drop(ORDER_PART, FIRST_PART)
+        frames["order_items"] = dealt[1].drop(ORDER_PART)
     record = f"{database}.{CONSTRAINTS}"
     clean = spark.catalog.tableExists(record) and ids_are_unique(spark.table(record))
     scores = read_predictions(spark, predictions) if predictions else None
-    return RetailTables(**frames, churn_predictions=scores, unique_order_ids=clean)
+    return RetailTables(**frames, churn_predictions=scores, unique_order_ids=clean, dealt=dealt)

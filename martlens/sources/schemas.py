@@ -70,6 +70,9 @@ BASE_SCHEMAS = {
 }
 
 # Partition column of published orders: the month of the order date as text.
+# The part of an order that is dealt over several buckets, and whether it is the
+# one that stands for the order.
+ORDER_PART, FIRST_PART = "order_part", "first_part"
 MONTH_PARTITION = "order_month"
 
 # Declared primary keys, and foreign keys as (child, column, parent).

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from martlens.functions.exprs import year_month
 from martlens.operators.quality import duplicate_keys, orphan_keys
+from martlens.session import written
 from martlens.sources import snapshots
 from martlens.sources.readers import (
-    CONSTRAINTS, ORPHANS, REASONS, published_frames, read_csv_checked,
+    CONSTRAINTS, ORPHANS, REASONS, published_frames, read_catalog_tables, read_csv_checked,
 )
-from martlens.sources.schemas import BASE_SCHEMAS, MONTH_PARTITION
+from martlens.sources.schemas import BASE_SCHEMAS, FIRST_PART, MONTH_PARTITION, ORDER_PART
 from martlens.sources.tables import RetailTables, check_order_ids
 
 
@@ -67,32 +68,83 @@ def _checked(tables: RetailTables, folder: str, parts: snapshots.Parts, keep: in
     return number
 
 
+# A part of a large order holds so much of an average bucket's items, about.
+PARTS_PER_BUCKET = 8
+
+
 def publish_bucketed(tables: RetailTables, database: str, buckets: int) -> None:
     """Replace catalog tables with orders and items bucketed by order id.
 
-    Joins of the two on ``order_id`` then need no exchange at all. Prefer
-    :func:`publish` when single orders hold a large share of the items, since
-    the planner cannot split a bucket. The record of the key checks is dropped
-    first and written last.
+    Joins of the two on ``order_id`` then need no exchange at all. A bucket is read
+    by one task, so orders with more items than an eighth of an average bucket are
+    dealt: their items get a part number, a copy of the order goes with each part,
+    and the buckets are those of order id and part. Items without an order id are
+    dealt as well and have no orders. Items that are equal in all columns and come
+    from the same input partition stay together. Repeated rows of one order are not
+    dealt, as order ids are declared unique. Without large orders no part number is
+    written. The record of the key checks is dropped first and written last.
     """
     spark = tables.orders.sparkSession
     spark.sql(f"DROP TABLE IF EXISTS {database}.{CONSTRAINTS}")
-    for name, frame in tables.base().items():
-        writer = frame.write.mode("overwrite").format("parquet")
-        if name in ("orders", "order_items"):
-            frame = frame.repartition(buckets, "order_id")
-            writer = (
-                frame.write.mode("overwrite")
-                .format("parquet")
-                .bucketBy(buckets, "order_id")
-                .sortBy("order_id")
-            )
-        writer.saveAsTable(f"{database}.{name}")
-    saved = {name: spark.table(f"{database}.{name}") for name in tables.base()}
-    checks = duplicate_keys(RetailTables(**saved, primary_keys=tables.primary_keys))
+    frames = tables.base()
+    orders, items = frames.pop("orders"), frames.pop("order_items")
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
+    large = written(_large_orders(items, buckets))
+    key = ["order_id"]
+    if not large.isEmpty():
+        key, items = ["order_id", ORDER_PART], _dealt_items(items, large)
+    _save_bucketed(items, f"{database}.order_items", buckets, key)
+    if ORDER_PART in key:
+        orders = _order_copies(orders, spark.table(f"{database}.order_items"), large)
+    _save_bucketed(orders, f"{database}.orders", buckets, key)
+    saved = read_catalog_tables(spark, database)
+    checks = duplicate_keys(RetailTables(**saved.base(), primary_keys=tables.primary_keys))
     checks.write.mode("overwrite").saveAsTable(f"{database}.{CONSTRAINTS}")
 
 
+def _save_bucketed(frame: DataFrame, name: str, buckets: int, key: list[str]) -> None:
+    writer = frame.repartition(buckets, *key).write.mode("overwrite").format("parquet")
+    writer.bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
+
+
+def _large_orders(items: DataFrame, buckets: int) -> DataFrame:
+    """(large_id, parts) of the orders to deal: fewer than 8 for each bucket."""
+    most = items.count() / (buckets * PARTS_PER_BUCKET)
+    counts = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    return counts.where((F.col("n") > most) & (F.col("n") > 1)).select(
+        F.col("order_id").alias("large_id"), parts.alias("parts")
+    )
+
+
+def _dealt_items(items: DataFrame, large: DataFrame) -> DataFrame:
+    """Items with their part, which depends on the row and its input partition alone.
+
+    A repeated task therefore deals its rows as before, in whatever order they come.
+    """
+    drawn = items.withColumn("_drawn", F.xxhash64(*items.columns, F.spark_partition_id()))
+    part = F.coalesce(F.pmod("_drawn", F.col("parts")), F.lit(0)).cast("int")
+    # Broadcast: fewer than 8 rows for each bucket.
+    return drawn.join(
+        F.broadcast(large), F.col("order_id").eqNullSafe(F.col("large_id")), "left"
+    ).select(*items.columns, part.alias(ORDER_PART))
+
+
+def _order_copies(orders: DataFrame, items: DataFrame, large: DataFrame) -> DataFrame:
+    """Each order once for every part that has items, the first of which is marked."""
+    found = (
+        items.join(F.broadcast(large), F.col("order_id") == F.col("large_id"), "left_semi")
+        .groupBy(F.col("order_id").alias("large_id"))
+        .agg(F.sort_array(F.collect_set(ORDER_PART)).alias("_parts"))
+    )
+    parts = F.coalesce("_parts", F.array(F.lit(0)))
+    # Broadcast: the parts of all large orders are fewer than 16 for each bucket.
+    return orders.join(F.broadcast(found), F.col("order_id") == F.col("large_id"), "left").select(
+        *orders.columns, F.posexplode(parts).alias(FIRST_PART, ORDER_PART)
+    ).withColumn(FIRST_PART, F.col(FIRST_PART) == 0)
+
+
 def quarantine(
     spark: SparkSession, exports: str, folder: str, max_share: float
 ) -> RetailTables:

@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.sources.schemas import MONTH_PARTITION, PRIMARY_KEYS
+from martlens.sources.schemas import FIRST_PART, MONTH_PARTITION, ORDER_PART, PRIMARY_KEYS
 
 if TYPE_CHECKING:
     from martlens.operators.cube import OrderCube
@@ -31,6 +31,10 @@ def check_order_ids(orders: DataFrame) -> bool:
     return bad.isEmpty()
 
 
+def _of_status(orders: DataFrame, status: str | None) -> DataFrame:
+    return orders if status is None else orders.where(F.col("status") == F.lit(status))
+
+
 class RetailTables:
     """Four base tables and, optionally, the exported churn predictions.
 
@@ -55,6 +59,7 @@ class RetailTables:
         primary_keys: Mapping[str, tuple[str, ...]] = PRIMARY_KEYS,
         checks: Mapping[str, DataFrame] | None = None,
         cube: OrderCube | None = None,
+        dealt: tuple[DataFrame, DataFrame] | None = None,
     ) -> None:
         self._sources = {
             "customers": customers,
@@ -69,6 +74,8 @@ class RetailTables:
         self.checks = dict(checks or {})
         # Partial sums of exactly these orders; reports that can use them do.
         self.cube = cube
+        # Orders and items of exactly these tables with the parts of large orders.
+        self.dealt = dealt
 
     def _table(self, name: str) -> DataFrame | None:
         source = self._sources[name]
@@ -112,7 +119,7 @@ class RetailTables:
         return RetailTables(
             lambda: self.customers, lambda: self.products, lambda: self.orders,
             lambda: self.order_items, lambda: self.churn_predictions,
-            True, self.primary_keys, self.checks, cube,
+            True, self.primary_keys, self.checks, cube, self.dealt,
         )
 
     def base(self) -> dict[str, DataFrame]:
@@ -125,9 +132,31 @@ class RetailTables:
 
     def orders_with(self, status: str | None) -> DataFrame:
         """Orders of one status, or all of them for ``None``."""
-        if status is None:
-            return self.orders
-        return self.orders.where(F.col("status") == F.lit(status))
+        return _of_status(self.orders, status)
+
+    @property
+    def order_key(self) -> list[str]:
+        """Columns on which items meet their orders.
+
+        In bucketed tables the items of a large order are dealt over several
+        buckets, and a copy of the order lies in each: a part of the order.
+        """
+        return ["order_id", ORDER_PART] if self.dealt else ["order_id"]
+
+    def items_by_key(self, *columns: str) -> DataFrame:
+        """The order key and these columns of the items."""
+        items = self.dealt[1] if self.dealt else self.order_items
+        return items.select(*self.order_key, *columns)
+
+    def orders_by_key(self, status: str | None = None) -> DataFrame:
+        """One row per order and part, for joins with :meth:`items_by_key`.
+
+        ``first_part`` marks one part of each order. Columns of the order repeat in
+        the others, so sums of them must be over first parts.
+        """
+        if self.dealt:
+            return _of_status(self.dealt[0], status)
+        return self.orders_with(status).withColumn(FIRST_PART, F.lit(True))
 
     def orders_of_year(self, year: int | None) -> DataFrame:
         """Orders of one year, or all of them for ``None``.

@@ -11,6 +11,7 @@ from martlens import jobs
 from martlens.churn.evaluate import risk_bands
 from martlens.churn.features import churn_features
 from martlens.operators.measures import measures
+from martlens.operators.products import avg_discount, category_mix, product_revenue
 from martlens.operators.revenue import (
     monthly_revenue_trend,
     revenue_by_region,
@@ -272,3 +273,65 @@ def test_bucketed_tables_join_without_exchange(spark, shop):
     # Only the partial sums per customer move.
     assert features_plan.count("Exchange hashpartitioning") == 1
     assert same(features, churn_features(shop, "2024-12-31"))
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Order 7 holds a third of 6,000 items, a sixth have no order id."""
+    owner = lambda i: "7" if i % 3 == 0 else None if i % 6 == 1 else str(10 + i % 900)
+    items = [
+        item(f"i{i}", owner(i), f"P{i % 5}", 1 + i % 4, total=f"{i % 90}.10", discount=f"0.0{i % 7}")
+        for i in range(6_000)
+    ]
+    orders = [order("7", "a", amount="99.50")] + [
+        order(str(i), "ab"[i % 2], date(2024, 1 + i % 12, 3), f"{i}.25",
+              ["Delivered", "Returned", "Cancelled"][i % 3])
+        for i in range(10, 1_000)
+    ]
+    books = [product(f"P{i}", category=["Books", "Toys"][i % 2]) for i in range(5)]
+    made = tables(spark, [customer("a"), customer("b")], books, orders, items)
+    spark.sql("CREATE DATABASE IF NOT EXISTS crowded")
+    sinks.publish_bucketed(made, "crowded", 8)
+    return made, readers.read_catalog_tables(spark, "crowded")
+
+
+def test_large_orders_are_dealt_over_buckets(spark, crowded):
+    made, back = crowded
+    assert same(back.orders, made.orders) and same(back.order_items, made.order_items)
+    assert back.unique_order_ids and back.order_key == ["order_id", "order_part"]
+    copies = {r[0]: r[1] for r in back.orders_by_key().groupBy("order_id").count().collect()}
+    assert copies.pop("7") > 8 and set(copies.values()) == {1}
+    assert back.orders_by_key().where("first_part").count() == made.orders.count()
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        joined = back.items_by_key("order_item_id").join(back.orders_by_key(), back.order_key)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        sizes = back.items_by_key("order_item_id").groupBy(F.spark_partition_id()).count()
+        read = sorted(r["count"] for r in sizes.collect())
+        tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+        features = churn_features(back, "2024-12-31")
+        moves = features._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert moves.count("Exchange hashpartitioning") == 1
+    done = sorted(r["count"] for r in tasks)
+    for rows in (read, done):
+        assert len(rows) == 8 and rows[-1] < 3 * rows[4]
+    assert sum(done) == 5_000
+
+
+def test_reports_of_dealt_orders(crowded):
+    made, back = crowded
+    for grain in ("item", "order"):
+        one, two = (churn_features(t, "2024-12-31", grain) for t in (back, made))
+        assert same(one, two)
+    repeated = RetailTables(
+        back.customers, back.products, back.orders, back.order_items, dealt=back.dealt
+    )
+    assert same(churn_features(repeated, "2024-12-31"), churn_features(made, "2024-12-31"))
+    for report in (product_revenue, category_mix, avg_discount):
+        assert same(report(back), report(made))
+    assert same(avg_discount(back, "Delivered"), avg_discount(made, "Delivered"))
