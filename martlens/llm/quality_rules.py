@@ -1,8 +1,9 @@
 """Quality rules: text statistics and the frequency of lines across documents.
 
 All of it is Spark expressions. Statistics of a text are computed inside its row.
-For the line rule only hashes travel: a line counts once for each distinct text
-of a host, so exact copies don't make their lines look like boilerplate.
+For the line rule only hashes travel: a line counts once for each distinct document
+of a host, so a page that stands there in many copies is boilerplate, and the first
+copy alone is left.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from martlens.llm.words import SPACE, lower_ascii, split_words
 
 MIN_WORDS = 50
 MAX_REPEATED_PCT = 50
-# A line of a host goes if more distinct texts than both limits have it.
-MAX_LINE_TEXTS = 10
+# A line of a host goes if more distinct documents than both limits have it.
+MAX_LINE_DOCS = 10
 MAX_LINE_PCT = 1
 # A document is depleted if less than this part of its words is left.
 MIN_LEFT_PCT = 30
@@ -56,7 +57,6 @@ def repeated_words(words: Column) -> Column:
     def with_repeats(w: Column) -> Column:
         return _let(_let(F.sort_array(windows(w)), repeats), covered)
 
-    # Most texts have no repeated window; a hash set tells that without sorting.
     def count(w: Column) -> Column:
         return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(with_repeats(w))
 
@@ -115,27 +115,31 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def lost_words(docs: DataFrame, max_texts: int = MAX_LINE_TEXTS, max_pct: int = MAX_LINE_PCT) -> DataFrame:
+def lost_words(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_pct: int = MAX_LINE_PCT) -> DataFrame:
     """What documents lose to the line rule: doc_id, host, t1, t2, lost_words, places.
 
-    ``places`` are those of the removed lines. A line over the limits is removed wherever it stands, except in the document
-    of the host with the smallest id that has it. Null hosts form one host.
+    ``places`` are those of the removed lines. A document is an id with a text, so
+    repeated rows are one. A line over the limits is removed wherever it stands, except
+    in the document of the host with the smallest id that has it. Null hosts form one
+    host, and documents without an id are told apart by their texts.
     """
     lines = line_table(docs)
     key = ["host", "h1", "h2"]
-    # Two steps: equal texts fall together first, spread over all of host, line
-    # and text, so that a line of a third of all rows isn't one task.
+    # Two steps: the lines of a document fall together first, spread over all of host,
+    # line and document, so that a line of a third of all rows isn't one task.
     counts = (
-        lines.groupBy(*key, "t1", "t2").agg(F.min("doc_id").alias("first"))
-        .groupBy(*key).agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"))
-        .where(F.col("texts") > max_texts)
+        lines.select(*key, "doc_id", "t1", "t2").distinct()
+        .groupBy(*key).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+        .where(F.col("docs") > max_docs)
     )
-    texts = docs.select(F.col("source").alias("host"), F.xxhash64("text", F.lit(1)).alias("t1"),
-                        F.xxhash64(F.lit(2), "text").alias("t2"))
-    hosts = texts.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
+    documents = docs.select(
+        F.col("source").alias("host"), "doc_id", F.xxhash64("text", F.lit(1)).alias("t1"),
+        F.xxhash64(F.lit(2), "text").alias("t2"),
+    )
+    hosts = documents.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = (
         counts.join(hosts, counts.host.eqNullSafe(hosts.host)).drop(hosts.host)
-        .where(100 * F.col("texts") > max_pct * F.col("host_texts"))
+        .where(100 * F.col("docs") > max_pct * F.col("host_docs"))
         .select(F.col("host").alias("f_host"), F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
     )
     gone = lines.join(
@@ -153,8 +157,13 @@ def lost_words(docs: DataFrame, max_texts: int = MAX_LINE_TEXTS, max_pct: int =
 
 def without_lines(text: Column, places: Column) -> Column:
     """The text without the lines at these places; the other lines are unchanged."""
-    left = F.filter(F.split(text, "\n"), lambda x, j: ~F.array_contains(places, j))
-    return F.array_join(left, "\n")
+
+    def left(lines: Column) -> Column:
+        # By set, since a long text can lose as many lines as it has.
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+        return F.array_join(F.transform(kept, lambda j: lines[j]), "\n")
+
+    return _let(F.split(text, "\n"), left)
 
 
 def _verdicts(docs: DataFrame, columns: list[str], **limits) -> DataFrame:

@@ -32,12 +32,12 @@ windows AS (
   SELECT *, trim(regexp_replace(regexp_replace({_LINE}, '[0-9]+', '0', 'g'), '{_SPACE}', ' ', 'g')) AS norm
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT (doc_id, text)) AS n FROM documents GROUP BY source),
 frequent AS (
   SELECT l.source, l.norm, min(l.doc_id) AS carrier
   FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
   GROUP BY l.source, l.norm, h.n
-  HAVING count(DISTINCT l.text) > 10 AND 100 * count(DISTINCT l.text) > h.n
+  HAVING count(DISTINCT (l.doc_id, l.text)) > 10 AND 100 * count(DISTINCT (l.doc_id, l.text)) > h.n
 ), lost AS (
   SELECT l.r, sum(len(string_split(l.norm, ' '))) AS n
   FROM lines l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source

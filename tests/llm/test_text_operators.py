@@ -99,8 +99,9 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     rows += [(300, f"{banner}\n" * 8 + prose(100, 9), "en", None)]
     kept = {r.doc_id: r for r in quality_rules.assess(documents(spark, rows)).collect()}
     assert kept[0].lost_words == 0 and kept[1].lost_words == 12  # the first carries the line
-    assert kept[1].kept and all(kept[i].kept for i in range(200, 230))
-    assert kept[200].lost_words == 0
+    assert kept[1].kept and kept[200].kept and kept[200].lost_words == 0
+    # Copies are documents of their own: all but the first lose every line.
+    assert all(kept[i].lost_words == 82 and not kept[i].kept for i in range(201, 230))
     assert [kept[i].n_repeat_words * 2 > kept[i].n_words for i in (100, 300)] == [True, True]
     footer = "\n".join(prose(400 + k, 7) for k in range(17))
     long = [(i, f"{footer}\n{prose(i, 6)}", "en", "h") for i in range(20)]
@@ -108,6 +109,19 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert verdicts == {i: i == 0 for i in range(20)}
 
 
+def test_lines_count_once_for_each_document(spark):
+    line = "One line that stands in the documents of a host"
+    body = {i: f"{line}\n{prose(i, 60)}" for i in range(11)}
+    few = [(i % 10, body[i % 10], "en", "h") for i in range(40)]
+    assert {r.lost_words for r in quality_rules.assess(documents(spark, few)).collect()} == {0}
+    many = few + [(10, body[10], "en", "h"), (10, body[10], "en", "other")]
+    lost = {(r.doc_id, r.lost_words) for r in quality_rules.assess(documents(spark, many)).collect()}
+    assert lost == {(0, 0), (10, 0)} | {(i, 10) for i in range(1, 11)}
+    nameless = [(None, body[i], "en", "h") for i in range(11)]
+    lost = [r.lost_words for r in quality_rules.assess(documents(spark, nameless)).collect()]
+    assert lost == [0] * 11  # each is as much the first as the others
+
+
 def test_kept_texts_lose_their_frequent_lines(spark):
     banner = "Subscribe to our news letter today number 7"
     body = [f"{prose(i, 40)}\r\n\n  {prose(50 + i, 40)} " for i in range(20)]
