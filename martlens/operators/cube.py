@@ -90,17 +90,25 @@ def _cells(customer_months: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def _product_sales(t: RetailTables, orders: DataFrame) -> DataFrame:
-    """Item sums by month, status and product; items of unknown orders or products drop out."""
-    lines = t.order_items.groupBy("order_id", "product_id").agg(
+    """Item sums by month, status and product; items of unknown orders or products drop out.
+
+    Items move by product, by order and by the keys of the result, once each. The rows
+    of an order meet in the join with the orders, so that summing them per product and
+    marking the first product of a category need no exchange of their own. A hot order
+    or product is split by the skew join.
+    """
+    products = t.products.select("product_id", "category")
+    days = orders.select("order_id", month_start(F.col("order_date")).alias("month"), "status")
+    items = t.order_items.select("order_id", "product_id", "quantity", "line_total", "discount_pct")
+    lines = items.join(products, "product_id").join(days, "order_id").groupBy(
+        "order_id", "product_id", "category", "month", "status"
+    ).agg(
         F.sum("quantity").alias("units"), F.sum("line_total").alias("revenue"),
         F.sum("discount_pct").alias("discount"), F.count("discount_pct").alias("discounts"),
     )
-    known = lines.join(t.products.select("product_id", "category"), "product_id")
-    days = orders.select("order_id", month_start(F.col("order_date")).alias("month"), "status")
     first = F.row_number().over(Window.partitionBy("order_id", "category").orderBy("product_id"))
     return (
-        known.join(days, "order_id")
-        .withColumn("marked", (first == 1).cast("long"))
+        lines.withColumn("marked", (first == 1).cast("long"))
         .groupBy("month", "status", "product_id")
         .agg(*[F.sum(c).alias(c) for c in ("units", "revenue", "discount", "discounts")],
              F.sum("marked").alias("orders"))

@@ -8,7 +8,7 @@ import pytest
 
 from martlens import session
 from martlens.churn import features, model
-from martlens.operators import ordering
+from martlens.operators import cube, ordering
 from martlens.operators.revenue import (
     kpi_summary,
     monthly_revenue_trend,
@@ -16,6 +16,7 @@ from martlens.operators.revenue import (
     yearly_revenue,
 )
 from martlens.plans import catalog
+from martlens.session import tune
 from martlens.sources.tpch import retail_views
 
 QUERIES = catalog.queries()
@@ -114,3 +115,22 @@ def test_category_mix_counts_orders_on_the_join_partitioning(without_broadcast,
     plan = plan_of(QUERIES["category_mix"](without_broadcast, sample_dir))
     # Two exchanges per join and one of partial sums; none for the distinct count.
     assert plan.count("Exchange hashpartitioning") == 5
+
+
+def test_product_sales_sum_and_mark_the_items_where_their_orders_join(without_broadcast, sample_dir):
+    t = retail_views(without_broadcast, sample_dir)
+    plan = plan_of(cube._product_sales(t, t.orders))
+    # Two exchanges per join and one of partial sums; none to sum the items of an order.
+    assert plan.count("Exchange hashpartitioning") == 5
+
+
+def test_tasks_read_less_unless_a_size_was_set(spark):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size, None)
+    try:
+        spark.conf.unset(size)
+        assert tune(spark).conf.get(size) == "16m"
+        spark.conf.set(size, "1k")
+        assert tune(spark).conf.get(size) == "1k"
+    finally:
+        spark.conf.set(size, before) if before is not None else spark.conf.unset(size)
