@@ -46,6 +46,16 @@ def test_parameters_and_scores(matrix, fitted):
     }
 
 
+def test_rows_keep_their_nodes_and_the_forest_stays_the_same(matrix, monkeypatch):
+    kept = F.train(matrix, trees=TREES).stages[-1]
+    assert kept.getOrDefault("cacheNodeIds")
+    plain = F.RandomForestClassifier
+    monkeypatch.setattr(F, "RandomForestClassifier", lambda **given: plain(**given | {"cacheNodeIds": False}))
+    walked = F.train(matrix, trees=TREES).stages[-1]
+    assert not walked.getOrDefault("cacheNodeIds") and walked.totalNumNodes == kept.totalNumNodes
+    assert walked.featureImportances.toArray() == pytest.approx(kept.featureImportances.toArray(), abs=1e-9)
+
+
 def test_importances(matrix, fitted):
     rows = F.importances(fitted[0], matrix).collect()
     assert len(rows) == len(FEATURES)
