@@ -47,16 +47,17 @@ def score_by_nodes(nodes: DataFrame, matrix: DataFrame, label: str = "churned")
     """
     depth = _depth(nodes)
     features = [r.feature for r in nodes.where("feature IS NOT NULL").select("feature").distinct().collect()]
-    values = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))]) \
-        if features else F.create_map().cast("map<string,double>")
+    values = F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>")
+    place = F.array_position(F.array(*[F.lit(f) for f in features]).cast("array<string>"), F.col("feature"))
     every_tree = F.explode(F.sequence(F.lit(0), F.lit(nodes.agg(F.max("tree")).first()[0])))
     at = matrix.select("customer_id", label, values.alias("values"), every_tree.alias("at_tree"))
     at = at.withColumn("at_node", F.lit(0))
-    inner = F.broadcast(nodes.where("feature IS NOT NULL").select("tree", "node", "feature", "threshold", "left", "right"))
+    split = nodes.where("feature IS NOT NULL").withColumn("place", (place - 1).cast("int"))
+    inner = F.broadcast(split.select("tree", "node", "place", "threshold", "left", "right"))
     for _ in range(depth):
         here = (F.col("at_tree") == F.col("tree")) & (F.col("at_node") == F.col("node"))
-        goes = F.when(F.col("feature").isNull(), F.col("at_node")).when(
-            F.col("values")[F.col("feature")] <= F.col("threshold"), F.col("left")
+        goes = F.when(F.col("place").isNull(), F.col("at_node")).when(
+            F.get("values", F.col("place")) <= F.col("threshold"), F.col("left")
         ).otherwise(F.col("right"))
         at = at.join(inner, here, "left").select(
             "customer_id", label, "values", "at_tree", goes.alias("at_node")
