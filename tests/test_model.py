@@ -56,6 +56,11 @@ def test_rows_keep_their_nodes_and_the_forest_stays_the_same(matrix, monkeypatch
     assert walked.featureImportances.toArray() == pytest.approx(kept.featureImportances.toArray(), abs=1e-9)
 
 
+def test_the_walk_looks_inputs_up_by_place(spark, matrix, fitted):
+    walk = N.score_by_nodes(N.forest_nodes(spark, fitted[0]), matrix)
+    assert "map(" not in walk._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_importances(matrix, fitted):
     rows = F.importances(fitted[0], matrix).collect()
     assert len(rows) == len(FEATURES)
