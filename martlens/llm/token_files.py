@@ -25,7 +25,7 @@ from martlens.session import written
 END_ID = 2
 # Ids after which a task begins a new file; it ends with a whole document.
 FILE_IDS = 8_000_000
-MAGIC = b"TOKIDS01"
+MAGIC = b"TOKIDS02"
 _FOOT = struct.Struct("<QQQQ")  # blocks, documents, bytes of the table, documents without id (the first ones)
 
 FILES = "path string, part int, number int, n_ids long, n_docs long"
